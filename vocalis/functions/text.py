@@ -34,7 +34,7 @@ TOKEN = "|".join([
     rf"[^{SPACE}]",
 ])
 HANDLE = (
-    r"(?<![A-Za-z0-9_!@#$%&*])@"
+    r"@(?<![A-Za-z0-9_!@#$%&*]@)"
     r"(?:[A-Za-z0-9_]{20}(?!@)|[A-Za-z0-9_]{1,19}(?![A-Za-z0-9_]*@))"
 )
 TOKEN_REPR = r"'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\""

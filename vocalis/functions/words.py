@@ -48,7 +48,8 @@ tremendously uber unbelievably unusually utterly very
 BOOSTERS_DOWN = """
 almost barely hardly kinda kindof kind-of less little marginally occasionally partly
 scarcely slightly somewhat sorta sortof sort-of
-""".split() + ["just enough", "kind of", "sort of"]
+""".split()
+BOOSTER_PAIRS_DOWN = [("just", "enough"), ("kind", "of"), ("sort", "of")]
 NEGATIONS = """
 aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't
 didn't doesn't dont hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't
@@ -60,3 +61,7 @@ PUNCTUATION_MARKS = [
     ".", "!", "?", ",", ";", ":", "-", "'", "\"", "!!", "!!!", "??", "???", "?!?", "!?!",
     "?!?!", "!?!?",
 ]
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0,
+    "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0,
+}

@@ -6,35 +6,31 @@ over an exploded array; the lexicon is joined, never looped over.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.functions import words as W
 from vocalis.functions.text import SPACE, explode_each, with_once
-from vocalis.session import broadcast_if_small
-
-# --- fixed values: phrases with a valence of their own ----------------------------------
-IDIOMS = {
-    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0,
-    "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0,
-}
-# ----------------------------------------------------------------------------------------
+from vocalis.session import LITERAL_ROWS, has_at_most
+
 _ASCII_MARKS = r"!-/:-@\[-`{-~"
 _MARK = "(?:" + "|".join("".join("\\" + c for c in m) for m in W.PUNCTUATION_MARKS) + ")"
 _CORE = rf"([^{_ASCII_MARKS}]{{2,}})"
+ANY_MARK = rf"^[{_ASCII_MARKS}]|[{_ASCII_MARKS}]$"
 WORD_WITH_MARK = rf"^{_MARK}{_CORE}$|^{_CORE}{_MARK}$"
+# Neighbours a scored word can see, and the places where it can stand in an idiom.
+NEIGHBOURS = {"p3": -3, "p2": -2, "p1": -1, "n1": 1, "n2": 2}
+BEFORE = (("p1", "w"), ("p2", "p1", "w"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))
+AHEAD = (("w", "n1", "n2"), ("w", "n1"))
 
 
 def sentiment_words(text: Column) -> Column:
     """Space-separated words of two or more characters, freed of one mark at one end."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: F.length(w) > 1)
-    return F.transform(words, lambda w: F.regexp_replace(w, WORD_WITH_MARK, "$1$2"))
-
-
-def _is_caps(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
+    bare = lambda w: F.regexp_replace(w, WORD_WITH_MARK, "$1$2")
+    return F.transform(words, lambda w: F.when(w.rlike(ANY_MARK), bare(w)).otherwise(w))
 
 
 def emphasis(text: Column) -> Column:
@@ -48,145 +44,186 @@ def emphasis(text: Column) -> Column:
     return loud + asking
 
 
-def _negates(word: Column) -> Column:
-    return F.coalesce(word.isin(W.NEGATIONS) | word.contains("n't"), F.lit(False))
+def _is_caps(word: Column) -> Column:
+    return (word != F.lower(word)) & (word == F.upper(word))
 
 
-def _boost(word: Column, caps: Column, valence: Column) -> Column:
-    """Signed strength that a booster word lends to a neighbour of the given valence."""
-    size = F.when(word.isin(W.BOOSTERS_UP), W.BOOST).when(word.isin(W.BOOSTERS_DOWN), -W.BOOST)
-    sign = F.when(valence < 0, -size).otherwise(size)
-    loud = F.when(caps, F.when(valence > 0, W.CAPS).otherwise(-W.CAPS)).otherwise(0.0)
-    return F.coalesce(sign + loud, F.lit(0.0))
+def _sure(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def _any(conditions: Iterable[Column]) -> Column:
+    found = F.lit(False)
+    for c in conditions:
+        found = found | c
+    return _sure(found)
 
 
-def _phrase(*words: Column) -> Column:
-    return F.concat_ws(" ", *words)
+def _booster(word: Column) -> Column:
+    """Strength that a booster word lends to a positive neighbour; NULL for other words."""
+    return F.when(word.isin(W.BOOSTERS_UP), W.BOOST).when(word.isin(W.BOOSTERS_DOWN), -W.BOOST)
 
 
-def _idiom_value(phrase: Column) -> Column:
+def _boost(size: Column, caps: Column, valence: Column) -> Column:
+    """Signed strength of a booster for a neighbour of the given valence."""
+    signed = F.when(valence < 0, -size).otherwise(size)
+    loud = F.when(caps, F.when(valence > 0, W.CAPS).otherwise(-W.CAPS)).otherwise(0.0)
+    return F.coalesce(signed + loud, F.lit(0.0))
+
+
+def _idiom() -> Column:
+    """Valence of the idiom a word stands in: one it opens, else the first one behind it."""
+    phrases = F.array(*[F.concat_ws(" ", *places) for places in [*AHEAD, *BEFORE]])
+    first = F.get(F.filter(phrases, lambda p: p.isin(list(W.IDIOMS))), F.lit(0))
     value = F.lit(None).cast("double")
-    for text, valence in IDIOMS.items():
-        value = F.when(phrase == text, F.lit(valence)).otherwise(value)
+    for text, valence in W.IDIOMS.items():
+        value = F.when(first == text, F.lit(valence)).otherwise(value)
     return value
 
 
-def word_valences(df: DataFrame, lexicon: DataFrame, ids: Sequence[str], text: str = "text") -> DataFrame:
-    """One row per word with its final valence ``v`` (0 for neutral words); ``ids`` are kept.
-    A text without words gives one row with NULL."""
-    rows = with_once(df.select(*ids, text), _words=sentiment_words(F.col(text)))
-    caps = F.size(F.filter("_words", _is_caps))
-    but = F.array_position("_words", "but")
+def _entries(lexicon: DataFrame) -> DataFrame:
+    """One valence per lower-case word; of several rows the last one (by ``ord``) counts."""
+    last = F.max_by("valence", "ord") if "ord" in lexicon.columns else F.max("valence")
+    return lexicon.groupBy(F.col("token").alias("_token")).agg(last.cast("double").alias("_valence"))
+
+
+def _with_neighbours(rows: DataFrame, keep: Sequence[str], entries: DataFrame, small: bool) -> DataFrame:
+    """One row per word with its neighbours, its ``_valence`` and, for the three words before
+    it, whether they are in the lexicon (``k1``..``k3``).
+
+    Words of a lexicon of checked size are recognised by a literal set, so only scored words
+    leave the array and the join with the valences is a lookup of those.  A larger lexicon is
+    joined for every word.
+    """
+    rows = with_once(rows, _low=F.transform("_words", F.lower))
+    positions = F.when(F.size("_words") > 0, F.sequence(F.lit(1), F.size("_words")))
+    known = [r["_token"] for r in entries.select("_token").collect()] if small else []
+    if small:
+        positions = F.filter(positions, lambda i: F.get("_low", i - 1).isin(known))
+
+    def near(i: Column) -> Column:
+        words = [F.get("_words", i - 1 + d).alias(n) for n, d in NEIGHBOURS.items()]
+        flags = [_sure(F.get("_low", i - 1 - n).isin(known)).alias(f"k{n}") for n in (1, 2, 3)] if small else []
+        return F.struct(i.alias("i"), F.get("_words", i - 1).alias("w"), *words, *flags)
+
+    rows = rows.select(*keep, F.explode_outer(F.transform(positions, near)).alias("x")).select(*keep, "x.*")
+    low = F.lower("w")
+    rule_word = low.isin(W.BOOSTERS_UP + W.BOOSTERS_DOWN) | ((low == "kind") & (F.lower("n1") == "of"))
+    rows = rows.withColumn("_key", F.when(~_sure(rule_word), low))
+    if small:
+        entries = F.broadcast(entries)
+    rows = rows.join(entries, F.col("_key") == F.col("_token"), "left").drop("_token")
+    if not small:
+        # Only scored words look at their neighbours, so all other rows carry NULL keys here.
+        for n in (1, 2, 3):
+            other = entries.select(F.col("_token").alias("_other"))
+            key = F.when(F.col("_valence").isNotNull(), F.lower(f"p{n}"))
+            rows = rows.withColumn("_key", key).join(other, F.col("_key") == F.col("_other"), "left")
+            rows = rows.withColumn(f"k{n}", F.col("_other").isNotNull()).drop("_other")
+    return rows.drop("_key")
+
+
+def _with_cues(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """What the rules need to know of the neighbours, each worked out once per row."""
+    c, back = F.col, (1, 2, 3)
     rows = rows.select(
-        *ids,
-        "_words",
-        ((caps > 0) & (caps < F.size("_words"))).alias("_mixed"),
-        F.when(but > 0, but).otherwise(F.array_position("_words", "BUT")).alias("_but"),
+        "*",
+        *[F.lower(f"p{n}").alias(f"_l{n}") for n in back],
+        F.concat_ws(" ", "p3", "p2", "p1", "w", "n1", "n2").alias("_around"),
     )
-    near = F.transform(
-        "_words",
-        lambda w, i: F.struct(
-            (i + 1).alias("i"),
-            w.alias("w"),
-            *[F.get("_words", i + d).alias(n) for n, d in
-              (("p1", -1), ("p2", -2), ("p3", -3), ("n1", 1), ("n2", 2))],
-        ),
+    pairs = [(c(a) == x) & (c(b) == y) for a, b in (("p3", "p2"), ("p2", "p1")) for x, y in W.BOOSTER_PAIRS_DOWN]
+    return rows.select(
+        *keep, "i", "_valence",
+        _sure(c("_mixed") & _is_caps(c("w"))).alias("_loud0"),
+        *[_sure(c("_mixed") & _is_caps(c(f"p{n}"))).alias(f"_loud{n}") for n in back],
+        # A preceding word counts only if it exists and is not itself in the lexicon.
+        *[(c(f"p{n}").isNotNull() & ~c(f"k{n}")).alias(f"_free{n}") for n in back],
+        *[_booster(c(f"_l{n}")).alias(f"_boost{n}") for n in back],
+        *[_sure(c(f"_l{n}").isin(W.NEGATIONS) | c(f"_l{n}").contains("n't")).alias(f"_not{n}") for n in back],
+        *[_sure(c(f"p{n}").isin("so", "this")).alias(f"_so{n}") for n in (1, 2)],
+        *[_sure(c(f"p{n}") == "never").alias(f"_never{n}") for n in (2, 3)],
+        (_sure(c("_l1") == "least") & ~_sure(c("_l2").isin("at", "very"))).alias("_least"),
+        F.when(_any(c("_around").contains(x) for x in W.IDIOMS), _idiom()).alias("_idiom"),
+        _any(pairs).alias("_damped"),
     )
-    rows = rows.select(*ids, "_mixed", "_but", F.explode_outer(near).alias("x"))
-    rows = rows.select(*ids, "_mixed", "_but", "x.*").withColumn("_l", F.lower("w"))
 
-    last = F.max_by("valence", "ord") if "ord" in lexicon.columns else F.max("valence")
-    entries = lexicon.groupBy(F.col("token").alias("_token")).agg(last.cast("double").alias("_valence"))
-    entries = broadcast_if_small(entries)
-    booster = F.col("_l").isin(W.BOOSTERS_UP + W.BOOSTERS_DOWN) | (
-        (F.col("_l") == "kind") & (F.lower("n1") == "of")
+
+def word_valences(
+    df: DataFrame, lexicon: DataFrame, ids: Sequence[str], text: str = "text", literal_rows: int = LITERAL_ROWS
+) -> DataFrame:
+    """``ids``, the number of words ``n_words`` and the final valence ``v`` of every scored
+    word; neutral words may be missing, but every text has at least one row."""
+    rows = with_once(df.select(*ids, text), _words=sentiment_words(F.col(text)))
+    rows = rows.select(
+        *ids, "_words",
+        F.size("_words").alias("n_words"),
+        F.size(F.filter("_words", _is_caps)).alias("_caps"),
+        F.nullif(F.array_position("_words", "but"), F.lit(0)).alias("_but"),
     )
-    rows = rows.withColumn("_key", F.when(F.coalesce(booster, F.lit(False)), None).otherwise(F.col("_l")))
-    rows = rows.join(entries, F.col("_key") == F.col("_token"), "left").drop("_token")
-    # Only scored words look at their neighbours, so all other rows carry NULL keys here.
-    for n in ("1", "2", "3"):
-        known = entries.select(F.col("_token").alias(f"_t{n}"))
-        key = F.when(F.col("_valence").isNotNull(), F.lower(f"p{n}"))
-        rows = rows.withColumn(f"_l{n}", key).join(known, F.col(f"_l{n}") == F.col(f"_t{n}"), "left")
-
-    c = F.col
-    # One preceding word counts only if it exists and is not itself in the lexicon.
-    free = {n: c(f"_l{n}").isNotNull() & c(f"_t{n}").isNull() for n in ("1", "2", "3")}
-    loud = {n: c("_mixed") & _is_caps(c(f"p{n}")) for n in ("1", "2", "3")}
-    so = {n: F.coalesce(c(f"p{n}").isin("so", "this"), F.lit(False)) for n in ("1", "2")}
-
-    v = c("_valence")
+    rows = rows.select(
+        *ids, "_words", "n_words",
+        ((F.col("_caps") > 0) & (F.col("_caps") < F.col("n_words"))).alias("_mixed"),
+        F.coalesce("_but", F.nullif(F.array_position("_words", "BUT"), F.lit(0))).alias("_but"),
+    )
+    entries = _entries(lexicon)
+    keep = [*ids, "n_words", "_mixed", "_but"]
+    rows = _with_neighbours(rows, keep, entries, has_at_most(entries, literal_rows))
+    rows = _with_cues(rows, keep)
+
+    c, v = F.col, F.col("_valence")
     shout = F.when(v > 0, W.CAPS).otherwise(-W.CAPS)
-    rows = rows.withColumn("_v", F.when(c("_mixed") & _is_caps(c("w")), v + shout).otherwise(v))
+    rows = rows.withColumn("_v", F.when(c("_loud0"), v + shout).otherwise(v))
     v = c("_v")
-    near1 = v + _boost(c("_l1"), loud["1"], v)
-    near1 = F.when(_negates(c("_l1")), near1 * W.NEGATE).otherwise(near1)
-    rows = rows.withColumn("_v", F.when(free["1"], near1).otherwise(v))
-    near2 = v + _boost(c("_l2"), loud["2"], v) * 0.95
-    never2 = F.coalesce(c("p2") == "never", F.lit(False)) & so["1"]
-    near2 = F.when(never2, near2 * 1.5).when(_negates(c("_l2")), near2 * W.NEGATE).otherwise(near2)
-    rows = rows.withColumn("_v", F.when(free["2"], near2).otherwise(v))
-    near3 = v + _boost(c("_l3"), loud["3"], v) * 0.9
-    never3 = (F.coalesce(c("p3") == "never", F.lit(False)) & so["2"]) | so["1"]
-    near3 = F.when(never3, near3 * 1.25).when(_negates(c("_l3")), near3 * W.NEGATE).otherwise(near3)
-    back = F.coalesce(*[
-        _idiom_value(_phrase(*[c(x) for x in xs]))
-        for xs in (("p1", "w"), ("p2", "p1", "w"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))
-    ])
-    ahead = F.coalesce(_idiom_value(_phrase(c("w"), c("n1"), c("n2"))), _idiom_value(_phrase(c("w"), c("n1"))))
-    damped = _phrase(c("p3"), c("p2")).isin(W.BOOSTERS_DOWN) | _phrase(c("p2"), c("p1")).isin(W.BOOSTERS_DOWN)
-    near3 = F.coalesce(ahead, back, near3) + F.when(damped, -W.BOOST).otherwise(0.0)
-    rows = rows.withColumn("_v", F.when(free["3"], near3).otherwise(v))
-
-    spared = F.coalesce(F.lower("p2").isin("at", "very"), F.lit(False))
-    least = free["1"] & (c("_l1") == "least") & ~spared
-    rows = rows.withColumn("_v", F.when(least, v * W.NEGATE).otherwise(v))
-    turn = (
-        F.when((c("_but") > 0) & (c("i") < c("_but")), 0.5)
-        .when((c("_but") > 0) & (c("i") > c("_but")), 1.5)
-        .otherwise(1.0)
-    )
-    value = F.when(c("w").isNotNull(), F.coalesce(v * turn, F.lit(0.0)))
-    return rows.select(*ids, value.alias("v"))
+    for n, weight in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        rows = rows.withColumn("_b", v + _boost(c(f"_boost{n}"), c(f"_loud{n}"), v) * weight)
+        changed = F.when(c(f"_not{n}"), c("_b") * W.NEGATE).otherwise(c("_b"))
+        if n == 2:
+            changed = F.when(c("_never2") & c("_so1"), c("_b") * 1.5).otherwise(changed)
+        if n == 3:
+            emphatic = (c("_never3") & c("_so2")) | c("_so1")
+            changed = F.coalesce(c("_idiom"), F.when(emphatic, c("_b") * 1.25).otherwise(changed))
+            changed = changed + F.when(c("_damped"), -W.BOOST).otherwise(0.0)
+        rows = rows.withColumn("_v", F.when(c(f"_free{n}"), changed).otherwise(v))
+    rows = rows.withColumn("_v", F.when(c("_free1") & c("_least"), v * W.NEGATE).otherwise(v))
+    # Words before 'but' count half, words after it half as much again.
+    turn = F.when(c("i") < c("_but"), 0.5).when(c("i") > c("_but"), 1.5).otherwise(1.0)
+    return rows.select(*ids, "n_words", (v * turn).alias("v"))
 
 
 def lexicon_sentiment(
-    df: DataFrame, lexicon: DataFrame, ids: Sequence[str], text: str = "text", keep: Sequence[str] = ()
+    df: DataFrame, lexicon: DataFrame, ids: Sequence[str], text: str = "text", keep: Sequence[str] = (),
+    literal_rows: int = LITERAL_ROWS,
 ) -> DataFrame:
     """``ids, keep, negative, neutral, positive, compound`` of every text.
 
-    ``lexicon(token, valence)`` holds lower-case words.  Columns in ``keep`` must depend on
-    the ids.  Words of one text are adjacent, so they collapse before the shuffle.
+    ``lexicon(token, valence)`` holds lower-case words.  ``ids`` identify a row and columns in
+    ``keep`` depend on them.  Words of one text are adjacent, so they collapse before the
+    shuffle.
     """
     rows = df.withColumn("_amp", emphasis(F.coalesce(F.col(text), F.lit(""))))
     keys = [*ids, *keep, "_amp"]
-    words = word_valences(rows, lexicon, keys, text)
     v = F.col("v")
-    sums = words.groupBy(*keys).agg(
+    sums = word_valences(rows, lexicon, keys, text, literal_rows).groupBy(*keys, "n_words").agg(
         F.coalesce(F.sum("v"), F.lit(0.0)).alias("_s"),
         F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_p"),
         F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_n"),
-        F.sum(F.when(v == 0, 1.0).otherwise(0.0)).alias("_z"),
-        F.count("v").alias("_words"),
+        (F.col("n_words") - F.sum(F.when(v != 0, 1).otherwise(0))).alias("_z"),
     )
     s, p, n, z, amp = (F.col(x) for x in ("_s", "_p", "_n", "_z", "_amp"))
-    total = F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(s)
-    compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.sqrt(total * total + 15)))
-    pos = F.when(p > n, p + amp).otherwise(p)
-    neg = F.when(p < n, n + amp).otherwise(n)
-    scored = sums.select(*ids, *keep, "_words", compound.alias("_c"), pos.alias("_p"), neg.alias("_n"), z.alias("_z"))
-    mass = F.col("_p") + F.col("_n") + F.col("_z")
+    scored = sums.select(
+        *ids, *keep, "n_words", z.alias("_z"),
+        F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(s).alias("_s"),
+        F.when(p > n, p + amp).otherwise(p).alias("_p"),
+        F.when(p < n, n + amp).otherwise(n).alias("_n"),
+    )
+    compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + 15)))
 
-    def share(name: str) -> Column:
-        return F.when(F.col("_words") > 0, F.bround(F.col(name) / mass, 3)).otherwise(0.0)
+    def share(part: Column) -> Column:
+        return F.when(F.col("n_words") > 0, F.bround(part / (p + n + z), 3)).otherwise(0.0)
 
     return scored.select(
-        *ids,
-        *keep,
-        share("_n").alias("negative"),
-        share("_z").alias("neutral"),
-        share("_p").alias("positive"),
-        F.bround("_c", 4).alias("compound"),
+        *ids, *keep, share(n).alias("negative"), share(z).alias("neutral"), share(p).alias("positive"),
+        F.bround(compound, 4).alias("compound"),
     )
 
 

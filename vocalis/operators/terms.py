@@ -71,6 +71,12 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", max_size: int = 25_000) ->
     return top.withColumn("term_id", ids.cast("long")).unionByName(special)
 
 
+def join_weights(bags: DataFrame, weights: DataFrame) -> DataFrame:
+    """Look up the weight of every term.  A counted-small table is broadcast; otherwise the
+    frequent terms make skewed partitions, which adaptive execution splits."""
+    return bags.join(broadcast_if_small(materialize(weights)), "term")
+
+
 def _normalized(weights: DataFrame, id_col: str) -> DataFrame:
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return weights.withColumn("_norm", norm).select(
@@ -78,28 +84,30 @@ def _normalized(weights: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _weighted(df: DataFrame, id_col: str, tokens: str, weight, min_df: float) -> DataFrame:
-    n_docs = n_rows(df)
+def _weighted(df: DataFrame, id_col: str, tokens: str, weight, min_df: float, n_docs: Column | None) -> DataFrame:
+    n_docs = n_rows(df) if n_docs is None else n_docs
     frequencies = doc_frequency(df, tokens).where(F.col("df") >= F.lit(min_df) * n_docs)
     idf = frequencies.select("term", weight(n_docs, F.col("df")).alias("_idf"))
-    idf = broadcast_if_small(materialize(idf))
     # Placed by id once: counting per document and the norm need no further shuffle.
     placed = df.select(id_col, tokens).repartition(F.col(id_col))
-    weights = bag_of_words(placed, id_col, tokens).join(idf, "term")
+    weights = join_weights(bag_of_words(placed, id_col, tokens), idf)
     return _normalized(weights.withColumn("_w", F.col("tf") * F.col("_idf")), id_col)
 
 
-def tfidf_smooth(df: DataFrame, id_col: str, tokens: str = "tokens", min_df: float = 1e-4) -> DataFrame:
+def tfidf_smooth(
+    df: DataFrame, id_col: str, tokens: str = "tokens", min_df: float = 1e-4, n_docs: Column | None = None
+) -> DataFrame:
     """``(id, term, tf, tfidf)``: smoothed idf ``ln((1+n)/(1+df)) + 1``, unit length per
-    document; terms below the share ``min_df`` of documents are left out."""
+    document; terms below the share ``min_df`` of documents are left out.  Give ``n_docs``
+    when the tokens are costly and the rows can be counted on something cheaper."""
     return _weighted(
-        df, id_col, tokens, lambda n, d: F.log((F.lit(1.0) + n) / (F.lit(1.0) + d)) + F.lit(1.0), min_df
+        df, id_col, tokens, lambda n, d: F.log((F.lit(1.0) + n) / (F.lit(1.0) + d)) + F.lit(1.0), min_df, n_docs
     )
 
 
 def tfidf_log2(df: DataFrame, id_col: str, tokens: str = "tokens") -> DataFrame:
     """``(id, term, tf, tfidf)``: ``tf * log2(n/df)``, unit length per document."""
-    return _weighted(df, id_col, tokens, lambda n, d: F.log2(n / d), 0.0)
+    return _weighted(df, id_col, tokens, lambda n, d: F.log2(n / d), 0.0, None)
 
 
 def _top_per_cell(scored: DataFrame, cell: Sequence[str], score: str, k: int) -> DataFrame:

@@ -367,7 +367,7 @@ def _lemmatized(source: str) -> str:
 ORACLE["lemmatize_lookup"] = _with(
     "raw", f"SELECT post_id, {flat('lemmas')} AS tokens FROM raw LEFT JOIN lx USING (post_id)", _LEMMA.strip() + _lemmatized("raw")
 )
-ORACLE["clean_pipeline"] = _with("lexicon raw", f"""
+ORACLE["clean_chain"] = _with("lexicon raw", f"""
     SELECT post_id, user_id, branch, {flat('fin.tokens')} AS tokens, CAST(branch IN ('senate', 'house') AS INTEGER) AS leadership, {TOPIC_FLAGS}
     FROM fin JOIN hit USING (post_id) JOIN posts USING (post_id)""", _LEMMA.strip() + f"""
     stripped AS (SELECT post_id, list_filter({tokenize('p')}, lambda x: x <> '#of') AS tokens

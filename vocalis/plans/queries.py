@@ -246,7 +246,7 @@ def join_idf(spark, d):
     words = V.tokens(spark, d)
     bags = terms.bag_of_words(words, "post_id")
     weights = terms.doc_frequency(words).select("term", "weight")
-    return bags.join(weights, "term").select("post_id", "term", "tf", "weight")
+    return terms.join_weights(bags, weights).select("post_id", "term", "tf", "weight")
 
 
 @query
@@ -549,7 +549,7 @@ def tag_topics(spark, d):
 
 
 @query
-def clean_pipeline(spark, d):
+def clean_chain(spark, d):
     out = clean.clean_documents(
         V.posts(spark, d), V.lexicon(spark, d), V.TOPICS, source="branch", leadership_sources=V.LEADERSHIP,
         strip_handles=True, hashtags="select", select_tags=V.SELECT_TAGS, **V.clean_options(spark, d),
@@ -562,7 +562,8 @@ def clean_pipeline(spark, d):
 @query
 def tfidf_features(spark, d):
     rows = T.with_once(V.tokens(spark, d), words=T.vector_words(F.col("tokens")))
-    return _rounded(terms.tfidf_smooth(rows, "post_id", "words", 1e-4), "tfidf", digits=6)
+    n_docs = terms.n_rows(V.tokens(spark, d))
+    return _rounded(terms.tfidf_smooth(rows, "post_id", "words", 1e-4, n_docs), "tfidf", digits=6)
 
 
 @query

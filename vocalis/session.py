@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only after it was counted to hold at most this many rows.
 BROADCAST_ROWS = 200_000
 # Lookups up to this many rows may become literals of an expression.
-LITERAL_ROWS = 5_000
+LITERAL_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
