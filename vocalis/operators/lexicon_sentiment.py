@@ -187,7 +187,7 @@ def word_valences(
     rows = rows.withColumn("_v", F.when(c("_free1") & c("_least"), v * W.NEGATE).otherwise(v))
     # Words before 'but' count half, words after it half as much again.
     turn = F.when(c("i") < c("_but"), 0.5).when(c("i") > c("_but"), 1.5).otherwise(1.0)
-    return rows.select(*ids, "n_words", (v * turn).alias("v"))
+    return rows.select(*ids, "n_words", F.when(c("_valence").isNotNull(), v * turn).alias("v"))
 
 
 def lexicon_sentiment(
