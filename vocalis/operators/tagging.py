@@ -22,9 +22,14 @@ def topic_map(lexicon: DataFrame) -> DataFrame:
     return tagged.groupBy("bigram").agg(F.max_by("topic", "ord").alias("topic"))
 
 
-def _small_map(lexicon: DataFrame) -> dict[str, str] | None:
+def _small_map(lexicon: DataFrame, ids: Sequence[str]) -> dict[str, str] | None:
+    """The lexicon as a dictionary if it is small enough for a literal, else None."""
     rows = topic_map(lexicon).limit(LITERAL_ROWS + 1).collect()
-    return {r["bigram"]: r["topic"] for r in rows} if len(rows) <= LITERAL_ROWS else None
+    if len(rows) <= LITERAL_ROWS:
+        return {r["bigram"]: r["topic"] for r in rows}
+    if not ids:
+        raise ValueError("a lexicon of this size is joined, which needs the ids of the rows")
+    return None
 
 
 def match_topics(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -41,7 +46,7 @@ def tag_topics(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str]
     A lexicon of checked size becomes a literal of a narrow expression, so nothing is
     shuffled; a larger one is joined by ``ids``.
     """
-    mapping = _small_map(lexicon)
+    mapping = _small_map(lexicon, ids)
     if mapping is None:
         found = match_topics(df, grams, lexicon, ids)
         return df.join(found, list(ids), "left").withColumn(
@@ -58,7 +63,7 @@ def tag_topics(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str]
 
 def has_lexicon_bigram(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
     """Boolean column: does the row share a bigram with the lexicon?"""
-    mapping = _small_map(lexicon)
+    mapping = _small_map(lexicon, ids)
     if mapping is None:
         hit = match_topics(df, grams, lexicon, ids).select(*ids, F.lit(True).alias(name))
         return df.join(hit, list(ids), "left").withColumn(name, F.coalesce(name, F.lit(False)))

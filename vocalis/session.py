@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of a join is broadcast only after it was counted to hold at most this many rows.
+# A side of a join is broadcast only after it was found to hold at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # Lookups up to this many rows may become literals of an expression.
 LITERAL_ROWS = 10_000
 
@@ -46,12 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` holds at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def has_at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` holds at most ``rows`` rows of together at most ``size`` bytes (written
+    as JSON); reads no further than ``rows + 1`` rows."""
+    written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(written).alias("size")).first()
+    return found["rows"] <= rows and (found["size"] or 0) <= size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side counted to be small; a larger side is left to a shuffled
+    """Broadcast hint for a side measured to be small; a larger side is left to a shuffled
     join, where adaptive execution splits skewed partitions."""
     return F.broadcast(df) if has_at_most(df, rows) else df

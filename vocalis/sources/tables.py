@@ -38,7 +38,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     cluster has cores is dealt out evenly; a table of many files is read as it lies."""
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    # Files are listed only when there are few: a split packs a bounded number of them.
+    few = df.rdd.getNumPartitions() < 4 * cores and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
