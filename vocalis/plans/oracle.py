@@ -324,7 +324,7 @@ ORACLE: dict[str, str] = {
     "sample_n_per_group": _with("grouped", "SELECT grp AS \"group\", post_id FROM grouped WHERE grp <> '' QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('3:' || post_id)) <= 10"),
     "preview": _with("posts", f"SELECT post_id, {day('post_date')} AS post_date, user_id, text FROM posts ORDER BY post_id LIMIT 5"),
     "union_distinct_master": _with("master", f"SELECT post_id, {day('post_date')} AS post_date, user_id, retweet_count, favorite_count, {flat('tokens')} AS tokens, CAST(leadership AS INTEGER) AS leadership, CAST(democrat AS INTEGER) AS democrat, {TOPIC_FLAGS} FROM master"),
-    "union_all_docs": "SELECT 'documents' AS origin, doc_id AS id, CAST(length(text) AS INTEGER) AS chars FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark UNION ALL SELECT 'conversations', conv_id, length(text) FROM conversations",
+    "union_all_docs": "SELECT 'documents' AS origin, doc_id AS id, length(text) AS chars FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark UNION ALL SELECT 'conversations', conv_id, length(text) FROM conversations",
     "bigram_lexicon_intersect": _with("tagged", "SELECT post_id, CAST(len(topics) > 0 AS INTEGER) AS political FROM tagged"),
     "strip_punctuation": f"SELECT doc_id, translate(text, {_q(T.PUNCTUATION)}, '') AS text FROM documents",
     "strip_urls": f"SELECT page_id, regexp_replace(url || ' ' || html, {_q(T.URL)}, '', 'g') AS text, {plain('(url || chr(32) || html)')} AS glued FROM pages",

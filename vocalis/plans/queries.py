@@ -456,9 +456,9 @@ def union_distinct_master(spark, d):
 @query
 def union_all_docs(spark, d):
     return assemble.union_all([
-        V.documents(spark, d).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").alias("chars")),
-        V.table(spark, d, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.length("text").alias("chars")),
-        V.table(spark, d, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("id"), F.length("text").alias("chars")),
+        V.documents(spark, d).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("chars")),
+        V.table(spark, d, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("chars")),
+        V.table(spark, d, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("id"), F.length("text").cast("long").alias("chars")),
     ])
 
 
