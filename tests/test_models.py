@@ -41,14 +41,29 @@ def test_baseline_run(rows, tmp_path):
     assert got["LR", "test"] > 0.9 and got["NB", "test"] > 0.9
     scores = table.collect()
     assert len(scores) == 5 and {r["rank"] for r in scores if r["family"] == "LogisticRegression()"} == {1, 2, 3, 4}
-    models.save_model(fitted["LR"], str(tmp_path / "m"))
-    loaded = type(fitted["LR"]).load(str(tmp_path / "m"))
+    models.save_models(fitted, str(tmp_path / "m"))
+    again, no_table, _ = models.run_baseline(rows, {**config, "run_type": "load", "model_obj_path": str(tmp_path / "m")}, ["id"])
+    assert no_table is None and sorted(again.collect()) == sorted(metrics.collect())
+    loaded = models.load_models(config, str(tmp_path / "m"))["LR"]
     featured = models.add_tfidf(fitted["tfidf"], rows)
     a = models.predict(fitted["LR"], featured, "id").orderBy("id").collect()
     assert a == models.predict(loaded, featured, "id").orderBy("id").collect()
     assert all(0 <= r["probability"] <= 1 and r["prediction"] == int(r["probability"] > 0.5) for r in a)
 
 
+def test_prepare_training(spark):
+    table = spark.createDataFrame(
+        [(i, 4 if i % 2 else 0, "['a', 'b']" if i % 10 else "[]", "unused") for i in range(100)],
+        "id long, sentiment int, tokens string, other string",
+    )
+    config = {"reqd_cols": ["sentiment", "tokens"], "label_col": "sentiment", "test_frac": 0.1, "val_frac": 0.2, "sample_rows": 80}
+    out = models.prepare_training(table, config, ["id"])
+    rows = out.collect()
+    assert out.columns == ["id", "sentiment", "tokens", "label", "split"]
+    assert len(rows) <= 80 and {r["label"] for r in rows} == {0, 1} and all(r["tokens"] == ["a", "b"] for r in rows)
+    assert {r["split"] for r in rows} == {"train", "valid", "test"}
+
+
 def test_penalty_scale():
     lr = models.estimator("LogisticRegression()", {"penalty": "l1", "C": 0.01}, 1000)
     assert (lr.getRegParam(), lr.getElasticNetParam()) == (0.1, 1.0)

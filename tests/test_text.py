@@ -21,6 +21,7 @@ CHAIN = [
     ("right to vote", "right vote"),
     ("“great” news😀now covid19", "great news covid 19"),
     ("call 555 1234 ok", "call 555 1234 ok"),
+    ("#####tag éééééé eeeeee", "###tag ééé eeeeee"),
 ]
 
 

@@ -37,6 +37,8 @@ HANDLE = (
     r"@(?<![A-Za-z0-9_!@#$%&*]@)"
     r"(?:[A-Za-z0-9_]{20}(?!@)|[A-Za-z0-9_]{1,19}(?![A-Za-z0-9_]*@))"
 )
+# A sign other than an ASCII letter or digit is kept at most three times in a row.
+LONG_RUN = r"([^a-zA-Z0-9])\1{3,}"
 TOKEN_REPR = r"'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\""
 VECTOR_WORD = rf"[{WORD}]{{2,}}"
 # ----------------------------------------------------------------------------------------
@@ -75,7 +77,8 @@ def strip_handles(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-cased tokens; emoticons keep their case.  A missing text has no tokens."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    short = F.regexp_replace(F.coalesce(text, F.lit("")), LONG_RUN, "$1$1$1")
+    found = F.regexp_extract_all(short, F.lit(TOKEN), F.lit(0))
     return F.transform(
         found,
         lambda t: F.when(t.contains("8") & t.rlike(EMOTICON), t).otherwise(F.lower(t)),

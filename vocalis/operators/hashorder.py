@@ -25,13 +25,6 @@ def order_key(seed: int | str, *ids: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def _histogram(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Rows per (stratum, bucket) with the number of rows before the bucket and in total."""
     whole = Window.partitionBy(*strata)
@@ -113,6 +106,7 @@ def hash_rank(df: DataFrame, key: Column, name: str, strata: Sequence[str] = ())
     offsets = _histogram(keyed, strata).select(
         *[F.col(s).alias(f"_s_{s}") for s in strata], F.col("_bucket").alias("_b"), "_before"
     )
+    offsets = broadcast_if_small(materialize(offsets))
     cond = ranked["_bucket"] == offsets["_b"]
     for s in strata:
         cond = cond & ranked[s].eqNullSafe(offsets[f"_s_{s}"])

@@ -7,7 +7,7 @@ from functools import reduce
 from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,10 +16,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.functions.rows import threshold
-from vocalis.functions.text import explode_each, vector_words, with_once
+from vocalis.functions.rows import recode_label, threshold
+from vocalis.functions.text import explode_each, parse_token_list, vector_words, with_once
 from vocalis.operators.report import binary_metrics
-from vocalis.operators.sampling import stratified_folds
+from vocalis.operators.sampling import sample_n, stratified_folds, stratified_split
 from vocalis.session import broadcast_if_small, materialize
 
 # The share of documents a term must occur in bounds the vocabulary by its reciprocal times
@@ -45,7 +45,8 @@ def add_tfidf(model: PipelineModel, df: DataFrame, tokens: str = "tokens") -> Da
 
 
 # --- fixed values: names of the model families in a configuration ------------------------
-FAMILIES = ("LogisticRegression()", "GaussianNB()")
+FAMILIES = {"LogisticRegression()": LogisticRegressionModel, "GaussianNB()": NaiveBayesModel}
+SAMPLE_ROWS = 500_000
 SCORING = {
     "accuracy": {"metricName": "accuracy"},
     "precision": {"metricName": "precisionByLabel", "metricLabel": 1.0},
@@ -125,29 +126,59 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def prepare_training(table: DataFrame, config: Mapping, ids: Sequence[str], tokens: str = "tokens") -> DataFrame:
+    """Rows to train on, as a configuration asks: the required columns of a sample, token lists
+    parsed, empty texts dropped, labels 0/1, and the part every row belongs to."""
+    label, seed = config["label_col"], config.get("seed", 1234)
+    columns = [c for c in dict.fromkeys([*ids, *config["reqd_cols"], label, tokens])]
+    rows = sample_n(table.select(*columns), config.get("sample_rows", SAMPLE_ROWS), ids, seed)
+    if dict(rows.dtypes)[tokens] == "string":
+        rows = with_once(rows, **{tokens: parse_token_list(F.col(tokens))})
+    rows = rows.where(F.size(tokens) > 0).withColumn("label", recode_label(F.col(label)).cast("int"))
+    test, valid = float(config["test_frac"]), float(config["val_frac"])
+    return stratified_split(materialize(rows), "label", ids, test, valid, seed)
+
+
+def save_models(models: Mapping, path: str) -> None:
+    for name, model in models.items():
+        save_model(model, f"{path.rstrip('/')}/{name}")
+
+
+def load_models(config: Mapping, path: str) -> dict:
+    """Models of an earlier run: the features and one model per family of the configuration."""
+    kinds = {family: FAMILIES[spec["type"]] for family, spec in config["grid"].items()}
+    return {name: kind.load(f"{path.rstrip('/')}/{name}") for name, kind in {"tfidf": PipelineModel, **kinds}.items()}
+
+
 def run_baseline(
     data: DataFrame, config: Mapping, ids: Sequence[str], tokens: str = "tokens", fit_on_all: bool = False
-) -> tuple[DataFrame, DataFrame, dict]:
-    """Train every family of a configuration and evaluate it on validation and test rows.
+) -> tuple[DataFrame, DataFrame | None, dict]:
+    """Evaluate every family of a configuration on validation and test rows.
 
-    ``data`` has ``label``, ``split`` (train, valid, test), tokens and ids.  Features are
-    fitted on the training part unless ``fit_on_all``.  Returns the metrics, the
-    cross-validation table and the models.
+    ``data`` has ``label``, ``split`` (train, valid, test), tokens and ids.  With ``run_type``
+    ``build`` (the default) the families are trained by grid search, with ``load`` they are read
+    from ``model_obj_path``.  Features are fitted on the training part unless ``fit_on_all``.
+    Returns the metrics, the cross-validation table (None when loaded) and the models.
     """
     train = F.col("split") == "train"
-    tfidf = fit_tfidf(data if fit_on_all else data.where(train), tokens, config.get("min_df", 1e-4))
-    featured = materialize(add_tfidf(tfidf, data, tokens).select(*ids, "label", "split", "features"))
-    predictions, tables, models = [], [], {"tfidf": tfidf}
+    load = config.get("run_type", "build") == "load"
+    if load:
+        models = load_models(config, config["model_obj_path"])
+    else:
+        models = {"tfidf": fit_tfidf(data if fit_on_all else data.where(train), tokens, config.get("min_df", 1e-4))}
+    featured = materialize(add_tfidf(models["tfidf"], data, tokens).select(*ids, "label", "split", "features"))
+    predictions, tables = [], []
     for family, spec in config["grid"].items():
-        model, table = grid_search(
-            featured.where(train), spec["type"], spec["grid"], ids, config.get("folds", 5), config.get("scoring", "accuracy")
-        )
-        models[family] = model
-        tables.append(table)
-        held = predict(model, featured.where(~train), "split", "label")
+        if not load:
+            models[family], table = grid_search(
+                featured.where(train), spec["type"], spec["grid"], ids, config.get("folds", 5),
+                config.get("scoring", "accuracy"),
+            )
+            tables.append(table)
+        held = predict(models[family], featured.where(~train), "split", "label")
         predictions.append(held.withColumn("family", F.lit(family)))
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return evaluate_splits(union(predictions)), union(tables), models
+    return evaluate_splits(union(predictions)), union(tables) if tables else None, models
 
 
 def join_embeddings(df: DataFrame, vectors: DataFrame, ids: Sequence[str], tokens: str, size: int) -> DataFrame:

@@ -39,7 +39,8 @@ def doc_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 def dictionary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(term, df, term_id)`` with dense ids from 0, dealt in hash order of the terms so that
     no task has to sort the whole vocabulary."""
-    counts = doc_frequency(df, tokens).drop("weight")
+    # Ranking reads the vocabulary twice, the corpus only once.
+    counts = materialize(doc_frequency(df, tokens).drop("weight"))
     ranked = hash_rank(counts, order_key("dictionary", "term"), "term_id")
     return ranked.withColumn("term_id", F.col("term_id") - 1)
 
