@@ -44,6 +44,15 @@ def emphasis(text: Column) -> Column:
     return loud + asking
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Round half to even; values a hair off a tie, from summing in another order, count as ties."""
+    scaled = value * F.lit(10.0**digits)
+    low = F.floor(scaled)
+    tie = F.abs(scaled - low - 0.5) < 1e-6
+    nearest = F.when(tie, low + F.pmod(low, F.lit(2))).otherwise(F.floor(scaled + 0.5))
+    return nearest / F.lit(10.0**digits)
+
+
 def _is_caps(word: Column) -> Column:
     return (word != F.lower(word)) & (word == F.upper(word))
 
@@ -219,11 +228,11 @@ def lexicon_sentiment(
     compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + 15)))
 
     def share(part: Column) -> Column:
-        return F.when(F.col("n_words") > 0, F.bround(part / (p + n + z), 3)).otherwise(0.0)
+        return F.when(F.col("n_words") > 0, round_even(part / (p + n + z), 3)).otherwise(0.0)
 
     return scored.select(
         *ids, *keep, share(n).alias("negative"), share(z).alias("neutral"), share(p).alias("positive"),
-        F.bround(compound, 4).alias("compound"),
+        round_even(compound, 4).alias("compound"),
     )
 
 

@@ -14,7 +14,8 @@ WINDOW_LIMIT = 1000
 
 
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int | str = 0) -> DataFrame:
-    """Uniform sample of ``n`` rows without replacement."""
+    """Uniform sample of ``n`` rows without replacement; ``ids`` must identify a row (rows with
+    equal ids are taken or left together)."""
     return sample_n_per_group(df, n, [], ids, seed)
 
 

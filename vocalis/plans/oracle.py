@@ -28,6 +28,16 @@ def plain(text: str) -> str:
     return f"regexp_replace(translate({text}, {_q(T.PUNCTUATION)}, ''), {_q(T.URL)}, '', 'g')"
 
 
+def shortened(chars: str) -> str:
+    """Text from its list of characters, runs of a sign other than an ASCII letter or digit cut
+    to three."""
+    same = " AND ".join(f"{chars}[i] = {chars}[i - {k}]" for k in (1, 2, 3))
+    return (
+        f"array_to_string(list_transform(range(1, len({chars}) + 1), lambda i: CASE WHEN i > 3 AND {same} "
+        f"AND NOT regexp_matches({chars}[i], '[a-zA-Z0-9]') THEN '' ELSE {chars}[i] END), '')"
+    )
+
+
 def tokenize(text: str) -> str:
     return (
         f"list_transform(regexp_extract_all({text}, {_q(T.TOKEN)}), "
@@ -51,6 +61,15 @@ def flat(t: str) -> str:
     return f"coalesce(array_to_string({t}, ' '), '')"
 
 
+def even(value: str, digits: int) -> str:
+    """Round half to even, values within 1e-6 of a tie being ties."""
+    y = f"(({value}) * {10.0**digits}::DOUBLE)"
+    return (
+        f"(CASE WHEN abs({y} - floor({y}) - 0.5) < 1e-6 THEN floor({y}) + abs(floor({y}) % 2) "
+        f"ELSE floor({y} + 0.5) END / {10.0**digits}::DOUBLE)"
+    )
+
+
 def day(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d')"
 
@@ -80,7 +99,7 @@ CTES: dict[str, tuple[str, str]] = {
         SELECT doc_id AS post_id, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS prediction_raw,
                CAST((doc_id * 7919 % 1000) / 1000.0::DOUBLE > 0.5 AS INTEGER) AS prediction_class
         FROM documents"""),
-    "raw": ("posts", f"SELECT * EXCLUDE (p), {tokenize('p')} AS tokens FROM (SELECT *, {plain('text')} AS p FROM posts)"),
+    "raw": ("posts", f"SELECT * EXCLUDE (p), {tokenize('p')} AS tokens FROM (SELECT * EXCLUDE (l), {shortened('l')} AS p FROM (SELECT *, string_split({plain('text')}, '') AS l FROM posts))"),
     "toks": ("raw", f"SELECT * EXCLUDE (tokens), {no_stop('tokens')} AS tokens FROM raw"),
     "grams": ("toks", f"""
         SELECT *, list_concat(words, pairs) AS grams
@@ -190,10 +209,10 @@ def _valence_ctes(source: str, keys: str) -> str:
         SELECT {keys}, nw, z, CASE WHEN s > 0 THEN s + amp WHEN s < 0 THEN s - amp ELSE s END AS t,
             CASE WHEN p > n THEN p + amp ELSE p END AS p, CASE WHEN p < n THEN n + amp ELSE n END AS n FROM amps),
     sent AS (
-        SELECT {keys}, CASE WHEN nw > 0 THEN round_even(n / (p + n + z), 3) ELSE 0 END AS negative,
-            CASE WHEN nw > 0 THEN round_even(z / (p + n + z), 3) ELSE 0 END AS neutral,
-            CASE WHEN nw > 0 THEN round_even(p / (p + n + z), 3) ELSE 0 END AS positive,
-            round_even(greatest(-1.0, least(1.0, t / sqrt(t * t + 15))), 4) AS compound FROM parts)"""
+        SELECT {keys}, CASE WHEN nw > 0 THEN {even('n / (p + n + z)', 3)} ELSE 0 END AS negative,
+            CASE WHEN nw > 0 THEN {even('z / (p + n + z)', 3)} ELSE 0 END AS neutral,
+            CASE WHEN nw > 0 THEN {even('p / (p + n + z)', 3)} ELSE 0 END AS positive,
+            {even('greatest(-1.0, least(1.0, t / sqrt(t * t + 15)))', 4)} AS compound FROM parts)"""
 
 
 def _with(names: str, body: str, extra: str = "") -> str:
@@ -282,7 +301,7 @@ ORACLE: dict[str, str] = {
     "join_predictions": _with("scored", "SELECT post_id, user_id, prediction_raw, prediction_class FROM scored"),
     "join_lexicon": _with("matched", f"SELECT post_id, {flat('topics')} AS topics FROM matched"),
     "join_idf": _with("dfs", "SELECT post_id, term, tf, 1.0::DOUBLE / df AS weight FROM bags JOIN dfs USING (term)"),
-    "join_embeddings": f"""WITH lab AS (SELECT doc_id, {no_stop('t')} AS tokens FROM (SELECT doc_id, {tokenize('p')} AS t FROM (SELECT doc_id, {plain('text')} AS p FROM documents JOIN labels USING (doc_id)))),
+    "join_embeddings": f"""WITH lab AS (SELECT doc_id, {no_stop('t')} AS tokens FROM (SELECT doc_id, {tokenize('p')} AS t FROM (SELECT doc_id, {shortened('l')} AS p FROM (SELECT doc_id, string_split({plain('text')}, '') AS l FROM documents JOIN labels USING (doc_id))))),
         tk AS (SELECT doc_id, unnest(tokens) AS term FROM lab),
         voc AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS vec_id FROM tk GROUP BY term ORDER BY count(*) DESC, term LIMIT 25000),
         vec AS (SELECT term, CAST(embedding[1] AS DOUBLE) AS f FROM voc JOIN embeddings USING (vec_id))
@@ -318,9 +337,9 @@ ORACLE: dict[str, str] = {
             SELECT term, 1.0::DOUBLE / count(*) AS w FROM (SELECT unnest(list_distinct(tokens)) AS term FROM scored) GROUP BY term) USING (term)
         QUALIFY row_number() OVER (PARTITION BY topic, grp, prediction_class ORDER BY n * w DESC, term) <= 10"""),
     "topn_terms": _with("toks", f"SELECT term, count(*) AS n FROM (SELECT unnest(list_filter({bigrams('tokens')}, lambda x: NOT regexp_matches(x, '(^|_)[#@]'))) AS term FROM toks) GROUP BY term ORDER BY n DESC, term LIMIT 1000"),
-    "sample_n": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber) LIMIT 20000",
+    "sample_n": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey) LIMIT 20000",
     "sample_n_per_source": _with("posts", "SELECT branch, post_id FROM posts WHERE post_date BETWEEN date '2018-01-01' AND date '2019-01-01' QUALIFY row_number() OVER (PARTITION BY branch ORDER BY md5('5:' || post_id)) <= 100"),
-    "sample_large_per_source": "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('5:' || l_orderkey || ':' || l_linenumber)) <= 15000",
+    "sample_large_per_source": "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('5:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) <= 15000",
     "sample_n_per_group": _with("grouped", "SELECT grp AS \"group\", post_id FROM grouped WHERE grp <> '' QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('3:' || post_id)) <= 10"),
     "preview": _with("posts", f"SELECT post_id, {day('post_date')} AS post_date, user_id, text FROM posts ORDER BY post_id LIMIT 5"),
     "union_distinct_master": _with("master", f"SELECT post_id, {day('post_date')} AS post_date, user_id, retweet_count, favorite_count, {flat('tokens')} AS tokens, CAST(leadership AS INTEGER) AS leadership, CAST(democrat AS INTEGER) AS democrat, {TOPIC_FLAGS} FROM master"),
@@ -371,7 +390,8 @@ ORACLE["clean_chain"] = _with("lexicon raw", f"""
     SELECT post_id, user_id, branch, {flat('fin.tokens')} AS tokens, CAST(branch IN ('senate', 'house') AS INTEGER) AS leadership, {TOPIC_FLAGS}
     FROM fin JOIN hit USING (post_id) JOIN posts USING (post_id)""", _LEMMA.strip() + f"""
     stripped AS (SELECT post_id, list_filter({tokenize('p')}, lambda x: x <> '#of') AS tokens
-                 FROM (SELECT post_id, regexp_replace({plain('text')}, {_q(RE2_HANDLE)}, '\\1 ', 'g') AS p FROM posts)),
+                 FROM (SELECT post_id, {shortened('l')} AS p FROM (
+                     SELECT post_id, string_split(regexp_replace({plain('text')}, {_q(RE2_HANDLE)}, '\\1 ', 'g'), '') AS l FROM posts))),
     {_lemmatized('stripped').strip()},
     fin AS (SELECT post_id, {no_stop('lemmas')} AS tokens FROM lx),
     fw AS (SELECT post_id, {no_tags('tokens')} AS w FROM fin),

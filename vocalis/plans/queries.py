@@ -17,6 +17,9 @@ from vocalis.plans import views as V
 from vocalis.session import new_shared_path
 from vocalis.sources import tables
 
+# Order and line number alone do not identify a line item here.
+LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -405,7 +408,7 @@ def topn_terms(spark, d):
 
 @query
 def sample_n(spark, d):
-    rows = sampling.sample_n(V.table(spark, d, "lineitem"), 20_000, ["l_orderkey", "l_linenumber"], seed=7)
+    rows = sampling.sample_n(V.table(spark, d, "lineitem"), 20_000, LINE_ID, seed=7)
     return rows.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
@@ -419,8 +422,10 @@ def sample_n_per_source(spark, d):
 @query
 def sample_large_per_source(spark, d):
     """Samples too large for a ranking window: cut at the exact key of rank n."""
-    items = V.table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
-    return sampling.sample_n_per_group(items, 15_000, ["l_returnflag"], ["l_orderkey", "l_linenumber"], seed=5)
+    items = V.table(spark, d, "lineitem").select("l_returnflag", *LINE_ID)
+    return sampling.sample_n_per_group(items, 15_000, ["l_returnflag"], LINE_ID, seed=5).select(
+        "l_returnflag", "l_orderkey", "l_linenumber"
+    )
 
 
 @query
