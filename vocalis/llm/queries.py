@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import secret_scan, shards
+from vocalis.llm import quality, secret_scan, shards
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,10 @@ def op1_markov_secrets(spark, d):
     """Secrets of every document by pattern and by character chains."""
     docs = table(spark, d, "documents")
     return secret_scan.secret_report(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+
+
+@query
+def op5_divergence_quality(spark, d):
+    """Measures and verdict of every document."""
+    docs = table(spark, d, "documents")
+    return quality.quality_report(docs, quality.fit_references(docs, table(spark, d, "labels")))
