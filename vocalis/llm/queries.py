@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import quality, secret_scan, shards
+from vocalis.llm import bpe, quality, secret_scan, shards
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ def op5_divergence_quality(spark, d):
     """Measures and verdict of every document."""
     docs = table(spark, d, "documents")
     return quality.quality_report(docs, quality.fit_references(docs, table(spark, d, "labels")))
+
+
+@query
+def op6_bpe_tokens(spark, d):
+    """Ids of every document by the public ranks, and their decoded bytes."""
+    return bpe.token_digests(table(spark, d, "documents"))
