@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, quality, secret_scan, shards
+from vocalis.llm import bpe, quality, secret_scan, shards, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,10 @@ def op5_divergence_quality(spark, d):
 def op6_bpe_tokens(spark, d):
     """Ids of every document by the public ranks, and their decoded bytes."""
     return bpe.token_digests(table(spark, d, "documents"))
+
+
+@query
+def op4_url_filter(spark, d):
+    """Verdict on every page's URL."""
+    pages = table(spark, d, "pages")
+    return urls.judge(pages, urls.train(urls.labelled_urls(pages)))
