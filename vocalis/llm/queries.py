@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, quality, secret_scan, shards, urls
+from vocalis.llm import bpe, decontam, quality, secret_scan, shards, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op4_url_filter(spark, d):
     """Verdict on every page's URL."""
     pages = table(spark, d, "pages")
     return urls.judge(pages, urls.train(urls.labelled_urls(pages)))
+
+
+@query
+def op10_benchmark_passages(spark, d):
+    """Passages of test items in the documents."""
+    return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
