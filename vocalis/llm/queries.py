@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, decontam, quality, secret_scan, shards, urls
+from vocalis.llm import bpe, decontam, quality, secret_scan, shards, simhash, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op4_url_filter(spark, d):
 def op10_benchmark_passages(spark, d):
     """Passages of test items in the documents."""
     return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op2_simhash_components(spark, d):
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, d, "documents"))
