@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, decontam, quality, secret_scan, shards, simhash, urls
+from vocalis.llm import bpe, decontam, lm, quality, secret_scan, shards, simhash, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op10_benchmark_passages(spark, d):
 def op2_simhash_components(spark, d):
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op3_bilinear_scores(spark, d):
+    """Unigram and log-bilinear log-probability of every document."""
+    return lm.score(table(spark, d, "documents"))
