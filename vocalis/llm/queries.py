@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, decontam, lm, quality, secret_scan, shards, simhash, urls
+from vocalis.llm import bpe, decontam, html_blocks, lm, quality, secret_scan, shards, simhash, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,10 @@ def op2_simhash_components(spark, d):
 def op3_bilinear_scores(spark, d):
     """Unigram and log-bilinear log-probability of every document."""
     return lm.score(table(spark, d, "documents"))
+
+
+@query
+def op8_block_labeller(spark, d):
+    """Main text of every page."""
+    pages = table(spark, d, "pages")
+    return html_blocks.extract(pages, html_blocks.train(html_blocks.sample_pages(pages)))
