@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, decontam, html_blocks, lm, quality, secret_scan, shards, simhash, urls
+from vocalis.llm import bpe, decontam, html_blocks, lm, quality, secret_scan, shards, simhash, token_trees, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,12 @@ def op8_block_labeller(spark, d):
     """Main text of every page."""
     pages = table(spark, d, "pages")
     return html_blocks.extract(pages, html_blocks.train(html_blocks.sample_pages(pages)))
+
+
+@query
+def op9_edited_counts(spark, d):
+    """Tokens of every document before and after its private strings are masked and its source is
+    put in front."""
+    docs = table(spark, d, "documents").select("doc_id", "text", token_trees.masking_edits(F.col("text"), F.col("source")).alias("edits"))
+    done = token_trees.with_edits(token_trees.with_trees(docs))
+    return done.select("doc_id", *[c for c in token_trees.RESULTS if c.startswith("n_")])

@@ -115,7 +115,7 @@ def mean_ratio(token: Column, chains: Chains) -> Column:
     return let(F.split(token, ""), score)
 
 
-def _places(text: Column, pattern: str, kind: int, keep=None) -> Column:
+def places(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """``array<struct<start, kind, end, value>>`` of all matches, leftmost and apart.
 
     Code points before a match are those of the pieces and matches before it.  ``keep`` gets
@@ -146,7 +146,7 @@ def _places(text: Column, pattern: str, kind: int, keep=None) -> Column:
 def base_spans(text: Column) -> Column:
     """Spans of the three base kinds by start, then kind."""
     return F.array_sort(F.concat(
-        _places(text, ASSIGN, 0, keep=lambda g: F.length(g) >= ASSIGN_VALUE), _places(text, ACCESS, 1), _places(text, HEX, 2),
+        places(text, ASSIGN, 0, keep=lambda g: F.length(g) >= ASSIGN_VALUE), places(text, ACCESS, 1), places(text, HEX, 2),
     ))
 
 
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, chains: Chains, text: str = "text") -> DataFrame:
 
     def random_runs(base: Column) -> Column:
         apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        runs = F.filter(_places(body, CANDIDATE, 3), lambda s: s["value"].rlike(KEY_RUN))
+        runs = F.filter(places(body, CANDIDATE, 3), lambda s: s["value"].rlike(KEY_RUN))
         return F.filter(runs, lambda s: F.when(apart(s), mean_ratio(s["value"], chains) > chains.threshold).otherwise(F.lit(False)))
 
     both = let(base_spans(body), lambda base: F.struct(base.alias("base"), F.array_sort(F.concat(base, random_runs(base))).alias("spans")))
