@@ -276,3 +276,29 @@ def _finder(block: Block, key_type, item_type):
                     ["key", "item", "score", "similarity", "start", "stop"])
 
     return work
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` less those that hold a passage of an item; rows stay where they are."""
+    plain = docs.select(F.lit(0).alias("key"), utf8(text).alias("text"))
+    out = docs
+    for rows in _blocks(items, item_key, item_text):
+        block = block_of(rows)
+        if block.items:
+            out = out.mapInArrow(_sieve(with_seeds(block, _document_counts(plain, block)), text), docs.schema)
+    return out
+
+
+def _sieve(block: Block, text: str):
+    def work(batches):
+        import pyarrow as pa
+
+        short = _short(block)
+        for batch in batches:
+            clean = []
+            for raw in batch.column(text).cast(pa.binary()):
+                numbers = _numbers(block, raw.as_py() or b"")
+                clean.append(not (passages(block, numbers) or (short and _short_passages(short, numbers))))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return work

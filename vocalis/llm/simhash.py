@@ -15,7 +15,8 @@ own.  Nothing is capped, and no bucket meets in one task beyond twice ``LARGE``
 
 Defined results: a NULL or empty text has fingerprint 0, which links like any other; repeated
 rows get a row each; component ids ignore NULL ids (NULL if a component has no other); other
-columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.  An empty table gives no
+columns are ignored by ``near_duplicates`` and kept by ``one_of_each``, which keeps one of rows
+equal in id and text.  An empty table gives no
 rows.
 """
 
@@ -32,8 +33,8 @@ BITS, WORDS, LIMIT, SEED = 64, 4, 4, 42
 SMALL, LARGE = 64, 20_000
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
-#: Fingerprints up to which keys of two segments are selective enough; beyond, three.
-DEPTH_ROWS = 5_000_000
+#: Fingerprints of a bucket to expect at most; keys are made so deep.
+EXPECTED = 16
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -101,6 +102,15 @@ def key_masks(limit: int, depth: int) -> list[tuple[int, int]]:
     return kinds
 
 
+def depth_for(rows: int, limit: int) -> int:
+    """Segments a bucket key needs so that evenly spread fingerprints give small buckets; it
+    changes the work, not the links."""
+    for depth in range(2, limit + 1):
+        if rows <= EXPECTED << min((m & (1 << 64) - 1).bit_count() for _, m in key_masks(limit, depth)):
+            return depth
+    return max(1, limit)
+
+
 def chain_masks(limit: int) -> list[list[tuple[int, int]]]:
     """For every start the (mask, budget) of its chains, shortest first."""
     ring, out = segments(limit), []
@@ -203,8 +213,7 @@ def links(prints: DataFrame, limit: int = LIMIT, depth: int = 2, large: int = LA
 def groups(prints: DataFrame, limit: int = LIMIT, depth: int | None = None) -> DataFrame:
     """``fp, root``: distinct fingerprints of ``prints`` with the root of their component."""
     distinct = stored(prints.select("fp").distinct(), "fingerprints")
-    if depth is None:
-        depth = 2 if distinct.count() <= DEPTH_ROWS else 3
+    depth = depth or depth_for(distinct.count(), limit)
     roots = components(links(distinct, limit, depth)).withColumnRenamed("node", "fp")
     return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -219,14 +228,95 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return prints.join(by_print, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one row of every component: that of the smallest id, NULL ids last."""
+def word_fingerprint(text: bytes, seed: int = SEED) -> int:
+    """Majority of the bits of XXH64 over the distinct words: an edited word moves one feature,
+    not all the shingles around it."""
+    import xxhash
+
+    w = set(text.lower().split())
+    if not w:
+        return 0
+    total = np.zeros(BITS, np.int64)
+    hashes = [xxhash.xxh64_intdigest(x, seed) for x in w]
+    for lo in range(0, len(hashes), COUNTED):
+        part = np.array(hashes[lo : lo + COUNTED], np.uint64).view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(w), bitorder="little").view(np.uint64)[0])
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text; of fewer words, of the whole sequence."""
+    import xxhash
+
+    w = text.lower().split()
+    if not w:
+        return np.empty(0, np.int64)
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))]
+    return np.unique(np.array(hashes, np.uint64)).view(np.int64)
+
+
+def _text_prints(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, node, fp``: a hash of the lower-cased words in order, and the word fingerprint."""
+
+    def work(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for part in chunks(batches, column="_text"):
+            raw = [x.as_py() or b"" for x in part.column("_text")]
+            node = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in raw], np.uint64).view(np.int64)
+            fp = np.array([word_fingerprint(x) for x in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), pa.array(node), pa.array(fp)], [*keys, "node", "fp"])
+
+    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, utf8(text).alias("_text")).mapInArrow(work, f"{fields}, node long, fp long")
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    def work(batches):
+        import pyarrow as pa
+
+        for part in chunks(batches):
+            sets = [shingles(x.as_py() or b"", words) for x in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(work, "node long, set array<long>")
+
+
+def similar_links(keyed: DataFrame, prints: DataFrame, text: str, limit: int, words: int, similarity: float) -> DataFrame:
+    """``a, b``: links between texts (``node``) whose fingerprints link and whose shingles have a
+    Jaccard similarity of at least ``similarity``; ``keyed`` and ``prints`` share ``_k, _l``.
+
+    Every fingerprint is stood for by its least node, to which its other nodes are linked first."""
+    texts = stored(prints.groupBy("node", "fp").agg(F.min(F.struct("_k", "_l")).alias("one")), "texts")
+    stands = stored(texts.groupBy("fp").agg(F.min("node").alias("stand")), "stands")
+    far = links(stands.select("fp"), limit, depth_for(stands.count(), limit))
+    a, b = (stands.select(F.col("fp").alias(x), F.col("stand").alias(f"_{x}")) for x in "ab")
+    same = texts.join(stands, "fp").where(F.col("node") != F.col("stand")).select(F.col("stand").alias("a"), F.col("node").alias("b"))
+    pairs = stored(far.distinct().join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).union(same), "pairs")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = needed.join(texts, "node").select("node", "one._k", "one._l")
+    # Equal (_k, _l) are equal rows; one of them is enough.
+    found = keyed.select("_k", "_l", utf8(text).alias("text")).join(rows, ["_k", "_l"])
+    sets = stored(_shingle_sets(found, words).dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "_b"}), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of every group of near-duplicates: that of the smallest id, NULL ids
+    last.
+
+    Groups are components of links between texts whose word fingerprints differ in at most
+    ``limit`` bits and which share ``similarity`` of their ``words``-word shingles.  Texts of the
+    same words in the same order, but for case and white space, are one text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    marks = {"_k": F.xxhash64(key, body, F.lit(1)), "_l": F.xxhash64(F.lit(2), body, key)}
-    keyed = docs.withColumns(marks)
-    prints = stored(fingerprints(keyed, [key, "_k", "_l"], text, words), "prints")
+    keyed = docs.withColumns({"_k": F.xxhash64(key, body, F.lit(1)), "_l": F.xxhash64(F.lit(2), body, key)})
+    prints = stored(_text_prints(keyed, [key, "_k", "_l"], text), "prints")
+    roots = components(similar_links(keyed, prints, text, limit, words, similarity))
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "_k", "_l")
-    first = prints.groupBy("fp").agg(F.min(place).alias("least"))
-    ids = groups(prints, limit).join(first, "fp").groupBy("root").agg(F.min("least").alias("least"))
-    chosen = stored(ids.select("least._k", "least._l"), "chosen")
+    first = prints.groupBy("node").agg(F.min(place).alias("least"))
+    chosen = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    chosen = stored(chosen.select("least._k", "least._l"), "chosen")
     return keyed.join(chosen, ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"]).drop("_k", "_l")
