@@ -35,7 +35,7 @@ KEY_RUN = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$"
 #: Codes of key characters run from '+' to 'z'.
 FIRST, WIDTH = 43, 80
 #: Mean log-likelihood ratio (nats per character) from which a run is random.
-THRESHOLD = 0.5
+THRESHOLD = 1.0
 #: Bounds of the labelled sample the chains are fitted on: documents read for ordinary
 #: identifiers, generated strings of each random alphabet.
 SAMPLE_DOCUMENTS, SAMPLE_STRINGS = 2_000, 4_000
@@ -52,8 +52,8 @@ class Chains:
 def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id",
                      documents: int = SAMPLE_DOCUMENTS, strings: int = SAMPLE_STRINGS) -> DataFrame:
     """``token, is_random``: generated keys in the usual alphabets, and what people write as
-    names: the words of at most ``documents`` documents outside base spans, alone and put
-    together as identifiers with ``_``, ``-`` and numbers."""
+    names: the names of Spark's own functions, and the words of at most ``documents`` documents
+    outside base spans, alone and put together as identifiers with ``_``, ``-`` and numbers."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256)
     raw = F.base64(F.unhex(digest))
@@ -63,6 +63,9 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id",
     )).alias("token")).withColumn("is_random", F.lit(True))
     ids = smallest_ids(docs, documents, key)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    names = spark.createDataFrame([(f.name,) for f in spark.catalog.listFunctions()], "n string")
+    styles = [F.col("n"), F.upper("n"), F.replace(F.initcap(F.replace(F.col("n"), F.lit("_"), F.lit(" "))), F.lit(" ")), F.concat("n", F.lit("_2024"))]
+    known = names.select(F.explode(F.array(*styles)).alias("token")).withColumn("is_random", F.lit(False))
     words = (
         docs.join(F.broadcast(ids), key, "left_semi")
         .select(F.filter(F.split(plain, r"[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) >= 3).alias("w"))
@@ -74,7 +77,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id",
         F.coalesce(F.initcap(at(i + 1)), F.lit("v")), F.when(i % 5 == 0, (i % 2024).cast("string")).otherwise(F.lit("")),
     ))
     ordinary = words.select(F.explode(F.concat("w", joined)).alias("token")).withColumn("is_random", F.lit(False))
-    return random.union(ordinary)
+    return random.union(ordinary).union(known)
 
 
 def train(samples: DataFrame, threshold: float = THRESHOLD, smooth: float = 0.5) -> Chains:

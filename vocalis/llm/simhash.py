@@ -262,14 +262,14 @@ def _text_prints(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for part in chunks(batches, column="_text"):
-            raw = [x.as_py() or b"" for x in part.column("_text")]
+        for part in chunks(batches, column="_body"):
+            raw = [x.as_py() or b"" for x in part.column("_body")]
             node = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in raw], np.uint64).view(np.int64)
             fp = np.array([word_fingerprint(x) for x in raw], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), pa.array(node), pa.array(fp)], [*keys, "node", "fp"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, utf8(text).alias("_text")).mapInArrow(work, f"{fields}, node long, fp long")
+    return docs.select(*keys, utf8(text).alias("_body")).mapInArrow(work, f"{fields}, node long, fp long")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -312,11 +312,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
     ``limit`` bits and which share ``similarity`` of their ``words``-word shingles.  Texts of the
     same words in the same order, but for case and white space, are one text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_k": F.xxhash64(key, body, F.lit(1)), "_l": F.xxhash64(F.lit(2), body, key)})
-    prints = stored(_text_prints(keyed, [key, "_k", "_l"], text), "prints")
-    roots = components(similar_links(keyed, prints, text, limit, words, similarity))
-    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "_k", "_l")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_id"), F.col(text).alias("_text"),
+        F.xxhash64(key, body, F.lit(1)).alias("_k"), F.xxhash64(F.lit(2), body, key).alias("_l"))
+    prints = stored(_text_prints(keyed, ["_id", "_k", "_l"], "_text"), "prints")
+    roots = components(similar_links(keyed, prints, "_text", limit, words, similarity))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_k", "_l")
     first = prints.groupBy("node").agg(F.min(place).alias("least"))
     chosen = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = stored(chosen.select("least._k", "least._l"), "chosen")
-    return keyed.join(chosen, ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"]).drop("_k", "_l")
+    return keyed.join(chosen, ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"]).select("_doc.*")
