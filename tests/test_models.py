@@ -99,3 +99,35 @@ def test_topics(spark):
         assert top.count() == 6
     vectors, words = topicmodel.term_vectors(df, "id", no_below=2, keep_n=4)
     assert len(words) == 4
+
+
+def test_no_term_is_left_out(spark, monkeypatch):
+    df = spark.createDataFrame([(0, ["a1", "b1", "c1"]), (1, ["b1"])], "id long, tokens array<string>")
+    monkeypatch.setattr(models, "MAX_TERMS", 2)
+    with pytest.raises(ValueError, match="3 terms"):
+        models.fit_tfidf(df)
+    assert models.fit_tfidf(df, min_df=0.9).stages[0].vocabulary == ["b1"]
+
+
+def test_grid_searches_every_parameter(rows):
+    featured = models.add_tfidf(models.fit_tfidf(rows), rows).select("id", "label", "features")
+    scores = []
+    for order in ([0, 50], [50, 0]):
+        _, table = models.grid_search(featured, "LogisticRegression()", {"max_iter": order, "C": [10]}, ["id"], folds=3)
+        scores.append({r["params"]: r["mean_score"] for r in table.collect()})
+    assert scores[0] == scores[1] and len(set(scores[0].values())) == 2
+    for grid in ({"solver": ["x"]}, {"penalty": ["none"]}):
+        with pytest.raises(ValueError):
+            models.grid_search(featured, "LogisticRegression()", grid, ["id"])
+
+
+def test_weights_of_topic_vectors(spark):
+    df = spark.createDataFrame([(0, ["a", "a", "b"]), (1, ["b", "c"]), (2, ["c", "b"]), (3, ["d"])], "id long, tokens array<string>")
+    vectors, words = topicmodel.term_vectors(df, "id", no_below=1, tfidf=True)
+    got = {r["id"]: dict(zip(words, r["v"])) for r in vectors.select("id", vector_to_array("features").alias("v")).collect()}
+    raw = {"a": 2 * math.log2(4 / 1), "b": math.log2(4 / 3), "c": 0.0, "d": 0.0}
+    norm = math.hypot(*raw.values())
+    assert got[0] == pytest.approx({k: v / norm for k, v in raw.items()})
+    model = topicmodel.fit_lda(vectors, k=2, passes=1)
+    mixes = model.transform(vectors).select(F.aggregate(vector_to_array("topicDistribution"), F.lit(0.0), lambda a, x: a + x)).collect()
+    assert len(mixes) == 4 and all(r[0] == pytest.approx(1) for r in mixes)

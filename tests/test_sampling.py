@@ -25,9 +25,8 @@ def by_label(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [5, 700, 1500, 100_000])
-def test_sample_sizes_and_members(rows, monkeypatch, n):
-    monkeypatch.setattr(sampling, "WINDOW_LIMIT", 10)
+@pytest.mark.parametrize("n", [0, 5, 700, 1500, 100_000])
+def test_sample_sizes_and_members(rows, n):
     got = by_label(sampling.sample_n_per_group(rows, n, ["label"], ["id"], seed=3))
     for label, ids in by_label(rows).items():
         assert sorted(got[label]) == sorted(sorted(ids, key=lambda i: digest(3, i))[:n])
@@ -35,13 +34,6 @@ def test_sample_sizes_and_members(rows, monkeypatch, n):
     assert sorted(whole) == sorted(sorted(range(3000), key=lambda i: digest(3, i))[:n])
 
 
-def test_window_and_cut_agree(rows, monkeypatch):
-    windowed = by_label(sampling.sample_n_per_group(rows, 300, ["label"], ["id"], 9))
-    monkeypatch.setattr(sampling, "WINDOW_LIMIT", 1)
-    cut = by_label(sampling.sample_n_per_group(rows, 300, ["label"], ["id"], 9))
-    assert {k: sorted(v) for k, v in windowed.items()} == {k: sorted(v) for k, v in cut.items()}
-
-
 def test_stratified_split_is_exact(rows):
     out = sampling.stratified_split(rows, "label", ["id"])
     assert out.count() == 3000 and out.select("id").distinct().count() == 3000
@@ -79,3 +71,29 @@ def test_lines_per_file(spark, tmp_path):
 
     got = Counter(r["file"][-5] for r in sampling.sample_lines_per_file(read_lines(spark, str(tmp_path)), 20).collect())
     assert got == {"a": 3, "b": 20}
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 41, 299, 300, 301, 999, 1000, 1001, 5000])
+def test_repeated_and_null_ids_fill_the_sample(spark, n):
+    """Ids repeat seven times, a third are NULL, some rows are alike in everything."""
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 21)).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("other"),
+        (F.col("id") % 2).alias("g"))
+    got = sampling.sample_n(rows, n, ["k"], seed=1)
+    assert got.columns == rows.columns
+    assert got.count() == min(n, 900) and got.exceptAll(rows).isEmpty()
+    again = sampling.sample_n(rows.repartition(7), n, ["k"], seed=1)
+    assert again.exceptAll(got).isEmpty() and again.count() == min(n, 900)
+    each = sampling.sample_n_per_group(rows, n, ["g"], ["k"], seed=1)
+    assert sorted(r["count"] for r in each.groupBy("g").count().collect()) == [min(n, 450)] * (2 if n else 0)
+
+
+def test_keys_of_different_ids_differ(spark):
+    rows = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), ("a\\", "b:c"), (None, "x"), ("x", None), ("\\N", "x")], "a string, b string")
+    assert rows.select(hashorder.order_key(1, "a", "b")).distinct().count() == 6
+
+
+def test_lines_do_not_depend_on_partitions(spark):
+    lines = spark.range(60).select((F.col("id") % 2).cast("string").alias("file"), (F.col("id") % 7).cast("string").alias("value"))
+    picks = [sorted(tuple(r) for r in sampling.sample_lines_per_file(lines.repartition(k), 11, seed=2).collect()) for k in (1, 2, 5)]
+    assert picks[0] == picks[1] == picks[2] and len(picks[0]) == 22

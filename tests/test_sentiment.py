@@ -117,3 +117,13 @@ def test_words(spark):
     text = "so, (so) 'tis A b! ok!! \"no\" a-b, x.."
     df = spark.createDataFrame([(text,)], "t string").select(sentiment_words(F.col("t")))
     assert df.first()[0] == words_of(text) == ["so", "(so)", "tis", "b!", "ok", "\"no\"", "a-b,", "x.."]
+
+
+@pytest.mark.parametrize("literal_rows", [0, 10_000])
+def test_rows_with_equal_ids_stay_apart(spark, literal_rows):
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.0), (None, 1.0), ("very", 1.5)], "token string, valence double")
+    docs = spark.createDataFrame([(1, "very good day"), (1, "not bad at all"), (1, "very good day"), (None, "plain"), (None, None), (2, "")], "id long, text string")
+    got = lexicon_sentiment(docs, lexicon, ["id"], literal_rows=literal_rows).collect()
+    assert len(got) == 6 and sorted(r["id"] is None for r in got) == [False] * 4 + [True] * 2
+    alone = {t: lexicon_sentiment(docs.where(F.col("text") == t).limit(1), lexicon, ["id"]).first()["compound"] for t in ("very good day", "not bad at all")}
+    assert sorted(r["compound"] for r in got) == sorted([alone["very good day"]] * 2 + [alone["not bad at all"], 0.0, 0.0, 0.0])

@@ -11,7 +11,7 @@ HEADER = "tweet_id,tweet_date,tweet_text,user_id,retweet_count,favorite_count\n"
 def test_typed_csv(spark, tmp_path):
     path = tmp_path / "posts.csv"
     path.write_text(HEADER + '1,2018-01-02,"say ""hi"",\nbye",u1,3,\n2,,,u2,,4\n')
-    rows = tables.read_csv(spark, str(path), tables.schema_of(tables.POSTS)).orderBy("tweet_id").collect()
+    rows = tables.read_csv(spark, str(path), tables.schema_of(tables.POSTS), multi_line=True, rules=tables.POSTS).orderBy("tweet_id").collect()
     assert rows[0]["tweet_text"] == 'say "hi",\nbye' and rows[0]["tweet_date"] == datetime.date(2018, 1, 2)
     assert (rows[1]["tweet_text"], rows[1]["retweet_count"], rows[1]["favorite_count"]) == (None, None, 4)
 
@@ -72,3 +72,38 @@ def test_constraints(spark):
 
 def test_few_files_are_dealt_out(spark, small):
     assert tables.read_parquet(spark, f"{small}/documents.parquet").rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("bad", [",2018-01-01,t,u,1,2\n", "2,2018-01-01,t," + "u" * 40 + ",1,2\n", "2,2018-01-01,t,u,xx,2\n", "123456789012345678901,,t,u,1,2\n"])
+def test_load_fails_whatever_is_read(spark, tmp_path, bad):
+    path = tmp_path / "posts.csv"
+    path.write_text(HEADER + "1,2018-01-01,t,u,1,2\n" + bad)
+    rows = tables.read_csv(spark, str(path), tables.schema_of(tables.POSTS), rules=tables.POSTS)
+    for read in (rows, rows.select("tweet_id", "user_id"), rows.select("favorite_count"), rows.groupBy().count()):
+        with pytest.raises(Exception):
+            read.collect()
+
+
+def test_replace_a_table_from_itself(spark, tmp_path):
+    spark.range(3).write.mode("overwrite").saveAsTable("own_rows")
+    try:
+        out = tables.replace_table(spark.table("own_rows").where("id > 0"), "own_rows")
+        assert sorted(r["id"] for r in out.collect()) == [1, 2]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS own_rows")
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    assert tables.replace_table(spark.read.parquet(path).where("id > 1"), "t", path).count() == 1
+
+
+def test_lexicon_order_over_parts_of_a_file(spark, tmp_path):
+    path = tmp_path / "lexicon.csv"
+    path.write_text("Bigram,Topic\n" + "".join(f"a_b,t{i}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = tables.read_lexicon(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 2
+        assert [r["topic"] for r in rows.orderBy("ord").collect()] == [f"t{i}" for i in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

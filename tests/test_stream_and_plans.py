@@ -27,7 +27,7 @@ def plan(df):
 
 
 def test_group_limit_runs_before_the_shuffle(spark, small):
-    for name in ("top_words_per_group", "top_tfidf_per_group", "sample_n_per_group"):
+    for name in ("top_words_per_group", "top_tfidf_per_group"):
         assert re.search(r"WindowGroupLimit.*Partial", plan(QUERIES[name](spark, small))), name
 
 

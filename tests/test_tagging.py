@@ -21,15 +21,15 @@ def docs(spark):
 @pytest.mark.parametrize("literal_rows", [0, 10_000])
 def test_both_ways_of_tagging(docs, lexicon, monkeypatch, literal_rows):
     monkeypatch.setattr(tagging, "LITERAL_ROWS", literal_rows)
-    got = {r["id"]: r["topics"] for r in tagging.tag_topics(docs, "grams", lexicon, ["id"]).collect()}
+    got = {r["id"]: r["topics"] for r in tagging.tag_topics(docs, "grams", lexicon).collect()}
     # The last tagged row of a bigram wins; an ignored row never does.
     assert got == {1: ["guns", "taxes"], 2: [], 3: [], 4: ["guns"]}
-    assert sorted(r["id"] for r in tagging.filter_tagged(docs, "grams", lexicon, ["id"]).collect()) == [1, 4]
-    assert tagging.filter_tagged(docs, "grams", lexicon, ["id"], labelled=True).count() == 4
+    assert sorted(r["id"] for r in tagging.filter_tagged(docs, "grams", lexicon).collect()) == [1, 4]
+    assert tagging.filter_tagged(docs, "grams", lexicon, labelled=True).count() == 4
 
 
 def test_flags_round_trip(docs, lexicon):
-    tagged = tagging.tag_topics(docs, "grams", lexicon, ["id"])
+    tagged = tagging.tag_topics(docs, "grams", lexicon)
     flags = tagging.binarize_topics(tagged, ["taxes", "guns", "rural"])
     assert flags.columns[-3:] == ["guns", "rural", "taxes"]
     same = flags.where(tagging.topic_array(["taxes", "guns", "rural"]) != F.col("topics"))
@@ -49,3 +49,24 @@ def test_clean_documents(spark, lexicon):
     labelled = posts.withColumn("label", F.when(F.col("id") == 1, 4).otherwise(0))
     kept = clean_documents(labelled, words, ["guns", "health"], labelled=True)
     assert {r["id"]: r["label"] for r in kept.collect()} == {1: 1, 2: 0, 4: 0}
+
+
+@pytest.mark.parametrize("order", [True, False])
+def test_one_result_at_every_size(spark, monkeypatch, order):
+    """Repeated and NULL ids, NULL grams, NULL and doubled lexicon keys: both paths row by row."""
+    lexicon = spark.createDataFrame(
+        [("taxes", "health", 2), ("taxes", "taxes", 1), ("guns", "x", 3), (None, "guns", 4), ("law", None, 5), ("law", "guns", 6)],
+        "bigram string, topic string, ord long")
+    lexicon = lexicon if order else lexicon.drop("ord")
+    rows = [(1, ["taxes"], "a"), (1, ["law"], "b"), (None, ["taxes", "law"], "c"), (None, None, "d"), (2, [], "e"), (2, [None, "guns"], "f"), (1, ["taxes"], "a")]
+    docs = spark.createDataFrame(rows, "id long, grams array<string>, other string")
+    got = []
+    for size in (0, 10_000):
+        monkeypatch.setattr(tagging, "LITERAL_ROWS", size)
+        tagged, hit = tagging.tag_topics(docs, "grams", lexicon), tagging.has_lexicon_bigram(docs, "grams", lexicon, "hit")
+        assert tagged.columns == [*docs.columns, "topics"] and hit.columns == [*docs.columns, "hit"]
+        got.append((sorted((r["other"], r["topics"]) for r in tagged.collect()), sorted((r["other"], r["hit"]) for r in hit.collect())))
+    first = "health" if order else "taxes"
+    assert got[0] == got[1]
+    assert got[0][0] == [("a", [first]), ("a", [first]), ("b", ["guns"]), ("c", sorted(["guns", first])), ("d", []), ("e", []), ("f", [])]
+    assert [h for _, h in got[0][1]] == [True, True, True, True, False, False, False]

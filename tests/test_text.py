@@ -94,7 +94,24 @@ def test_lemmas(spark):
         [("cats", "n", "cat"), ("running", "v", "run"), ("running", "n", "running-noun")], "token string, pos string, lemma string"
     )
     tags = spark.createDataFrame([("running", "v")], "token string, pos string")
-    out = {r["id"]: (r["other"], r["tokens"]) for r in lemmatize(docs, "tokens", ["id"], lemmas, tags).collect()}
+    out = {r["id"]: (r["other"], r["tokens"]) for r in lemmatize(docs, "tokens", lemmas, tags).collect()}
     assert out == {1: ("x", ["cat", "run", "cat", "it"]), 2: (None, []), 3: ("z", ["run"])}
-    untagged = lemmatize(docs, "tokens", ["id"], lemmas).where("id = 3").first()
+    untagged = lemmatize(docs, "tokens", lemmas).where("id = 3").first()
     assert untagged["tokens"] == ["running-noun"]
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_lemmas_row_by_row(spark, monkeypatch, rows):
+    from vocalis import session
+    from vocalis.operators import clean
+
+    monkeypatch.setattr(clean, "broadcast_if_small", lambda df: session.broadcast_if_small(df, rows))
+    docs = spark.createDataFrame(
+        [(1, "x", ["cats", "a"]), (1, "y", ["dogs", "b"]), (None, "n", ["cats"]), (None, "m", None), (2, "e", []), (1, "x", ["cats", "a"])],
+        "id long, other string, tokens array<string>")
+    lemmas = spark.createDataFrame([("cats", "n", "cat"), ("dogs", "n", "dog"), ("dogs", "v", "chase"), (None, "n", "z")], "token string, pos string, lemma string")
+    tags = spark.createDataFrame([("dogs", "v"), ("dogs", "w")], "token string, pos string")
+    got = clean.lemmatize(docs, "tokens", lemmas, tags)
+    assert got.columns == docs.columns
+    assert sorted((r["other"], r["tokens"]) for r in got.collect()) == [
+        ("e", []), ("m", []), ("n", ["cat"]), ("x", ["cat", "a"]), ("x", ["cat", "a"]), ("y", ["chase", "b"])]

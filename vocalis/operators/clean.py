@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import text as T
 from vocalis.functions.rows import is_leadership, recode_label
 from vocalis.operators.tagging import binarize_topics, tag_topics
-from vocalis.session import broadcast_if_small
+from vocalis.session import broadcast_if_small, with_row_id
 
 
 def clean_tokens(
@@ -22,7 +22,6 @@ def clean_tokens(
     select_tags: Sequence[str] = (),
     lemmas: DataFrame | None = None,
     tags: DataFrame | None = None,
-    ids: Sequence[str] = (),
 ) -> DataFrame:
     """Punctuation, URLs, tokens, hashtags, lemmas, stop words - in this order.
 
@@ -35,45 +34,44 @@ def clean_tokens(
     if lemmas is None:
         return T.with_once(df, **{name: T.remove_stopwords(tokens)})
     raw = T.with_once(df, **{name: tokens})
-    lemmatized = lemmatize(raw, name, ids, lemmas, tags)
+    lemmatized = lemmatize(raw, name, lemmas, tags)
     return T.with_once(lemmatized, **{name: T.remove_stopwords(F.col(name))})
 
 
-def lemmatize(
-    df: DataFrame,
-    tokens: str,
-    ids: Sequence[str],
-    lemmas: DataFrame,
-    tags: DataFrame | None = None,
-) -> DataFrame:
-    """Replace each token by its lemma; ``ids`` identify a row.
+def token_lemmas(lemmas: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """``token, lemma`` of every token that changes: the two dictionaries joined once, since the
+    tag of a token does not depend on its text."""
+    forms = lemmas.groupBy("token", "pos").agg(F.min("lemma").alias("lemma"))
+    if tags is None:
+        chosen = forms.where(F.col("pos") == "n")
+    else:
+        tag = tags.groupBy("token").agg(F.min("pos").alias("_tag"))
+        chosen = forms.join(tag, "token", "left").where(F.col("pos") == F.coalesce("_tag", F.lit("n")))
+    return chosen.where(F.col("lemma") != F.col("token")).select("token", "lemma")
+
+
+def lemmatize(df: DataFrame, tokens: str, lemmas: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Replace each token by its lemma, row by row; ids may repeat or be NULL.
 
     ``lemmas(token, pos, lemma)`` and ``tags(token, pos)`` are dictionaries.  A token without
-    a tag counts as a noun (``n``), one without a lemma stays.  Rows are placed by id first,
-    so with broadcast dictionaries the tokens are put back together without moving again.
+    a tag counts as a noun (``n``), one without a lemma stays; NULL tokens give an empty list.
+    Rows are placed by a row number first, so with a broadcast dictionary the tokens are put
+    back together without moving again.
     """
-    rest = F.struct(*[F.col(c) for c in df.columns if c not in ids and c != tokens], F.lit(1).alias("_row"))
-    placed = df.repartition(*[F.col(i) for i in ids]).select(*ids, tokens, rest.alias("_rest"))
-    rows = placed.select(*ids, "_rest", F.posexplode_outer(tokens).alias("_pos", "_token"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != tokens], F.lit(1).alias("_one"))
+    placed = with_row_id(df).select("_row", F.col(tokens).alias("_tokens"), rest.alias("_rest")).repartition(F.col("_row"))
+    rows = placed.select("_row", "_rest", F.posexplode_outer("_tokens").alias("_pos", "_token"))
     # The other columns travel on the first token only.
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
     rows = rows.withColumn("_rest", F.when(first, F.col("_rest")))
-    if tags is not None:
-        tag = tags.groupBy(F.col("token").alias("_token")).agg(F.min("pos").alias("_tag"))
-        rows = rows.join(broadcast_if_small(tag), "_token", "left")
-    else:
-        rows = rows.withColumn("_tag", F.lit(None).cast("string"))
-    rows = rows.withColumn("_tag", F.coalesce("_tag", F.lit("n")))
-    forms = lemmas.groupBy(F.col("token").alias("_token"), F.col("pos").alias("_tag")).agg(
-        F.min("lemma").alias("_lemma")
-    )
-    rows = rows.join(broadcast_if_small(forms), ["_token", "_tag"], "left")
+    forms = token_lemmas(lemmas, tags).withColumnsRenamed({"token": "_token", "lemma": "_lemma"})
+    rows = rows.join(broadcast_if_small(forms), "_token", "left")
     placed_tokens = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_lemma", "_token").alias("t"))))
-    out = rows.groupBy(*ids).agg(
-        F.filter(F.transform(placed_tokens, lambda x: x["t"]), lambda t: t.isNotNull()).alias(tokens),
+    out = rows.groupBy("_row").agg(
+        F.filter(F.transform(placed_tokens, lambda x: x["t"]), lambda t: t.isNotNull()).alias("_tokens"),
         F.first("_rest", ignorenulls=True).alias("_rest"),
     )
-    return out.select(*[F.col(c) if c in ids or c == tokens else F.col("_rest")[c].alias(c) for c in df.columns])
+    return out.select(*[F.col("_tokens" if c == tokens else f"_rest.`{c}`").alias(c) for c in df.columns])
 
 
 def clean_documents(
@@ -89,20 +87,19 @@ def clean_documents(
     select_tags: Sequence[str] = (),
     lemmas: DataFrame | None = None,
     tags: DataFrame | None = None,
-    ids: Sequence[str] = (),
 ) -> DataFrame:
     """The whole chain, ending in one flag per topic of the fixed list ``topics``.
 
     Posts without tokens, and unlabelled posts without any lexicon bigram, are dropped.
     """
-    out = clean_tokens(df, text, "tokens", strip_handles, hashtags, select_tags, lemmas, tags, ids)
+    out = clean_tokens(df, text, "tokens", strip_handles, hashtags, select_tags, lemmas, tags)
     out = out.where(F.size("tokens") > 0)
     if "label" in out.columns:
         out = out.withColumn("label", recode_label(F.col("label")))
     words = T.strip_hashtags(F.col("tokens"), "all")
     out = T.with_once(out, _words=words)
     out = T.with_once(out, _grams=T.tokens_plus_bigrams(F.col("_words"))).drop("_words")
-    out = tag_topics(out, "_grams", lexicon, ids)
+    out = tag_topics(out, "_grams", lexicon)
     if not labelled:
         out = out.where(F.size("topics") > 0)
     led = is_leadership(F.col(source), leadership_sources) if source else F.lit(False)

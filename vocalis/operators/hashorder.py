@@ -20,8 +20,10 @@ BUCKET_DIGITS = 4
 
 
 def order_key(seed: int | str, *ids: str | Column) -> Column:
-    """Random but reproducible sort key of a row; ``ids`` must identify the row."""
-    parts = [(F.col(i) if isinstance(i, str) else i).cast("string") for i in ids]
+    """Random but reproducible sort key of a row.  Parts are escaped and NULL has a mark of its
+    own, so different ids have different keys."""
+    text = [(F.col(i) if isinstance(i, str) else i).cast("string") for i in ids]
+    parts = [F.coalesce(F.regexp_replace(x, r"([:\\])", r"\\$1"), F.lit(r"\N")) for x in text]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
@@ -42,9 +44,11 @@ def cut_keys(
     df: DataFrame, key: Column, ranks: Callable[[Column], Sequence[Column]], strata: Sequence[str] = ()
 ) -> DataFrame:
     """Per stratum, the keys that stand at the given ranks: columns ``strata``, ``_cuts``
-    (map from position in ``ranks`` to key).  A rank outside 1..n has no entry.
+    (map from position in ``ranks`` to ``key``, the number ``n`` of rows with this key, and how
+    many of them are within the rank, ``take``).  A rank outside 1..n has no entry.
 
-    ``ranks`` receives the size of the stratum and returns the wanted ranks.
+    ``ranks`` receives the size of the stratum and returns the wanted ranks.  Rows of one key
+    are counted before they meet, so a key that many rows share is one row here.
     """
     keyed = df.select(*strata, key.alias("_key")).withColumn(
         "_bucket", F.substring("_key", 1, BUCKET_DIGITS)
@@ -74,10 +78,12 @@ def cut_keys(
     place = Window.partitionBy(*strata, "_cut").orderBy("_key")
     found = (
         keyed.join(located, same)
-        .withColumn("_rn", F.row_number().over(place))
-        .where(F.col("_rn") == F.col("_place"))
+        .groupBy(*strata, "_cut", "_place", "_key").agg(F.count(F.lit(1)).alias("_same"))
+        .withColumn("_upto", F.sum("_same").over(place))
+        .where((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_same") < F.col("_place")))
     )
-    entry = F.struct(F.col("_cut"), F.col("_key"))
+    take = F.col("_place") - F.col("_upto") + F.col("_same")
+    entry = F.struct(F.col("_cut"), F.struct(F.col("_key").alias("key"), take.alias("take"), F.col("_same").alias("n")))
     return materialize(
         found.groupBy(*strata).agg(F.map_from_entries(F.collect_list(entry)).alias("_cuts"))
     )
@@ -87,8 +93,11 @@ def with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str]) -> DataFram
     """Attach the cut keys of its stratum to every row (column ``_cuts``)."""
     if not strata:
         row = cuts.first()
-        entries = [x for k, v in (row["_cuts"] if row else {}).items() for x in (F.lit(k), F.lit(v))]
-        made = F.create_map(*entries) if entries else F.create_map().cast("map<int,string>")
+        entries = [
+            x for k, v in (row["_cuts"] if row else {}).items()
+            for x in (F.lit(k), F.struct(*[F.lit(v[f]).cast(t).alias(f) for f, t in (("key", "string"), ("take", "long"), ("n", "long"))]))
+        ]
+        made = F.create_map(*entries) if entries else F.create_map().cast("map<int,struct<key:string,take:bigint,n:bigint>>")
         return df.withColumn("_cuts", made)
     renamed = cuts.select(*[F.col(s).alias(f"_s_{s}") for s in strata], "_cuts")
     small = broadcast_if_small(renamed)

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalis.functions import words as W
 from vocalis.functions.text import SPACE, explode_each, with_once
-from vocalis.session import LITERAL_ROWS, has_at_most
+from vocalis.session import LITERAL_ROWS, has_at_most, with_row_id
 
 _ASCII_MARKS = r"!-/:-@\[-`{-~"
 _MARK = "(?:" + "|".join("".join("\\" + c for c in m) for m in W.PUNCTUATION_MARKS) + ")"
@@ -92,7 +92,8 @@ def _idiom() -> Column:
 
 def _entries(lexicon: DataFrame) -> DataFrame:
     """One valence per lower-case word; of several rows the last one (by ``ord``) counts."""
-    last = F.max_by("valence", "ord") if "ord" in lexicon.columns else F.max("valence")
+    lexicon = lexicon.where(F.col("token").isNotNull() & F.col("valence").isNotNull())
+    last = F.max_by("valence", F.struct("ord", "valence")) if "ord" in lexicon.columns else F.max("valence")
     return lexicon.groupBy(F.col("token").alias("_token")).agg(last.cast("double").alias("_valence"))
 
 
@@ -118,18 +119,14 @@ def _with_neighbours(rows: DataFrame, keep: Sequence[str], entries: DataFrame, s
     rows = rows.select(*keep, F.explode_outer(F.transform(positions, near)).alias("x")).select(*keep, "x.*")
     low = F.lower("w")
     rule_word = low.isin(W.BOOSTERS_UP + W.BOOSTERS_DOWN) | ((low == "kind") & (F.lower("n1") == "of"))
-    rows = rows.withColumn("_key", F.when(~_sure(rule_word), low))
-    if small:
-        entries = F.broadcast(entries)
-    rows = rows.join(entries, F.col("_key") == F.col("_token"), "left").drop("_token")
+    rows = rows.withColumns({"_key": low, "_ruled": _sure(rule_word)})
+    rows = rows.join(F.broadcast(entries) if small else entries, F.col("_key") == F.col("_token"), "left")
     if not small:
-        # Only scored words look at their neighbours, so all other rows carry NULL keys here.
-        for n in (1, 2, 3):
-            other = entries.select(F.col("_token").alias("_other"))
-            key = F.when(F.col("_valence").isNotNull(), F.lower(f"p{n}"))
-            rows = rows.withColumn("_key", key).join(other, F.col("_key") == F.col("_other"), "left")
-            rows = rows.withColumn(f"k{n}", F.col("_other").isNotNull()).drop("_other")
-    return rows.drop("_key")
+        # What one lookup found of a text's words tells each word about those before it.
+        text = Window.partitionBy("_row").orderBy("i")
+        rows = rows.withColumns({f"k{n}": F.lag(F.col("_token").isNotNull(), n, False).over(text) for n in (1, 2, 3)})
+    rows = rows.withColumn("_valence", F.when(~F.col("_ruled"), F.col("_valence")))
+    return rows.drop("_key", "_token", "_ruled")
 
 
 def _with_cues(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -160,9 +157,11 @@ def _with_cues(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
 def word_valences(
     df: DataFrame, lexicon: DataFrame, ids: Sequence[str], text: str = "text", literal_rows: int = LITERAL_ROWS
 ) -> DataFrame:
-    """``ids``, the number of words ``n_words`` and the final valence ``v`` of every scored
-    word; neutral words may be missing, but every text has at least one row."""
-    rows = with_once(df.select(*ids, text), _words=sentiment_words(F.col(text)))
+    """``_row`` (a number of the row), ``ids``, the number of words ``n_words`` and the final
+    valence ``v`` of every scored word; neutral words may be missing, but every text has at least
+    one row.  Ids may repeat or be NULL."""
+    ids = ["_row", *ids]
+    rows = with_once(with_row_id(df).select(*ids, text), _words=sentiment_words(F.col(text)))
     rows = rows.select(
         *ids, "_words",
         F.size("_words").alias("n_words"),
@@ -205,14 +204,14 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """``ids, keep, negative, neutral, positive, compound`` of every text.
 
-    ``lexicon(token, valence)`` holds lower-case words.  ``ids`` identify a row and columns in
-    ``keep`` depend on them.  Words of one text are adjacent, so they collapse before the
+    ``lexicon(token, valence)`` holds lower-case words.  Every row is a text of its own, also
+    where ids repeat or are NULL.  Words of one text are adjacent, so they collapse before the
     shuffle.
     """
     rows = df.withColumn("_amp", emphasis(F.coalesce(F.col(text), F.lit(""))))
     keys = [*ids, *keep, "_amp"]
     v = F.col("v")
-    sums = word_valences(rows, lexicon, keys, text, literal_rows).groupBy(*keys, "n_words").agg(
+    sums = word_valences(rows, lexicon, keys, text, literal_rows).groupBy("_row", *keys, "n_words").agg(
         F.coalesce(F.sum("v"), F.lit(0.0)).alias("_s"),
         F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_p"),
         F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_n"),

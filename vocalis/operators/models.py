@@ -20,17 +20,22 @@ from vocalis.functions.rows import recode_label, threshold
 from vocalis.functions.text import explode_each, parse_token_list, vector_words, with_once
 from vocalis.operators.report import binary_metrics
 from vocalis.operators.sampling import sample_n, stratified_folds, stratified_split
+from vocalis.operators.terms import doc_frequency, n_rows
 from vocalis.session import broadcast_if_small, materialize
 
-# The share of documents a term must occur in bounds the vocabulary by its reciprocal times
-# the mean number of terms per document, whatever the corpus; this only has to exceed that.
+# Terms a vocabulary may have: it lies on the driver and in every task.  More are refused.
 MAX_TERMS = 1 << 22
 
 
 def fit_tfidf(train: DataFrame, tokens: str = "tokens", min_df: float = 1e-4) -> PipelineModel:
-    """Sparse unit-length TF-IDF vectors with the idf ``ln((1+n)/(1+df)) + 1``."""
+    """Sparse unit-length TF-IDF vectors with the idf ``ln((1+n)/(1+df)) + 1`` over every term in
+    at least the share ``min_df`` of the rows; no term is left out.  The terms are counted first,
+    and more than MAX_TERMS raise a ValueError: ``terms.tfidf_smooth`` has no such bound."""
     words = with_once(train.select(tokens), _words=vector_words(F.col(tokens)))
-    counter = CountVectorizer(inputCol="_words", outputCol="_tf", minDF=min_df, vocabSize=MAX_TERMS)
+    found = doc_frequency(words, "_words").where(F.col("df") >= F.lit(min_df) * n_rows(words)).count()
+    if found > MAX_TERMS:
+        raise ValueError(f"{found} terms reach min_df {min_df}; at most {MAX_TERMS} fit a vocabulary")
+    counter = CountVectorizer(inputCol="_words", outputCol="_tf", minDF=min_df, vocabSize=max(found, 1))
     counts = counter.fit(words)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(words))
     scale = ElementwiseProduct(
@@ -46,6 +51,7 @@ def add_tfidf(model: PipelineModel, df: DataFrame, tokens: str = "tokens") -> Da
 
 # --- fixed values: names of the model families in a configuration ------------------------
 FAMILIES = {"LogisticRegression()": LogisticRegressionModel, "GaussianNB()": NaiveBayesModel}
+PARAMETERS = {"LogisticRegression()": {"penalty", "C", "max_iter", "tol", "fit_intercept"}, "GaussianNB()": set()}
 SAMPLE_ROWS = 500_000
 SCORING = {
     "accuracy": {"metricName": "accuracy"},
@@ -57,7 +63,12 @@ SCORING = {
 
 def estimator(kind: str, params: Mapping[str, object], n_train: int):
     """Estimator of a family.  ``C`` weighs the summed loss, Spark's ``regParam`` the penalty
-    against the mean loss, hence the division by the number of rows."""
+    against the mean loss, hence the division by the number of rows.  Unknown families and
+    parameters raise a ValueError."""
+    if unknown := set(params) - PARAMETERS.get(kind, set(params)):
+        raise ValueError(f"unknown parameters of {kind}: {', '.join(sorted(unknown))}")
+    if params.get("penalty", "l2") not in ("l1", "l2"):
+        raise ValueError(f"unknown penalty {params['penalty']!r}")
     if kind == "GaussianNB()":
         return NaiveBayes(modelType="gaussian")
     if kind == "LogisticRegression()":
@@ -66,6 +77,8 @@ def estimator(kind: str, params: Mapping[str, object], n_train: int):
             regParam=1.0 / (float(params.get("C", 1.0)) * n_train),
             standardization=False,
             maxIter=int(params.get("max_iter", 100)),
+            tol=float(params.get("tol", 1e-6)),
+            fitIntercept=bool(params.get("fit_intercept", True)),
         )
     raise ValueError(f"unknown family {kind!r}; known: {', '.join(FAMILIES)}")
 
@@ -88,7 +101,8 @@ def grid_search(
     maps = ParamGridBuilder().build()
     if kind == "LogisticRegression()":
         built = [estimator(kind, o, per_fold) for o in options]
-        maps = [{base.elasticNetParam: e.getElasticNetParam(), base.regParam: e.getRegParam()} for e in built]
+        searched = ("elasticNetParam", "regParam", "maxIter", "tol", "fitIntercept")
+        maps = [{base.getParam(p): e.getOrDefault(p) for p in searched} for e in built]
     cv = CrossValidator(
         estimator=base, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", parallelism=parallelism,
         evaluator=MulticlassClassificationEvaluator(**SCORING[scoring]),
@@ -127,8 +141,8 @@ def save_model(model, path: str) -> None:
 
 
 def prepare_training(table: DataFrame, config: Mapping, ids: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """Rows to train on, as a configuration asks: the required columns of a sample, token lists
-    parsed, empty texts dropped, labels 0/1, and the part every row belongs to."""
+    """Rows to train on, as a configuration asks: the required columns of a sample of at most
+    ``sample_rows`` labelled rows (SAMPLE_ROWS unless given), token lists parsed, empty texts dropped, labels 0/1, and the part every row belongs to."""
     label, seed = config["label_col"], config.get("seed", 1234)
     columns = [c for c in dict.fromkeys([*ids, *config["reqd_cols"], label, tokens])]
     rows = sample_n(table.select(*columns), config.get("sample_rows", SAMPLE_ROWS), ids, seed)

@@ -4,42 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.operators.hashorder import cut_keys, hash_rank, order_key, with_cuts
-
-# Up to this size a per-group limit runs before the shuffle, so a ranking window is cheapest.
-WINDOW_LIMIT = 1000
+from vocalis.session import materialize
 
 
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int | str = 0) -> DataFrame:
-    """Uniform sample of ``n`` rows without replacement; ``ids`` must identify a row (rows with
-    equal ids are taken or left together)."""
+    """Uniform sample of ``n`` rows without replacement, in the order of the hashed ``ids``;
+    always ``min(n, rows)`` rows, whatever the size and however often ids repeat."""
     return sample_n_per_group(df, n, [], ids, seed)
 
 
 def sample_n_per_group(
     df: DataFrame, n: int, groups: Sequence[str], ids: Sequence[str], seed: int | str = 0
 ) -> DataFrame:
-    """Uniform sample of ``n`` rows of each group; groups with fewer rows are kept whole."""
+    """Uniform sample of ``n`` rows of each group; groups with fewer rows are kept whole.
+
+    Rows below the key of rank ``n`` are taken.  Of the rows that share this key, as rows with
+    equal ids do, the first by the hash of their whole content fill the sample; rows alike in
+    everything are interchangeable."""
+    if n <= 0:
+        return df.limit(0)
     key = order_key(seed, *ids)
-    if groups and n <= WINDOW_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_key", *ids))
-        ranked = df.withColumn("_key", key).withColumn("_rank", rank)
-        return ranked.where(F.col("_rank") <= n).drop("_key", "_rank")
-    if not groups and n <= WINDOW_LIMIT:
-        return df.withColumn("_key", key).orderBy("_key", *ids).limit(n).drop("_key")
     cuts = cut_keys(df, key, lambda total: [F.lit(n)], groups)
-    kept = with_cuts(df, cuts, groups).where(F.coalesce(key <= F.try_element_at("_cuts", F.lit(0)), F.lit(True)))
-    return kept.drop("_cuts")
+    marked = with_cuts(df.withColumn("_key", key), cuts, groups).withColumn("_cut", F.try_element_at("_cuts", F.lit(0))).drop("_cuts")
+    below = F.coalesce(F.col("_key") < F.col("_cut.key"), F.lit(True))  # a smaller group has no cut
+    at = F.coalesce(F.col("_key") == F.col("_cut.key"), F.lit(False))
+    whole = F.coalesce(F.col("_cut.take") == F.col("_cut.n"), F.lit(True))
+    clear = marked.where(below | (at & whole)).drop("_key", "_cut")
+    split = cuts.where(F.try_element_at("_cuts", F.lit(0))["take"] < F.try_element_at("_cuts", F.lit(0))["n"])
+    if split.isEmpty():
+        return clear
+    tied = marked.where(at & ~whole).withColumns({
+        "_take": F.col("_cut.take"), "_content": F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))}).drop("_key", "_cut")
+    strata = [*groups, "_take"]
+    second = cut_keys(tied, F.col("_content"), lambda total: [F.col("_take")], strata)
+    entry = F.try_element_at("_cuts", F.lit(0))
+    placed = with_cuts(tied, second, strata).withColumn("_cut", entry).drop("_cuts")
+    first = placed.where(F.col("_content") < F.col("_cut.key"))
+    same = placed.where(F.col("_content") == F.col("_cut.key")).dropDuplicates([*groups, "_content"])
+    copies = same.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cut.take")))).drop("_copy")
+    return clear.unionByName(first.unionByName(copies).select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def sample_lines_per_file(lines: DataFrame, n: int, seed: int | str = 0) -> DataFrame:
-    """``n`` lines of each file (columns ``file``, ``value``); equal lines are told apart by
-    their position in the scan."""
-    numbered = lines.withColumn("_line", F.monotonically_increasing_id())
-    return sample_n_per_group(numbered, n, ["file"], ["value", "_line"], seed).drop("_line")
+    """``n`` lines of each file (columns ``file``, ``value``).  Equal lines of a file are told
+    apart by their number among their like, so the sample depends on content alone."""
+    counted = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("_n"))
+    each = materialize(counted.select("file", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_same")))
+    return sample_n_per_group(each, n, ["file"], ["value", "_same"], seed).drop("_same")
 
 
 def _cut_points(total: Column, shares: Sequence[float]) -> list[Column]:
@@ -64,7 +79,7 @@ def split(
     label = F.lit(parts[-1])
     for i in reversed(range(len(parts) - 1)):
         # A cut at rank 0 has no key and takes no row.
-        label = F.when(F.coalesce(key <= F.try_element_at("_cuts", F.lit(i)), F.lit(False)), F.lit(parts[i])).otherwise(label)
+        label = F.when(F.coalesce(key <= F.try_element_at("_cuts", F.lit(i))["key"], F.lit(False)), F.lit(parts[i])).otherwise(label)
     return with_cuts(df, cuts, strata).withColumn(name, label).drop("_cuts")
 
 

@@ -8,76 +8,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalis.functions.text import explode_each, with_once
-from vocalis.session import LITERAL_ROWS, broadcast_if_small
+from vocalis.session import LITERAL_ROWS, broadcast_if_small, with_row_id
 
 IGNORED = "x"
 
 
 def topic_map(lexicon: DataFrame) -> DataFrame:
-    """One row per tagged bigram.  Ignored rows go first; of several rows for one bigram the
-    last one (by ``ord``) wins."""
-    tagged = lexicon.where(F.col("topic") != IGNORED)
-    if "ord" not in lexicon.columns:
-        return tagged.select("bigram", "topic").distinct()
-    return tagged.groupBy("bigram").agg(F.max_by("topic", "ord").alias("topic"))
+    """One row per tagged bigram.  Ignored rows and NULL bigrams go first; of several rows for
+    one bigram the last one (by ``ord``) wins, then, or without ``ord``, the greatest topic."""
+    tagged = lexicon.where((F.col("topic") != IGNORED) & F.col("bigram").isNotNull())
+    place = F.struct("ord", "topic") if "ord" in lexicon.columns else F.col("topic")
+    return tagged.groupBy("bigram").agg(F.max_by("topic", place).alias("topic"))
 
 
-def _small_map(lexicon: DataFrame, ids: Sequence[str]) -> dict[str, str] | None:
+def _small_map(lexicon: DataFrame) -> dict[str, str] | None:
     """The lexicon as a dictionary if it is small enough for a literal, else None."""
     rows = topic_map(lexicon).limit(LITERAL_ROWS + 1).collect()
-    if len(rows) <= LITERAL_ROWS:
-        return {r["bigram"]: r["topic"] for r in rows}
-    if not ids:
-        raise ValueError("a lexicon of this size is joined, which needs the ids of the rows")
-    return None
+    return {r["bigram"]: r["topic"] for r in rows} if len(rows) <= LITERAL_ROWS else None
+
+
+def _looked_up(df: DataFrame, grams: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with ``topics`` by a join of every bigram with the lexicon.
+
+    Rows are put together again by a row number, and their other columns travel on the first
+    bigram only; equal, NULL or missing ids make no difference."""
+    keep = [c for c in df.columns if c != "topics"]
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest")
+    rows = with_row_id(df).select("_row", rest, F.array_distinct(grams).alias("_g")).repartition(F.col("_row"))
+    each = rows.select("_row", "_rest", F.posexplode_outer("_g").alias("_pos", "bigram"))
+    each = each.withColumn("_rest", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_rest")))
+    found = each.join(broadcast_if_small(topic_map(lexicon)), "bigram", "left").groupBy("_row").agg(
+        F.array_sort(F.collect_set("topic")).alias("topics"), F.first("_rest", ignorenulls=True).alias("_rest"))
+    return found.select("_rest.*", "topics")
 
 
 def match_topics(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str]) -> DataFrame:
     """``ids`` and the sorted distinct ``topics`` of every row that has at least one, by a
-    join with the lexicon.  Only matched bigrams are shuffled."""
+    join with the lexicon; rows with equal ids count as one.  Only matched bigrams are shuffled."""
     rows = explode_each(df.select(*ids, F.array_distinct(grams).alias(grams)), grams, "bigram", *ids)
     hits = rows.join(broadcast_if_small(topic_map(lexicon)), "bigram")
     return hits.groupBy(*ids).agg(F.array_sort(F.collect_set("topic")).alias("topics"))
 
 
-def tag_topics(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
+def tag_topics(df: DataFrame, grams: str, lexicon: DataFrame) -> DataFrame:
     """Add ``topics``, the sorted distinct topics of the row's bigrams (empty if none).
 
     A lexicon of checked size becomes a literal of a narrow expression, so nothing is
-    shuffled; a larger one is joined by ``ids``.
+    shuffled; a larger one is joined, with the same result.
     """
-    mapping = _small_map(lexicon, ids)
+    mapping = _small_map(lexicon)
     if mapping is None:
-        found = match_topics(df, grams, lexicon, ids)
-        return df.join(found, list(ids), "left").withColumn(
-            "topics", F.coalesce("topics", F.array().cast("array<string>"))
-        )
+        return _looked_up(df, grams, lexicon)
     if not mapping:
         return df.withColumn("topics", F.array().cast("array<string>"))
     keys = F.array(*[F.lit(b) for b in mapping])
     pairs = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     hits = F.array_intersect(F.col(grams), keys)
     topics = F.array_sort(F.array_distinct(F.transform(hits, lambda b: F.element_at(pairs, b))))
-    return with_once(df, topics=topics)
+    return with_once(df, topics=F.coalesce(topics, F.array().cast("array<string>")))
 
 
-def has_lexicon_bigram(df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
+def has_lexicon_bigram(df: DataFrame, grams: str, lexicon: DataFrame, name: str) -> DataFrame:
     """Boolean column: does the row share a bigram with the lexicon?"""
-    mapping = _small_map(lexicon, ids)
+    mapping = _small_map(lexicon)
     if mapping is None:
-        hit = match_topics(df, grams, lexicon, ids).select(*ids, F.lit(True).alias(name))
-        return df.join(hit, list(ids), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        rest = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row_of")
+        hit = _looked_up(df.select(rest, F.col(grams).alias("_grams")), "_grams", lexicon)
+        return hit.select("_row_of.*", (F.size("topics") > 0).alias(name))
     keys = F.array(*[F.lit(b) for b in mapping]).cast("array<string>")
     return with_once(df, **{name: F.coalesce(F.arrays_overlap(F.col(grams), keys), F.lit(False))})
 
 
-def filter_tagged(
-    df: DataFrame, grams: str, lexicon: DataFrame, ids: Sequence[str], labelled: bool = False
-) -> DataFrame:
+def filter_tagged(df: DataFrame, grams: str, lexicon: DataFrame, labelled: bool = False) -> DataFrame:
     """Keep rows with at least one lexicon bigram; labelled training rows all pass."""
     if labelled:
         return df
-    marked = has_lexicon_bigram(df, grams, lexicon, ids, "_tagged")
+    marked = has_lexicon_bigram(df, grams, lexicon, "_tagged")
     return marked.where(F.col("_tagged")).drop("_tagged")
 
 

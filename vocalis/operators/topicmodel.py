@@ -5,37 +5,45 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.operators.terms import doc_frequency, filter_extremes, n_rows
 from vocalis.session import materialize
 
-BATCH_SHARE = 0.05
+# Rounds of the fit that stand for one pass of an online fit.
+ROUNDS = 10
 
 
 def term_vectors(
     df: DataFrame, id_col: str, tokens: str = "tokens", no_below: int = 15, no_above: float = 1.0,
     keep_n: int = 10_000, tfidf: bool = False,
 ) -> tuple[DataFrame, list[str]]:
-    """Sparse count (or TF-IDF) vectors over a filtered dictionary and its terms in order.
+    """Sparse count vectors over a filtered dictionary and its terms in order; with ``tfidf`` the
+    counts times ``log2(N / df)``, scaled to unit length.
 
     The dictionary has at most ``keep_n`` terms, so it fits the driver."""
     kept = filter_extremes(doc_frequency(df, tokens), n_rows(df), no_below, no_above, keep_n)
-    words = [r["term"] for r in kept.select("term").collect()]
+    found = kept.select("term", "df").collect()
+    words = [r["term"] for r in found]
     counter = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
     counts = materialize(counter.transform(df.select(id_col, tokens)).select(id_col, "features"))
     if not tfidf:
         return counts, words
-    weigh = IDF(inputCol="features", outputCol="weighted").fit(counts)
-    return weigh.transform(counts).select(id_col, F.col("weighted").alias("features")), words
+    total = counts.count()
+    weights = Vectors.dense([math.log2(total / r["df"]) for r in found])
+    weighted = ElementwiseProduct(scalingVec=weights, inputCol="features", outputCol="_weighted").transform(counts)
+    unit = Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0).transform(weighted)
+    return unit.select(id_col, F.col("_unit").alias("features")), words
 
 
 def fit_lda(vectors: DataFrame, k: int = 10, passes: int = 2, seed: int = 1234):
-    """Online LDA; every iteration sees a share of the documents, so a pass takes several."""
-    rounds = passes * math.ceil(1 / BATCH_SHARE)
-    return LDA(k=k, optimizer="online", maxIter=rounds, subsamplingRate=BATCH_SHARE, seed=seed).fit(vectors)
+    """LDA by expectation-maximisation: every round reads every document, so none is left out.
+
+    (The online optimizer draws its batches with replacement and so misses documents.)"""
+    return LDA(k=k, optimizer="em", maxIter=passes * ROUNDS, seed=seed).fit(vectors).toLocal()
 
 
 def describe_topics(model, words: list[str], top: int = 10) -> DataFrame:

@@ -398,3 +398,19 @@ ORACLE["clean_chain"] = _with("lexicon raw", f"""
     fg AS (SELECT post_id, list_concat(w, {bigrams('w')}) AS g FROM fw),
     hit AS (SELECT post_id, list_sort(list(DISTINCT topic)) AS topics FROM (SELECT post_id, unnest(list_distinct(g)) AS bigram FROM fg)
             JOIN lexicon USING (bigram) WHERE topic <> 'x' GROUP BY post_id)""")
+ORACLE["clean_pipeline"] = ORACLE["clean_chain"]
+# Rows whose ids repeat: every turn stands for itself, so the twins number the rows.
+ORACLE["sentiment_repeated_ids"] = (
+    "WITH src AS (SELECT row_number() OVER () AS k, conv_id, " + voiced("text") + " AS text FROM conversations),"
+    + _valence_ctes("src", "k") + " SELECT conv_id, sent.* EXCLUDE (k) FROM sent JOIN src USING (k)"
+)
+ORACLE["tags_repeated_ids"] = _with("lexicon", f"""
+    SELECT conv_id, CAST(len(t) AS INTEGER) AS n, coalesce({flat('topics')}, '') AS topics FROM turns LEFT JOIN hit USING (k)""", f"""
+    turns AS (SELECT row_number() OVER () AS k, conv_id, string_split(text, ' ') AS t FROM conversations),
+    hit AS (SELECT k, list_sort(list(DISTINCT topic)) AS topics FROM (SELECT k, unnest(list_distinct({bigrams('t')})) AS bigram FROM turns)
+            JOIN lexicon USING (bigram) WHERE topic <> 'x' GROUP BY k)""")
+ORACLE["lemmas_repeated_ids"] = _with("raw", f"SELECT conv_id, {flat('lemmas')} AS tokens FROM turns JOIN lx ON post_id = k", _LEMMA.strip() + f"""
+    turns AS (SELECT row_number() OVER () AS k, conv_id, string_split(text, ' ') AS tokens FROM conversations),
+    {_lemmatized('(SELECT k AS post_id, tokens FROM turns)').strip()}""")
+ORACLE["model_save_load"] = "SELECT doc_id, 1 AS same FROM labels JOIN documents USING (doc_id)"
+ORACLE["sample_lines_per_file"] = _with("posts", "SELECT branch, CAST(post_id AS VARCHAR) AS value FROM posts QUALIFY row_number() OVER (PARTITION BY branch ORDER BY md5('0:' || post_id || ':1')) <= 5")

@@ -54,7 +54,7 @@ def scan_csv_typed(spark, d):
         F.col("retweet_count").cast("int"), F.col("favorite_count").cast("int"),
     )
     tables.write_csv(rows, path)
-    back = tables.read_csv(spark, path, tables.schema_of(tables.POSTS))
+    back = tables.read_csv(spark, path, tables.schema_of(tables.POSTS), multi_line=True, rules=tables.POSTS)
     return back.select("tweet_id", _day("tweet_date"), "tweet_text", "user_id", "retweet_count", "favorite_count")
 
 
@@ -171,7 +171,7 @@ def filter_topic(spark, d):
 
 @query
 def filter_tagged(spark, d):
-    kept = tagging.filter_tagged(V.grams(spark, d), "grams", V.lexicon(spark, d), ["post_id"])
+    kept = tagging.filter_tagged(V.grams(spark, d), "grams", V.lexicon(spark, d))
     return kept.select("post_id", "branch")
 
 
@@ -431,7 +431,7 @@ def sample_large_per_source(spark, d):
 @query
 def sample_lines_per_file(spark, d):
     path = new_shared_path(spark, "lines")
-    V.posts(spark, d).select("branch", F.col("post_id").cast("string")).write.partitionBy("branch").text(path)
+    V.posts(spark, d).select("branch", F.col("post_id").cast("string")).repartition("branch").write.partitionBy("branch").text(path)
     picked = sampling.sample_lines_per_file(tables.read_lines(spark, path), 5)
     return picked.select(F.regexp_extract("file", "branch=([a-z]+)", 1).alias("branch"), "value")
 
@@ -469,7 +469,7 @@ def union_all_docs(spark, d):
 
 @query
 def bigram_lexicon_intersect(spark, d):
-    hit = tagging.has_lexicon_bigram(V.grams(spark, d), "grams", V.lexicon(spark, d), ["post_id"], "political")
+    hit = tagging.has_lexicon_bigram(V.grams(spark, d), "grams", V.lexicon(spark, d), "political")
     return hit.select("post_id", F.col("political").cast("int").alias("political"))
 
 
@@ -516,7 +516,7 @@ def remove_stopwords(spark, d):
 @query
 def lemmatize_lookup(spark, d):
     raw = V.raw_tokens(spark, d).select("post_id", "tokens")
-    out = clean.lemmatize(raw, "tokens", ["post_id"], V.lemmas(spark, d), V.tags(spark, d))
+    out = clean.lemmatize(raw, "tokens", V.lemmas(spark, d), V.tags(spark, d))
     return out.select("post_id", _flat("tokens"))
 
 
@@ -549,7 +549,7 @@ def token_length(spark, d):
 
 @query
 def tag_topics(spark, d):
-    out = tagging.tag_topics(V.grams(spark, d), "grams", V.lexicon(spark, d), ["post_id"])
+    out = tagging.tag_topics(V.grams(spark, d), "grams", V.lexicon(spark, d))
     return out.select("post_id", _flat("topics"))
 
 
@@ -610,6 +610,30 @@ def lexicon_sentiment_scores(spark, d):
 QUERIES["lexicon_sentiment"] = QUERIES.pop("lexicon_sentiment_scores")
 
 
+def _turns(spark, d):
+    return V.table(spark, d, "conversations").select("conv_id", "text")
+
+
+@query
+def sentiment_repeated_ids(spark, d):
+    """Turns of conversations: ids repeat, and every turn has a row of its own."""
+    rows = _turns(spark, d).select("conv_id", V.voiced(F.col("text")).alias("text"))
+    return lexicon_sentiment.lexicon_sentiment(rows, V.valences(spark, d), ["conv_id"])
+
+
+@query
+def tags_repeated_ids(spark, d):
+    rows = T.with_once(_turns(spark, d), tokens=F.split("text", " "))
+    pairs = T.with_once(rows, grams=T.bigrams(F.col("tokens")))
+    return tagging.tag_topics(pairs, "grams", V.lexicon(spark, d)).select("conv_id", F.size("tokens").alias("n"), _flat("topics"))
+
+
+@query
+def lemmas_repeated_ids(spark, d):
+    rows = T.with_once(_turns(spark, d), tokens=F.split("text", " ")).select("conv_id", "tokens")
+    return clean.lemmatize(rows, "tokens", V.lemmas(spark, d), V.tags(spark, d)).select("conv_id", _flat("tokens"))
+
+
 @query
 def lexicon_sentiment_by_topic(spark, d):
     out = lexicon_sentiment.sentiment_by_topic(V.sentiments(spark, d))
@@ -617,6 +641,7 @@ def lexicon_sentiment_by_topic(spark, d):
 
 
 # ---- models ----------------------------------------------------------------------------
+# --- fixed values: the configuration of the supervised job --------------------------------
 CONFIG = {
     "min_df": 0.0001,
     "folds": 5,
@@ -642,7 +667,7 @@ def _fit(spark, d, kind: str, **params):
 
 
 def _logreg(spark, d):
-    return _fit(spark, d, "LogisticRegression()", penalty="l2", C=1.0, max_iter=20)
+    return _fit(spark, d, "LogisticRegression()", penalty="l2", C=1.0)
 
 
 @query
@@ -661,22 +686,26 @@ def train_gaussian_nb(spark, d):
 def grid_search_cv(spark, d):
     spec = CONFIG["grid"]["LR"]
     train = _features(spark, d).where(F.col("split") == "train")
-    model, _ = models.grid_search(train, spec["type"], {**spec["grid"], "max_iter": [10]}, ["doc_id"])
+    model, _ = models.grid_search(train, spec["type"], spec["grid"], ["doc_id"])
     return models.predict(model, _features(spark, d).where(F.col("split") == "test"), "doc_id", "label")
 
 
 @query
 def cv_results(spark, d):
-    spec = CONFIG["grid"]["NB"]
-    train = _features(spark, d).where(F.col("split") == "train")
-    return models.grid_search(train, spec["type"], spec["grid"], ["doc_id"])[1]
+    """Scores of every setting of every family of the configuration."""
+    return models.run_baseline(V.labelled_tokens(spark, d), CONFIG, ["doc_id"])[1]
 
 
 @query
 def model_save_load(spark, d):
     path = new_shared_path(spark, "model")
-    models.save_model(_logreg(spark, d), path)
-    return models.predict(LogisticRegressionModel.load(path), _features(spark, d), "doc_id")
+    model = _logreg(spark, d)
+    models.save_model(model, path)
+    before = models.predict(model, _features(spark, d), "doc_id")
+    after = models.predict(LogisticRegressionModel.load(path), _features(spark, d), "doc_id")
+    both = before.join(after.withColumnsRenamed({"prediction": "_p", "probability": "_q"}), "doc_id")
+    same = (F.col("prediction") == F.col("_p")) & (F.abs(F.col("probability") - F.col("_q")) < 1e-9)
+    return both.select("doc_id", same.cast("int").alias("same"))
 
 
 @query
@@ -691,7 +720,7 @@ def predict_proba(spark, d):
 
 def _topics(spark, d, tfidf: bool):
     vectors, words = topicmodel.term_vectors(V.tokens(spark, d), "post_id", no_above=0.8, tfidf=tfidf)
-    return topicmodel.fit_lda(vectors, k=10, passes=1), vectors, words
+    return topicmodel.fit_lda(vectors, k=10, passes=2), vectors, words
 
 
 @query
@@ -727,6 +756,10 @@ def embedding_classifier(spark, d):
 @query
 def hyperparameter_sweep(spark, d):
     rows = _pooled(spark, d)
-    grid = {"max_iter": [5, 25], "reg": [0.0, 0.01]}
+    grid = {"max_iter": [5, 25], "reg": [0.0, 0.0001, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0]}
     parts = [rows.where(F.col("split") == p) for p in ("train", "valid")]
     return models.sweep(*parts, grid)[1]
+
+
+# The survey's name of the chain.
+QUERIES["clean_pipeline"] = QUERIES["clean_chain"]

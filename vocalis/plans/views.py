@@ -132,7 +132,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post with tokens and its sorted topics (possibly none)."""
     return stored(
         spark, sf_dir, "tagged",
-        lambda: tagging.tag_topics(grams(spark, sf_dir), "grams", lexicon(spark, sf_dir), ["post_id"]).drop("grams"),
+        lambda: tagging.tag_topics(grams(spark, sf_dir), "grams", lexicon(spark, sf_dir)).drop("grams"),
     )
 
 
@@ -221,7 +221,7 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_options(spark: SparkSession, sf_dir: str) -> dict:
-    return {"lemmas": lemmas(spark, sf_dir), "tags": tags(spark, sf_dir), "ids": ["post_id"]}
+    return {"lemmas": lemmas(spark, sf_dir), "tags": tags(spark, sf_dir)}
 
 
 def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

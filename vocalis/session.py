@@ -47,11 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
+    """A number for every row, so that rows with equal or NULL keys stay apart.  It holds within
+    one plan that uses it once: regroup by it, do not join two evaluations."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def has_at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` holds at most ``rows`` rows of together at most ``size`` bytes (written
-    as JSON); reads no further than ``rows + 1`` rows."""
+    as JSON).  One aggregate over ``df``: every partition sends one row."""
     written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(written).alias("size")).first()
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(written).alias("size")).first()
     return found["rows"] <= rows and (found["size"] or 0) <= size
 
 

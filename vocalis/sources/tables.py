@@ -43,20 +43,41 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """Header CSV in a fixed schema; any malformed row fails the load.
-
-    Quoted line breaks make a file unsplittable, so parallelism then comes from many files;
-    pass ``multi_line=False`` when no field has line breaks."""
-    return spark.read.csv(
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False, rules: Rules = ()
+) -> DataFrame:
+    """Header CSV in a fixed schema; any malformed row fails the load, also one that is malformed
+    in a column nobody reads.
+
+    With ``rules`` a NULL in a required column or a text beyond its length fails it too.  Files
+    are split by default; quoted line breaks need ``multi_line=True``, which reads a file in one
+    task, so parallelism then comes from many files."""
+    rows = spark.read.csv(
         path, schema=schema, header=True, mode="FAILFAST", multiLine=multi_line, quote='"', escape='"',
         enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-
-
-def _clean_lookup(df: DataFrame) -> DataFrame:
+    # Only values that are asked for are parsed, so a condition that always holds asks for all.
+    read = rows.where(F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in rows.columns])) >= 0)
+    return enforce(read, rules) if rules else read
+
+
+def enforce(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``rows``, whose evaluation fails at the first row that breaks a rule, whichever columns
+    are read."""
+    whole = F.lit(True)
+    for name, _, size, required in rules:
+        c = F.col(f"`{name}`")
+        if required:
+            whole = F.when(c.isNull(), F.raise_error(F.lit(f"NULL in required column {name}")).cast("boolean")).otherwise(whole)
+        if size:
+            said = F.concat(F.lit(f"text of more than {size} characters in column {name}: "), F.substring(c, 1, 100))
+            whole = F.when(F.length(c) > size, F.raise_error(said).cast("boolean")).otherwise(whole)
+    return rows.where(whole)
+
+
+def _clean_lookup(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     text = lambda c: F.nullif(F.regexp_replace(F.col(c), r"\r", ""), F.lit(""))
-    return df.select(*[text(c).alias(c) for c in df.columns])
+    return df.select(*[F.col(c) if c in keep else text(c).alias(c) for c in df.columns])
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
@@ -65,12 +86,13 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Topic lexicon file ``Bigram,Topic`` as ``bigram, topic, ord`` (``ord``: place in file)."""
+    """Topic lexicon file ``Bigram,Topic`` as ``bigram, topic, ord``; ``ord`` orders rows as they
+    stand in the files: by file, part of the file, and place within the part."""
     schema = T.StructType().add("Bigram", "string").add("Topic", "string")
-    rows = _clean_lookup(read_csv(spark, path, schema, multi_line=False).coalesce(1))
-    return rows.select(
-        F.col("Bigram").alias("bigram"), F.col("Topic").alias("topic"), F.monotonically_increasing_id().alias("ord")
-    )
+    rows = read_csv(spark, path, schema)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    placed = rows.select(F.col("Bigram").alias("bigram"), F.col("Topic").alias("topic"), place.alias("ord"))
+    return _clean_lookup(placed, ("ord",))
 
 
 def read_id_list(spark: SparkSession, path: str | list[str], name: str = "id") -> DataFrame:
@@ -97,19 +119,17 @@ def write_csv(df: DataFrame, path: str) -> str:
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Replace a stored table and read it back.
 
-    With ``path`` the table is parquet in that folder, otherwise a catalog table.  The input
-    may read the old table: it is written elsewhere first when both are the same."""
+    With ``path`` the table is parquet in that folder, otherwise a catalog table.  The input may
+    read the old table, so it is always written elsewhere first."""
     spark = df.sparkSession
+    aside = new_shared_path(spark, name)
+    df.write.parquet(aside)
+    rows = spark.read.parquet(aside)
     if path is None:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        rows.write.mode("overwrite").format("parquet").saveAsTable(name)
         return spark.table(name)
-    target = path.rstrip("/")
-    if any(target in f for f in df.inputFiles()):
-        aside = new_shared_path(spark, name)
-        df.write.parquet(aside)
-        df = spark.read.parquet(aside)
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def check_constraints(df: DataFrame, rules: Rules) -> DataFrame:
