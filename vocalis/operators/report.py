@@ -83,6 +83,19 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label",
     )
 
 
+def _value_counts(long: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _means(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return counts.groupBy(*by).agg((F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
+
+
+def mean_by_cell(long: DataFrame, by: Sequence[str] = ("variable", "group"), value: str = "value") -> DataFrame:
+    """The mean part of ``mean_with_ci``."""
+    return _means(_value_counts(long, by, value), by, value)
+
+
 def mean_with_ci(
     long: DataFrame, by: Sequence[str] = ("variable", "group"), value: str = "value",
     level: float = 0.95, rounds: int = 1000, seed: int = 0,
@@ -94,8 +107,8 @@ def mean_with_ci(
     the cost follows the number of distinct values and not of rows.
     """
     by = list(by)
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    means = counts.groupBy(*by).agg((F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
+    counts = _value_counts(long, by, value)
+    means = _means(counts, by, value)
     seeded = counts.withColumn("_seed", F.xxhash64(F.lit(seed), *by, value))
     types = dict(long.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", _round int, _sum double, _weight double"

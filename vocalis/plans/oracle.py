@@ -414,3 +414,6 @@ ORACLE["lemmas_repeated_ids"] = _with("raw", f"SELECT conv_id, {flat('lemmas')}
     {_lemmatized('(SELECT k AS post_id, tokens FROM turns)').strip()}""")
 ORACLE["model_save_load"] = "SELECT doc_id, 1 AS same FROM labels JOIN documents USING (doc_id)"
 ORACLE["sample_lines_per_file"] = _with("posts", "SELECT branch, CAST(post_id AS VARCHAR) AS value FROM posts QUALIFY row_number() OVER (PARTITION BY branch ORDER BY md5('0:' || post_id || ':1')) <= 5")
+ORACLE["mean_with_ci_by_topic"] = _with("grouped", f"""
+    SELECT topic, variable, "group", round(avg(value), 10) AS mean, 1 AS inside
+    FROM (SELECT post_id, unnest(topics) AS topic FROM grouped) JOIN ({MELTED}) USING (post_id) GROUP BY ALL""", MASTER_SENT)

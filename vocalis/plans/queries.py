@@ -383,7 +383,17 @@ def mean_with_ci(spark, d):
 @query
 def mean_by_variable_group(spark, d):
     long = report.melt_scores(V.sentiments(spark, d), ["post_id", "group"], report.SCORES)
-    return _rounded(report.mean_with_ci(long, rounds=50), "mean").select("variable", "group", "mean")
+    return _rounded(report.mean_by_cell(long), "mean").select("variable", "group", "mean")
+
+
+@query
+def mean_with_ci_by_topic(spark, d):
+    """Means per topic, and whether the interval holds them."""
+    rows = T.explode_each(V.sentiments(spark, d), "topics", "topic", "post_id", "group", *report.SCORES)
+    long = report.melt_scores(rows, ["post_id", "group", "topic"], report.SCORES)
+    out = report.mean_with_ci(long, ("topic", "variable", "group"))
+    inside = (F.col("low") <= F.col("mean") + 1e-9) & (F.col("mean") <= F.col("high") + 1e-9)
+    return out.select("topic", "variable", "group", _r(F.col("mean")).alias("mean"), inside.cast("int").alias("inside"))
 
 
 # ---- rankings --------------------------------------------------------------------------
