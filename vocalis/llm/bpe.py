@@ -28,8 +28,8 @@ from vocalis.llm.common import chunks, utf8
 SCAN = 1 << 18
 #: Pre-tokens whose ids are remembered; beyond it the memory starts anew.
 CACHE = 300_000
-#: Steps of the blockwise scan.
-BLOCK = 64
+#: Steps of the blockwise scan, of short texts and of long ones.
+SHORT_BLOCK, LONG_BLOCK = 16, 64
 
 # classes of code points
 SPACE, BLANK, LETTER, NUMBER, OTHER, MARK = range(6)  # ' ', other white space, ..., apostrophe
@@ -122,12 +122,13 @@ class Pretokens:
     def scan(self, symbols: np.ndarray, state: int) -> tuple[np.ndarray, int]:
         """Whether each symbol begins a pre-token, and the state after the last one."""
         n = len(symbols)
-        rows = -(-n // BLOCK)
-        f = np.zeros(rows * BLOCK, np.uint8)
+        block = SHORT_BLOCK if n < 1 << 16 else LONG_BLOCK
+        rows = -(-n // block)
+        f = np.zeros(rows * block, np.uint8)
         f[:n] = self.functions[symbols]
         f[n:] = self.functions[S_RESET]
-        f = f.reshape(rows, BLOCK).T.copy()  # column = block, so that one step covers all blocks
-        for k in range(1, BLOCK):  # prefix of every block
+        f = f.reshape(rows, block).T.copy()  # column = block, so that one step covers all blocks
+        for k in range(1, block):  # prefix of every block
             f[k] = self.after[f[k - 1], f[k]]
         whole = f[-1].copy()
         shift = 1
@@ -174,7 +175,7 @@ class Coder:
             ranks[t[:k]] << 32 | ranks[t[k:]]: i
             for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
-        self.limit, self.packed = cache, {}
+        self.limit, self.packed, self.counted = cache, {}, {}
         self.pretokens = Pretokens()
 
     def merge(self, piece: bytes) -> list[int]:
@@ -239,6 +240,17 @@ class Coder:
                 self.packed[piece] = got
         return got
 
+    def count(self, piece: bytes) -> int:
+        """Tokens of a pre-token."""
+        got = self.counted.get(piece)
+        if got is None:
+            if len(self.counted) >= self.limit:
+                self.counted.clear()
+            got = len(self.merge(piece))
+            if len(piece) <= 64:
+                self.counted[piece] = got
+        return got
+
     def pieces(self, text: bytes) -> Iterator[bytes]:
         """Pre-tokens of a text in order; nothing but the text is held whole."""
         open_at = 0

@@ -83,15 +83,15 @@ class Tree:
 
 def leaves_of(text: bytes, own: Coder) -> tuple[list[int], list[int]]:
     """Bytes and tokens of the leaves of a text."""
-    sizes, tokens, size, count, k = [], [], 0, 0, 0
-    for piece in own.pieces(text):
-        size, count, k = size + len(piece), count + len(own.pack(piece)) // 4, k + 1
-        if k == LEAF:
-            sizes.append(size), tokens.append(count)
-            size = count = k = 0
-    if k:
-        sizes.append(size), tokens.append(count)
-    return sizes, tokens
+    starts = list(own.pretokens.starts(text))
+    if not starts:
+        return [], []
+    bounds = np.append(np.concatenate(starts), len(text))
+    n = len(bounds) - 1
+    at = bounds.tolist()
+    counts = np.fromiter((own.count(text[a:b]) for a, b in zip(at, at[1:], strict=False)), np.int64, n)
+    first = np.arange(0, n, LEAF)
+    return np.diff(np.append(bounds[first], len(text))).tolist(), np.add.reduceat(counts, first).tolist()
 
 
 def _back(text: bytes, at: int, points: int) -> int:
@@ -135,7 +135,7 @@ def apply_edit(tree: Tree, text: bytes, start: int, stop: int, new: bytes, own:
             if hi >= len(text):
                 break
     bounds = [*starts.tolist(), len(region)]
-    count = sum(len(own.pack(region[a:b])) // 4 for a, b in zip(bounds, bounds[1:], strict=False)) if region else 0
+    count = sum(own.count(region[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)) if region else 0
     for leaf in range(first, last + 1):
         tree.put(leaf, len(region) if leaf == first else 0, count if leaf == first else 0)
     return tree, edited, len(region)
