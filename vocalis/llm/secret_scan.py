@@ -66,17 +66,16 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id",
     names = spark.createDataFrame([(f.name,) for f in spark.catalog.listFunctions()], "n string")
     styles = [F.col("n"), F.upper("n"), F.replace(F.initcap(F.replace(F.col("n"), F.lit("_"), F.lit(" "))), F.lit(" ")), F.concat("n", F.lit("_2024"))]
     known = names.select(F.explode(F.array(*styles)).alias("token")).withColumn("is_random", F.lit(False))
-    words = (
-        docs.join(F.broadcast(ids), key, "left_semi")
-        .select(F.filter(F.split(plain, r"[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) >= 3).alias("w"))
-        .where(F.size("w") > 0)
-    )
+    # No filter and no inner explode here: either would be evaluated on all documents before the join.
+    words = docs.join(F.broadcast(ids), key, "left_semi").select(
+        F.filter(F.split(plain, r"[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) >= 3).alias("w"))
     at = lambda i: F.get("w", i)
     joined = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.concat(
         at(i), F.when(i % 3 == 0, F.lit("_")).when(i % 3 == 1, F.lit("-")).otherwise(F.lit("")),
         F.coalesce(F.initcap(at(i + 1)), F.lit("v")), F.when(i % 5 == 0, (i % 2024).cast("string")).otherwise(F.lit("")),
     ))
-    ordinary = words.select(F.explode(F.concat("w", joined)).alias("token")).withColumn("is_random", F.lit(False))
+    made = F.when(F.size("w") > 0, F.concat("w", joined))
+    ordinary = words.select(F.explode_outer(made).alias("token")).withColumn("is_random", F.lit(False))
     return random.union(ordinary).union(known)
 
 
