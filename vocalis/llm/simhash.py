@@ -22,6 +22,8 @@ rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from vocalis.llm.common import chunks, stored, utf8
 from vocalis.llm.components import components
 
 BITS, WORDS, LIMIT, SEED = 64, 4, 4, 42
+#: Seeds of word fingerprints: texts that one pulls apart, another may hold together.
+SEEDS = (42, 43, 44)
 SMALL, LARGE = 64, 20_000
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
@@ -256,7 +260,8 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def _text_prints(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, node, fp``: a hash of the lower-cased words in order, and the word fingerprint."""
+    """``keys, node, fps``: a hash of the lower-cased words in order, and a word fingerprint for
+    every seed."""
 
     def work(batches):
         import pyarrow as pa
@@ -265,11 +270,12 @@ def _text_prints(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
         for part in chunks(batches, column="_body"):
             raw = [x.as_py() or b"" for x in part.column("_body")]
             node = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in raw], np.uint64).view(np.int64)
-            fp = np.array([word_fingerprint(x) for x in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), pa.array(node), pa.array(fp)], [*keys, "node", "fp"])
+            fps = [np.array([word_fingerprint(x, s) for s in SEEDS], np.uint64).view(np.int64) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i) for i in range(len(keys))), pa.array(node), pa.array(fps, pa.list_(pa.int64()))], [*keys, "node", "fps"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, utf8(text).alias("_body")).mapInArrow(work, f"{fields}, node long, fp long")
+    return docs.select(*keys, utf8(text).alias("_body")).mapInArrow(work, f"{fields}, node long, fps array<long>")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -283,17 +289,25 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(work, "node long, set array<long>")
 
 
+def _candidates(texts: DataFrame, limit: int) -> DataFrame:
+    """``a, b``: nodes whose fingerprints link."""
+    stands = stored(texts.groupBy("fp").agg(F.min("node").alias("stand")), "stands")
+    far = links(stands.select("fp"), limit, depth_for(stands.count(), limit)).distinct()
+    a, b = (stands.select(F.col("fp").alias(x), F.col("stand").alias(f"_{x}")) for x in "ab")
+    apart = far.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    same = texts.join(stands, "fp").where(F.col("node") != F.col("stand"))
+    return apart.unionByName(same.select(F.col("stand").alias("a"), F.col("node").alias("b")))
+
+
 def similar_links(keyed: DataFrame, prints: DataFrame, text: str, limit: int, words: int, similarity: float) -> DataFrame:
-    """``a, b``: links between texts (``node``) whose fingerprints link and whose shingles have a
-    Jaccard similarity of at least ``similarity``; ``keyed`` and ``prints`` share ``_k, _l``.
+    """``a, b``: links between texts (``node``) whose fingerprints link under any seed and whose
+    shingles have a Jaccard similarity of at least ``similarity``; ``keyed`` and ``prints`` share
+    ``_k, _l``.
 
     Every fingerprint is stood for by its least node, to which its other nodes are linked first."""
-    texts = stored(prints.groupBy("node", "fp").agg(F.min(F.struct("_k", "_l")).alias("one")), "texts")
-    stands = stored(texts.groupBy("fp").agg(F.min("node").alias("stand")), "stands")
-    far = links(stands.select("fp"), limit, depth_for(stands.count(), limit))
-    a, b = (stands.select(F.col("fp").alias(x), F.col("stand").alias(f"_{x}")) for x in "ab")
-    same = texts.join(stands, "fp").where(F.col("node") != F.col("stand")).select(F.col("stand").alias("a"), F.col("node").alias("b"))
-    pairs = stored(far.distinct().join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).union(same), "pairs")
+    texts = stored(prints.groupBy("node").agg(F.min(F.struct("_k", "_l")).alias("one"), F.min("fps").alias("fps")), "texts")
+    each = [_candidates(texts.select("node", F.get("fps", F.lit(i)).alias("fp")), limit) for i in range(len(SEEDS))]
+    pairs = stored(reduce(DataFrame.unionByName, each).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = needed.join(texts, "node").select("node", "one._k", "one._l")
     # Equal (_k, _l) are equal rows; one of them is enough.
@@ -309,7 +323,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
     last.
 
     Groups are components of links between texts whose word fingerprints differ in at most
-    ``limit`` bits and which share ``similarity`` of their ``words``-word shingles.  Texts of the
+    ``limit`` bits under one of the seeds and which share ``similarity`` of their ``words``-word shingles.  Texts of the
     same words in the same order, but for case and white space, are one text."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(
