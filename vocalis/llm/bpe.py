@@ -319,11 +319,11 @@ def token_digests(docs: DataFrame, ranks: str | None = None, key: str = "doc_id"
 
 
 def with_tokens(docs: DataFrame, ranks: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``offsets`` (byte offset of every token and of the
-    end); a column of one of these names is replaced."""
+    """``docs`` with ``ids`` (array<int>), ``offsets`` (byte offset of every token and of the end)
+    and ``decoded_sha256`` (digest of the bytes the ids decode to); a column of one of these names
+    is replaced."""
     path = ranks or default_ranks()
-
-    keep = [c for c in docs.columns if c not in ("ids", "offsets")]
+    keep = [c for c in docs.columns if c not in ("ids", "offsets", "decoded_sha256")]
 
     def work(batches):
         import pyarrow as pa
@@ -334,11 +334,12 @@ def with_tokens(docs: DataFrame, ranks: str | None = None, text: str = "text") -
             columns = [part.column(i) for i in range(len(keep))]
             columns += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
             columns += [pa.array([own.offsets(x).astype(np.int64) for x in ids], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "offsets"])
+            columns += [pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "offsets", "decoded_sha256"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*[F.col(f"`{c}`") for c in keep], utf8(text).alias("_text")).mapInArrow(
-        work, f"{fields}, ids array<int>, offsets array<long>")
+        work, f"{fields}, ids array<int>, offsets array<long>, decoded_sha256 string")
 
 
 def decoded(rows: DataFrame, ranks: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
