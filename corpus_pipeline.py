@@ -51,8 +51,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, ids, n_tokens, decoded_sha256``."""
-    done = bpe.decoded(bpe.with_tokens(docs.select("doc_id", "lang", "source", "text")).drop("text", "offsets"))
-    return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"))
+    return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES: list[tuple[str, Stage]] = [
