@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from conftest import SMALL
-from helpers import KINDS, ODD, encoding, fingerprint
+from helpers import KINDS, ODD, classes, encoding, fingerprint
 
 from vocalis.llm import bpe, components, decontam, html_blocks, simhash, token_trees
 
@@ -206,6 +206,42 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(spark.createDataFrame([], KINDS)).count() == 0
 
 
+def kept_by_hand(rows):
+    """Ids ``one_of_each`` keeps, over all pairs."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    up = classes(range(len(rows)), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[up[k]] = min(i, least.get(up[k], i))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_pairs_of_dissimilar_stands(spark, monkeypatch, small):
+    """Texts of one bag of words have one fingerprint, whose stand resembles few of them; a common
+    passage, and large buckets."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(small)
+    bag = [f"word{i}" for i in range(150)]
+    texts = []
+    for _ in range(40):
+        rng.shuffle(bag)
+        turned = list(bag)
+        turned[70], turned[71] = turned[71], turned[70]
+        texts += [list(bag), turned]
+    passage = [f"common{i}" for i in range(60)]
+    for k in range(80):
+        texts.append([*passage, *(f"own{k}x{i}" for i in range(15 if k % 2 else 12))])
+    chain = [f"link{i}" for i in range(120)]
+    for k in range(80):
+        texts.append([f"late{k - j}" if j <= k else w for j, w in enumerate(chain)] if k < 60 else chain[k - 60 :])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = simhash.one_of_each(spark.createDataFrame(rows, KINDS))
+    want = kept_by_hand(rows)
+    assert 40 < len(want) < 200 and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_blocks():
     page = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";</script></head><body><p>One &lt;b&gt;<b>two
       <br>three<p>four &amp five<!-- <p>no --><ul><li>a<li>b</ul><div title=">">c</div><textarea>no</textarea>&eacute;&nbsp;x"""

@@ -13,6 +13,14 @@ of a spanning forest, found by search from one fingerprint to all it reaches, in
 pairs; one of more than ``LARGE`` is cut into blocks, and every two blocks form a group of their
 own.  Nothing is capped, and no bucket meets in one task beyond twice ``LARGE`` numbers.
 
+``one_of_each`` takes such links between word fingerprints as a cheap start only; what decides is
+an exact join of shingle sets.  In one order of all shingles, two sets of Jaccard similarity ``t``
+share one of the first ``n - ceil(t n) + 1`` of each.  So the texts of one shingle form a bucket,
+and every pair of a bucket is checked unless it is connected already or cannot be similar by its
+sizes or bitmaps.  Shingles frequent in a sample come last in the order, which changes the work,
+not the links; buckets of more than ``SMALL`` texts are worked off in rounds of more and more
+pivots, between which links are contracted.
+
 Defined results: a NULL or empty text has fingerprint 0, which links like any other; repeated
 rows get a row each; component ids ignore NULL ids (NULL if a component has no other); other
 columns are ignored by ``near_duplicates`` and kept by ``one_of_each``, which keeps one of rows
@@ -37,6 +45,9 @@ SEEDS = (42, 43, 44)
 SMALL, LARGE = 64, 20_000
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
+#: Texts and number of frequent shingles that set the order of shingles; pivots grow by ``STEP``.
+SAMPLE_TEXTS, FREQUENT, STEP = 2000, 100_000, 16
+SIGN_BITS = 1024
 #: Fingerprints of a bucket to expect at most; keys are made so deep.
 EXPECTED = 16
 
@@ -259,23 +270,70 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64)).view(np.int64)
 
 
-def _text_prints(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, node, fps``: a hash of the lower-cased words in order, and a word fingerprint for
-    every seed."""
+def rare_first(own: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The part of a sorted shingle set of which every similar set holds a member: by hash, the
+    ``frequent`` (sorted by hash, with their rank) last."""
+    n = len(own)
+    wanted = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if not len(frequent):
+        return own[:wanted]
+    at = np.minimum(np.searchsorted(frequent[:, 0], own), len(frequent) - 1)
+    late = frequent[at, 0] == own
+    return np.concatenate([own[~late], own[late][np.argsort(frequent[at[late], 1])]])[:wanted]
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    bits = np.zeros(SIGN_BITS, np.uint8)
+    bits[own.view(np.uint64) % np.uint64(SIGN_BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """(hash, rank) of the shingles of many texts of a sample, sorted by hash."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for part in chunks(batches):
+            for x in part.column("text"):
+                own = shingles(x.as_py() or b"", words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), hash_of(x.as_py() or b""))), pa.array(own)], ["node", "h"])
+
+    one_in = max(1, texts.count() // SAMPLE_TEXTS)
+    some = texts.where(F.pmod("_k", F.lit(one_in)) == 0).select(utf8("_text").alias("text")).mapInArrow(work, "node long, h long")
+    often = some.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    rows = often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    ranked = np.array([(r["h"], -i) for i, r in enumerate(rows)], np.int64).reshape(-1, 2)
+    return ranked[np.argsort(ranked[:, 0])]
+
+
+def hash_of(text: bytes) -> np.int64:
+    """Hash of the lower-cased words in order."""
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)).astype(np.int64)
+
+
+def _text_prints(docs: DataFrame, keys: list[str], text: str, words: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """``keys, node, fps, n, rare, sign``: a hash of the lower-cased words in order, a word
+    fingerprint for every seed, and the number, the rarest and a bitmap of the shingles."""
 
     def work(batches):
         import pyarrow as pa
-        import xxhash
 
         for part in chunks(batches, column="_body"):
             raw = [x.as_py() or b"" for x in part.column("_body")]
-            node = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in raw], np.uint64).view(np.int64)
+            node = np.array([hash_of(x) for x in raw], np.int64)
             fps = [np.array([word_fingerprint(x, s) for s in SEEDS], np.uint64).view(np.int64) for x in raw]
+            sets = [shingles(x, words) for x in raw]
+            rare = [rare_first(x, frequent, similarity) for x in sets]
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(len(keys))), pa.array(node), pa.array(fps, pa.list_(pa.int64()))], [*keys, "node", "fps"])
+                [*(part.column(i) for i in range(len(keys))), pa.array(node), pa.array(fps, longs), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array(rare, longs), pa.array([bitmap(x) for x in sets], pa.binary())], [*keys, "node", "fps", "n", "rare", "sign"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, utf8(text).alias("_body")).mapInArrow(work, f"{fields}, node long, fps array<long>")
+    return docs.select(*keys, utf8(text).alias("_body")).mapInArrow(work, f"{fields}, node long, fps array<long>, n long, rare array<long>, sign binary")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -299,15 +357,8 @@ def _candidates(texts: DataFrame, limit: int) -> DataFrame:
     return apart.unionByName(same.select(F.col("stand").alias("a"), F.col("node").alias("b")))
 
 
-def similar_links(keyed: DataFrame, prints: DataFrame, text: str, limit: int, words: int, similarity: float) -> DataFrame:
-    """``a, b``: links between texts (``node``) whose fingerprints link under any seed and whose
-    shingles have a Jaccard similarity of at least ``similarity``; ``keyed`` and ``prints`` share
-    ``_k, _l``.
-
-    Every fingerprint is stood for by its least node, to which its other nodes are linked first."""
-    texts = stored(prints.groupBy("node").agg(F.min(F.struct("_k", "_l")).alias("one"), F.min("fps").alias("fps")), "texts")
-    each = [_candidates(texts.select("node", F.get("fps", F.lit(i)).alias("fp")), limit) for i in range(len(SEEDS))]
-    pairs = stored(reduce(DataFrame.unionByName, each).distinct(), "pairs")
+def _alike(pairs: DataFrame, texts: DataFrame, keyed: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a, b``) whose shingles have a Jaccard similarity of ``similarity``."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = needed.join(texts, "node").select("node", "one._k", "one._l")
     # Equal (_k, _l) are equal rows; one of them is enough.
@@ -318,18 +369,131 @@ def similar_links(keyed: DataFrame, prints: DataFrame, text: str, limit: int, wo
     return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
+def whole_buckets(batches, columns: int):
+    """Columns of Arrow batches sorted by the first as numpy arrays, cut between its values; a
+    binary column comes as an array of bytes."""
+    kept = None
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if kept is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(kept, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut_at = int(np.searchsorted(now[0], now[0][-1]))
+        kept = [x[cut_at:] for x in now]
+        if cut_at:
+            yield [x[:cut_at] for x in now]
+    if kept is not None:
+        yield kept
+
+
+def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and size of every run of equal values."""
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return first, np.diff(np.append(first, len(h)))
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """``h, node``: the rare shingles that more than one text has."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for h, node in whole_buckets(batches, 2):
+            _, size = _bounds(h)
+            some = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(node[some])], ["h", "node"])
+
+    rows = texts.select(F.explode("rare").alias("h"), "node")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(work, "h long, node long")
+
+
+def bucket_pairs(h: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, sign: np.ndarray,
+                 similarity: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of buckets (rows sorted by ``h, node``) that may be similar and have different roots:
+    all of small buckets if ``lo`` is 0, of large ones those of the members ``lo`` to ``hi`` with
+    later ones."""
+    first, size = _bounds(h)
+    end = np.repeat(first + size, size)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[ok], j[ok]
+        # A bit that one has alone is at least one shingle the other lacks.
+        least = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+        ok = np.bitwise_count(sign[i] & ~sign[j]).sum(1) <= n[i] - least
+        i, j, least = i[ok], j[ok], least[ok]
+        ok = np.bitwise_count(sign[j] & ~sign[i]).sum(1) <= n[j] - least
+        a.append(node[i[ok]]), b.append(node[j[ok]])
+
+    if lo == 0:
+        left = np.flatnonzero(np.repeat(size <= SMALL, size))
+        for d in range(1, SMALL):
+            left = left[left + d < end[left]]
+            if not len(left):
+                break
+            for part in range(0, len(left), COUNTED):
+                add(left[part : part + COUNTED], left[part : part + COUNTED] + d)
+    for k in np.flatnonzero(size > SMALL):
+        for i in range(first[k] + lo, first[k] + min(hi, size[k] - 1)):
+            for at in range(i + 1, first[k] + size[k], COUNTED):
+                j = np.arange(at, min(at + COUNTED, first[k] + size[k]))
+                add(np.full(len(j), i), j)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _open_pairs(shared: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, lo: int, hi: int) -> DataFrame:
+    """``a, b``: what ``bucket_pairs`` finds in the buckets that hold more than one root."""
+    rooted = shared.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    live = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+    rows = rooted.join(live, "h", "left_semi").join(texts.select("node", "n", "sign"), "node").select("h", "node", "n", "root", "sign")
+
+    def work(batches):
+        import pyarrow as pa
+
+        for h, node, n, root, sign in whole_buckets(batches, 5):
+            bits = np.frombuffer(b"".join(sign), np.uint64).reshape(-1, SIGN_BITS // 64)
+            a, b = bucket_pairs(h, node, n, root, bits, similarity, lo, hi)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(work, "a long, b long").distinct()
+
+
+def similar_links(keyed: DataFrame, prints: DataFrame, text: str, limit: int, words: int, similarity: float) -> DataFrame:
+    """``a, b``: links that connect whatever texts (``node``) have shingles of a Jaccard similarity
+    of at least ``similarity``; ``keyed`` and ``prints`` share ``_k, _l``.
+
+    Links between fingerprints come first, so that the exact join meets large groups connected."""
+    one = [F.min(F.struct("_k", "_l")).alias("one"), *[F.min(c).alias(c) for c in ("fps", "n", "rare", "sign")]]
+    texts = stored(prints.groupBy("node").agg(*one), "texts")
+    each = [_candidates(texts.select("node", F.get("fps", F.lit(i)).alias("fp")), limit) for i in range(len(SEEDS))]
+    pairs = stored(reduce(DataFrame.unionByName, each).distinct(), "pairs")
+    found = stored(_alike(pairs, texts, keyed, text, words, similarity), "near")
+    shared = stored(_shared(texts), "shared")
+    largest = shared.groupBy("h").count().agg(F.max("count")).first()[0] or 0
+    lo, hi = 0, 1
+    while lo < largest:
+        pairs = stored(_open_pairs(shared, texts, components(found), similarity, lo, hi), "pairs")
+        if not pairs.isEmpty():
+            found = stored(found.union(_alike(pairs, texts, keyed, text, words, similarity)), "near")
+        lo, hi = (hi, hi * STEP) if largest > SMALL else (largest, largest)
+    return found
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 5, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of every group of near-duplicates: that of the smallest id, NULL ids
     last.
 
-    Groups are components of links between texts whose word fingerprints differ in at most
-    ``limit`` bits under one of the seeds and which share ``similarity`` of their ``words``-word shingles.  Texts of the
-    same words in the same order, but for case and white space, are one text."""
+    Groups are components of links between all texts that share ``similarity`` of their
+    ``words``-word shingles.  Texts of the same words in the same order, but for case and white
+    space, are one text.  ``limit`` bits of the fingerprints change the work, not the groups."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_id"), F.col(text).alias("_text"),
         F.xxhash64(key, body, F.lit(1)).alias("_k"), F.xxhash64(F.lit(2), body, key).alias("_l"))
-    prints = stored(_text_prints(keyed, ["_id", "_k", "_l"], "_text"), "prints")
+    frequent = frequent_shingles(keyed, words)
+    prints = stored(_text_prints(keyed, ["_id", "_k", "_l"], "_text", words, similarity, frequent), "prints")
     roots = components(similar_links(keyed, prints, "_text", limit, words, similarity))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_k", "_l")
     first = prints.groupBy("node").agg(F.min(place).alias("least"))
