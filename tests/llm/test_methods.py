@@ -1,6 +1,7 @@
 """Methods of single operators: scans, trees, alignments, labellers, bucket links."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -242,6 +243,30 @@ def test_pairs_of_dissimilar_stands(spark, monkeypatch, small):
     assert 40 < len(want) < 200 and sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_kinds_of_copies(spark):
+    """Cut, extended and edited copies of texts of Zipf words."""
+    rng = random.Random(21)
+    words = [f"z{i}" for i in range(5000)]
+    weights = [1 / (i + 1) for i in range(5000)]
+    rows, kind = [], {}
+    for k in range(180):
+        n, share = rng.choice([60, 200, 600]), rng.uniform(0.02, 0.24)
+        base = rng.choices(words, weights, k=n)
+        copies = {
+            "cut": base[: n - int(n * min(share, 0.19))], "extended": base + rng.choices(words, weights, k=int(n * share)),
+            "edited": [rng.choice(words) if rng.random() < share / 6 else w for w in base],
+        }
+        name = list(copies)[k % 3]
+        kind[2 * k + 1] = name
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copies[name]))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, KINDS)).collect()}
+    want = set(kept_by_hand(rows))
+    drops = Counter(v for i, v in kind.items() if i not in want)
+    missed = Counter(v for i, v in kind.items() if i in kept - want)
+    assert min(drops.values()) > 20 and len(drops) == 3
+    assert kept == want, f"missed {dict(missed)} of {dict(drops)}"
+
+
 def test_blocks():
     page = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";</script></head><body><p>One &lt;b&gt;<b>two
       <br>three<p>four &amp five<!-- <p>no --><ul><li>a<li>b</ul><div title=">">c</div><textarea>no</textarea>&eacute;&nbsp;x"""
