@@ -146,6 +146,34 @@ def test_repeated_passage_still_has_seeds(spark):
     assert decontam.contaminated(docs, items).count() == 60
 
 
+def test_edited_passages(spark):
+    """Copies edited at every 4th to 6th word and at random, alone, beside exact copies, and beside
+    documents that hold the edited 3-grams."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items, docs, want = [], [], set()
+    for k in range(120):
+        item = rng.sample(vocabulary, rng.choice([15, 38]))
+        items.append((k, " ".join(item)))
+        if k % 3 == 1:
+            docs.append((10_000 + k, " ".join(item)))
+            want.add((10_000 + k, k))
+        for every in (4, 5, 6, 0):
+            changed = set(range(every - 1, len(item), every)) if every else set(rng.sample(range(len(item)), round(len(item) * rng.uniform(0.15, 0.3))))
+            copy = [f"new{k}" if i in changed else w for i, w in enumerate(item)]
+            whole = any(not changed & {i, i + 1, i + 2} for i in range(len(item) - 2))
+            number = {w: i for i, w in enumerate(dict.fromkeys(item + copy))}
+            score = decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in copy]))[0]
+            key = 10 * k + every
+            if whole and score >= decontam.needed(len(item)):
+                want.add((key, k))
+            docs.append((key, " ".join([*rng.sample(vocabulary, 40), *copy, *rng.sample(vocabulary, 40)])))
+        if k % 3 == 2:
+            docs += [(20_000 + 100 * k + i, " ".join(item[i : i + 3])) for i in range(len(item) - 2)]
+    got = decontam.contaminated(spark.createDataFrame(docs, KINDS), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 450 and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_chain_budgets_keep_every_link():
     """Every pair within the limit shares a bucket and keeps the chain of its start."""
     rng = random.Random(9)

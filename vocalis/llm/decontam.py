@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-grams as seeds, Smith-Waterman alignment of what they join.
+"""Benchmark decontamination: n-grams as seeds, Smith-Waterman alignment of what they join.
 
-Words are what is left of a text with A-Z lower-cased and ASCII punctuation taken as space.  One
-pass counts in how many documents every 3-gram of the test items occurs.  Of every stretch of
-``STRETCH`` successive 3-grams of an item the rarest becomes a seed, so any six words copied in
-a row meet a seed, however often the passage itself is repeated.  A second pass finds the seeds,
-and aligns the item with the part of the document around them (match 2, mismatch and gap -1).
+Words are what is left of a text with A-Z lower-cased and ASCII punctuation taken as space.  Every
+3-gram of an item is a seed, so any three words copied in a row meet one, whatever was edited
+around them and wherever else they occur.  One pass finds the seeds, and aligns the item with the
+part of the document around them (match 2, mismatch and gap -1).  A copy without three words in a
+row is not found.
 
 Test items are worked off in blocks of at most ``BLOCK_BYTES``; each block travels to the tasks,
 documents never move.  Nothing is capped: a document may match any number of items.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vocalis.llm.common import chunks, utf8
 
-SEED_WORDS, STRETCH = 3, 4
+SEED_WORDS = 3
 MATCH, MISS = 2, -1
 SHARE, LONG_WORDS, SHORT_WORDS = 0.5, 50, 8
 BLOCK_BYTES = 4 << 20
@@ -39,8 +39,8 @@ START_BITS = 32
 @dataclass
 class Block:
     """A block of test items: ``words`` numbers their words; ``items[i]`` are word numbers of
-    item ``ids[i]``; ``grams`` are the sorted codes of all seeds or candidates of seeds, and
-    ``places[k]`` the (item, position) pairs of ``grams[k]``."""
+    item ``ids[i]``; ``grams`` are the sorted codes of all seeds, and ``places[k]`` the (item,
+    position) pairs of ``grams[k]``."""
 
     ids: list
     words: dict[bytes, int]
@@ -79,24 +79,6 @@ def block_of(rows: list[tuple]) -> Block:
     return Block(ids, words, items, grams, [places[g] for g in grams.tolist()])
 
 
-def with_seeds(block: Block, found: dict[int, int]) -> Block:
-    """The block with seeds only: of each stretch of an item's 3-grams the one that the fewest
-    documents hold (``found`` by gram number), the first among equals."""
-    number = {g: k for k, g in enumerate(block.grams.tolist())}
-    places: dict[int, list[tuple[int, int]]] = {}
-    for k, item in enumerate(block.items):
-        own = codes(item, len(block.words) + 1).tolist()
-        often = [found.get(number[g], 0) for g in own]
-        seeds = {
-            min(range(lo, min(lo + STRETCH, len(own))), key=lambda i: (often[i], i))
-            for lo in range(max(1, len(own) - STRETCH + 1)) if own
-        }
-        for at in sorted(seeds):
-            places.setdefault(own[at], []).append((k, at))
-    grams = np.array(sorted(places), np.int64)
-    return Block(block.ids, block.words, block.items, grams, [places[g] for g in grams.tolist()])
-
-
 def hits(block: Block, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in a text's word numbers at which a gram of the block stands, and which."""
     own = codes(numbers, len(block.words) + 1)
@@ -195,23 +177,6 @@ def _short_passages(short: list[tuple[int, np.ndarray]], numbers: np.ndarray) ->
     return out
 
 
-def _document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
-    """In how many documents each gram of the block stands; bounded by the block."""
-
-    def work(batches):
-        import pyarrow as pa
-
-        total = np.zeros(len(block.grams), np.int64)
-        for part in chunks(batches):
-            for raw in part.column("text"):
-                total[np.unique(hits(block, _numbers(block, raw.as_py() or b""))[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    counted = docs.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}
-
-
 def _blocks(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
     """Rows of the test items in blocks of about BLOCK_BYTES, one block at a time."""
     size = items.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
@@ -235,8 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         block = block_of(rows)
         if not block.items:
             continue
-        seeded = with_seeds(block, _document_counts(plain, block))
-        found = plain.mapInArrow(_finder(seeded, docs.schema[key].dataType, items.schema[item_key].dataType), schema)
+        found = plain.mapInArrow(_finder(block, docs.schema[key].dataType, items.schema[item_key].dataType), schema)
         out = found if out is None else out.unionByName(found)
     out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"key": key, "item": item_key})
@@ -280,12 +244,11 @@ def _finder(block: Block, key_type, item_type):
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` less those that hold a passage of an item; rows stay where they are."""
-    plain = docs.select(F.lit(0).alias("key"), utf8(text).alias("text"))
     out = docs
     for rows in _blocks(items, item_key, item_text):
         block = block_of(rows)
         if block.items:
-            out = out.mapInArrow(_sieve(with_seeds(block, _document_counts(plain, block)), text), docs.schema)
+            out = out.mapInArrow(_sieve(block, text), docs.schema)
     return out
 
 
