@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, decontam, html_blocks, lm, quality, secret_scan, shards, simhash, token_trees, urls
+from vocalis.llm import bpe, decontam, html_blocks, lm, periodic, quality, ranked_search, secret_scan, shards, simhash, token_trees, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,40 @@ def op9_edited_counts(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", token_trees.masking_edits(F.col("text"), F.col("source")).alias("edits"))
     done = token_trees.with_edits(token_trees.with_trees(docs))
     return done.select("doc_id", *[c for c in token_trees.RESULTS if c.startswith("n_")])
+
+
+@query
+def op11_ranked_search(spark, d):
+    """The best documents for every test item."""
+    return ranked_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+# DuckDB has no 64-bit overflow here: a sum of products is cast back from 128 bits.
+ORACLE["op11_ranked_search"] = """
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL
+), whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM lengths
+), asked AS (
+  SELECT item_id, term, count(*) AS c FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, whole WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id), whole GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0
+) WHERE rank <= 20
+"""
+
+
+@query
+def op13_periodic_runs(spark, d):
+    """Periodic runs of every document, the tails of some repeated first."""
+    return periodic.run_report(periodic.with_runs(table(spark, d, "documents"), words=periodic.looped))
