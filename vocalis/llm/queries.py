@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalis.llm import bpe, decontam, html_blocks, lm, periodic, quality, ranked_search, secret_scan, shards, simhash, token_trees, urls
+from vocalis.llm import bpe, decontam, html_blocks, lm, periodic, quality, ranked_search, secret_scan, shards, simhash, token_trees, toxic_spans, urls
 from vocalis.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,14 @@ SELECT item_id, rank, doc_id, score FROM (
 """
 
 
+@query
+def op12_toxic_spans(spark, d):
+    """Chance that a document is toxic, from a field fitted to the labelled ones."""
+    docs = table(spark, d, "documents")
+    model = toxic_spans.fit(*toxic_spans.labelled_texts(docs, table(spark, d, "labels")))
+    return toxic_spans.toxicity_report(toxic_spans.score(docs, model))
+
+
 @query
 def op13_periodic_runs(spark, d):
     """Periodic runs of every document, the tails of some repeated first."""

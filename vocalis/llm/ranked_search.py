@@ -134,6 +134,8 @@ class Stratum:
 
 def strata_of(key: np.ndarray, n: np.ndarray, ends: np.ndarray, terms: np.ndarray, tfs: np.ndarray, n_docs: int, length: int) -> list[Stratum]:
     """Strata of a batch of forward rows; documents without any wanted term are in none."""
+    if not len(terms):
+        return []
     sizes = np.diff(ends)
     m = normalisers(n, n_docs, length)
     owner = np.repeat(np.arange(len(key)), sizes)
