@@ -138,7 +138,8 @@ def test_long_chains_equal_short_steps():
 def test_gradient_is_that_of_the_likelihood():
     tokens = toxic_spans.Tokens([b"aaaa bbbb cccc", b"bbbb aaaa", b"cccc"])
     y = np.array([1, 0, 0, 0, 1, 0], bool)
-    model = toxic_spans.fit_field(tokens, y, steps=200)
+    tokens.read_features()
+    model = toxic_spans.fit_field([tokens], [y], rounds=200)
     p = toxic_spans.tagged(model, tokens, {})
     assert np.abs(p - y).max() < 0.2
 

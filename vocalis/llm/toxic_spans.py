@@ -37,7 +37,9 @@ from vocalis.llm.common import chunks, smallest_ids, utf8
 
 SAMPLE, SAMPLE_BYTES, FITTED = 5_000, 1 << 15, 0.7
 LEAST_DOCS, LEAST_RATIO, LEAST_GAIN = 5, 6.0, 20.0
-FEATURES, STEPS, RATE, DECAY = 1 << 18, 40, 0.2, 2e-6
+FEATURES, ROUNDS, STEPS, RATE, DECAY = 1 << 18, 8, 60, 0.1, 2e-6
+#: Bytes of texts in one gradient step.
+SLICE = 1 << 20
 THRESHOLD = 0.7
 #: Words of a task whose scores are kept for its next texts.
 KNOWN = 500_000
@@ -155,7 +157,7 @@ def _adam(p: dict[str, np.ndarray], g: dict[str, np.ndarray], state: dict, step:
 
 
 class Tokens:
-    """Words of some texts in a row."""
+    """Words of some texts in a row, and the features of its different words."""
 
     def __init__(self, texts: Sequence[bytes]):
         lists = [t.translate(LOWER).split() for t in texts]
@@ -167,53 +169,72 @@ class Tokens:
         self.starts = np.ones(len(self.ids), bool)
         self.starts[1:] = self.owner[1:] != self.owner[:-1]
 
+    def read_features(self) -> None:
+        self.buckets, self.word = feature_rows(self.words)
+        self.upto = np.searchsorted(self.word, np.arange(len(self.words) + 1))
 
-def label_tokens(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
+
+def slices(texts: Sequence[bytes]) -> list[Tokens]:
+    """Words of neighbouring texts of about ``SLICE`` bytes each."""
+    groups: list[list[bytes]] = []
+    size = SLICE
+    for t in texts:
+        if size >= SLICE:
+            groups.append([])
+            size = 0
+        groups[-1].append(t)
+        size += len(t)
+    return [Tokens(g) for g in groups]
+
+
+def label_tokens(parts: Sequence[Tokens], toxic: Sequence[np.ndarray]) -> list[np.ndarray]:
     """True for tokens of toxic documents that have a feature frequent there beyond chance."""
-    buckets, word = feature_rows(tokens.words)
-    upto = np.searchsorted(word, np.arange(len(tokens.words) + 1))
-    n = len(tokens.words)
-    pair = np.unique(tokens.owner * n + tokens.ids)
-    doc, w = pair // n, pair % n
-    size = np.diff(upto)[w]
-    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    seen = np.unique(np.repeat(doc, size) * FEATURES + buckets[np.repeat(upto[w], size) + inside])
-    hit = toxic[seen // FEATURES]
-    a, b = (np.bincount(seen[hit == k] % FEATURES, minlength=FEATURES).astype(float) for k in (True, False))
-    n1, n0 = toxic.sum(), (~toxic).sum()
+    a, b = np.zeros(FEATURES), np.zeros(FEATURES)
+    for t, y in zip(parts, toxic, strict=True):
+        n = len(t.words)
+        doc, w = np.divmod(np.unique(t.owner * n + t.ids), max(n, 1))
+        size = np.diff(t.upto)[w]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        doc, bucket = np.divmod(np.unique(np.repeat(doc, size) * FEATURES + t.buckets[np.repeat(t.upto[w], size) + inside]), FEATURES)
+        a += np.bincount(bucket[y[doc]], minlength=FEATURES)
+        b += np.bincount(bucket[~y[doc]], minlength=FEATURES)
+    n1, n0 = (sum(float((y == k).sum()) for y in toxic) for k in (True, False))
     share = (a + b) / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.where(a > 0, a * np.log(a / (n1 * share)), 0) + np.where(b > 0, b * np.log(b / (n0 * share)), 0))
     marked = (a >= LEAST_DOCS) & ((a + 0.5) / (n1 + 1) >= LEAST_RATIO * (b + 0.5) / (n0 + 1)) & (gain >= LEAST_GAIN)
-    of_word = np.zeros(n, bool)
-    np.logical_or.at(of_word, word, marked[buckets])
-    return of_word[tokens.ids] & toxic[tokens.owner]
+    found = []
+    for t, y in zip(parts, toxic, strict=True):
+        of_word = np.zeros(len(t.words), bool)
+        np.logical_or.at(of_word, t.word, marked[t.buckets])
+        found.append(of_word[t.ids] & y[t.owner])
+    return found
 
 
-def fit_field(tokens: Tokens, y: np.ndarray, steps: int = STEPS) -> Model:
-    """Maximise the penalised log-likelihood of the token labels ``y``."""
-    buckets, word = feature_rows(tokens.words)
-    own = buckets[np.searchsorted(word, np.arange(len(tokens.words)))]
+def fit_field(parts: Sequence[Tokens], labels: Sequence[np.ndarray], rounds: int = ROUNDS) -> Model:
+    """Maximise the penalised log-likelihood of the token labels, a step for every slice in every
+    round, and at least ``STEPS``."""
     p = {k: np.zeros(FEATURES) for k in ("word", "before", "after")} | {"steps": np.zeros((2, 2)), "first": np.zeros(2)}
-    inner, state, n = ~tokens.starts[1:], {}, max(len(y), 1)
-    tags = y.astype(np.int64)
-    moved = np.bincount(tags[:-1][inner] * 2 + tags[1:][inner], minlength=4).reshape(2, 2)
-    began = np.bincount(tags[tokens.starts], minlength=2)
-    for step in range(1, steps + 1):
-        of_word = np.bincount(word, weights=p["word"][buckets], minlength=len(tokens.words))
-        score = _neighbours(of_word[tokens.ids], p["before"][own][tokens.ids], p["after"][own][tokens.ids], tokens.starts)
-        m = matrices(score, tokens.starts, p["steps"], p["first"])
-        toxic, pairs = marginals(m)
-        error = toxic - y
-        by_word = np.bincount(tokens.ids, weights=error, minlength=len(tokens.words))
-        before = np.bincount(tokens.ids[:-1], weights=error[1:] * inner, minlength=len(tokens.words))
-        after = np.bincount(tokens.ids[1:], weights=error[:-1] * inner, minlength=len(tokens.words))
-        begin = np.array([(1 - toxic)[tokens.starts].sum(), toxic[tokens.starts].sum()])
+    state: dict = {}
+    whole = [(t, y) for t, y in zip(parts, labels, strict=True) if len(y)]
+    steps = max(rounds * len(whole), STEPS) if whole else 0
+    for step in range(steps):
+        t, y = whole[step % len(whole)]
+        own, inner, count = t.buckets[t.upto[:-1]], ~t.starts[1:], len(t.words)
+        of_word = np.bincount(t.word, weights=p["word"][t.buckets], minlength=count)
+        score = _neighbours(of_word[t.ids], p["before"][own][t.ids], p["after"][own][t.ids], t.starts)
+        toxic, pairs = marginals(matrices(score, t.starts, p["steps"], p["first"]))
+        error, tags = toxic - y, y.astype(np.int64)
+        by_word = np.bincount(t.ids, weights=error, minlength=count)
+        before = np.bincount(t.ids[:-1], weights=error[1:] * inner, minlength=count)
+        after = np.bincount(t.ids[1:], weights=error[:-1] * inner, minlength=count)
+        moved = np.bincount((tags[:-1] * 2 + tags[1:])[inner], minlength=4).reshape(2, 2)
+        began = np.bincount(tags[t.starts], minlength=2)
         g = {
-            "word": np.bincount(buckets, weights=by_word[word], minlength=FEATURES), "before": np.bincount(own, weights=before, minlength=FEATURES),
-            "after": np.bincount(own, weights=after, minlength=FEATURES), "first": begin - began,
-            "steps": pairs[:, 1:][:, inner].sum(axis=1).reshape(2, 2) - moved}
-        _adam(p, {k: v / n + DECAY * p[k] for k, v in g.items()}, state, step, RATE * (1 - 0.9 * step / steps))
+            "word": np.bincount(t.buckets, weights=by_word[t.word], minlength=FEATURES), "before": np.bincount(own, weights=before, minlength=FEATURES),
+            "after": np.bincount(own, weights=after, minlength=FEATURES), "steps": pairs[:, 1:][:, inner].sum(axis=1).reshape(2, 2) - moved,
+            "first": np.array([(1 - toxic)[t.starts].sum(), toxic[t.starts].sum()]) - began}
+        _adam(p, {k: v / len(y) + DECAY * p[k] for k, v in g.items()}, state, step + 1, RATE * (1 - 0.9 * step / steps))
     return Model(**p, document=None)
 
 
@@ -235,7 +256,7 @@ def fit_documents(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def fit(texts: Sequence[bytes], toxic: Sequence[int], steps: int = STEPS) -> Model:
+def fit(texts: Sequence[bytes], toxic: Sequence[int], rounds: int = ROUNDS) -> Model:
     """Field and document score from labelled texts; equal texts count once, the greatest label."""
     merged: dict[bytes, int] = {}
     for t, y in zip(texts, toxic, strict=True):
@@ -243,16 +264,18 @@ def fit(texts: Sequence[bytes], toxic: Sequence[int], steps: int = STEPS) -> Mod
     order = sorted(merged, key=zlib.crc32)
     y = np.array([merged[t] for t in order], bool)
     cut = int(len(order) * FITTED)
-    empty = Model(*(np.zeros(FEATURES) for _ in range(3)), np.zeros((2, 2)), np.zeros(2), None, float(y.mean()) if len(y) else 0.0)
+    share = float(y.mean()) if len(y) else 0.0
     if not all(0 < part.sum() < len(part) for part in (y[:cut], y[cut:])):
-        return empty
-    tokens = Tokens(order[:cut])
-    field = fit_field(tokens, label_tokens(tokens, y[:cut]), steps) if len(tokens.ids) else empty
-    rest = Tokens(order[cut:])
-    found = tagged(field, rest, {})
-    coefficients = fit_documents(document_features(found, rest.owner, rest.sizes), y[cut:].astype(float))
+        return Model(*(np.zeros(FEATURES) for _ in range(3)), np.zeros((2, 2)), np.zeros(2), None, share)
+    parts = slices(order[:cut])
+    for t in parts:
+        t.read_features()
+    field = fit_field(parts, label_tokens(parts, np.split(y[:cut], np.cumsum([len(t.sizes) for t in parts])[:-1])), rounds)
+    del parts
+    rest = slices(order[cut:])
+    x = np.concatenate([document_features(tagged(field, t, {}), t.owner, t.sizes) for t in rest])
     small = {k: getattr(field, k).astype(np.float32) for k in ("word", "before", "after")}
-    return Model(**small, steps=field.steps, first=field.first, document=coefficients, share=empty.share)
+    return Model(**small, steps=field.steps, first=field.first, document=fit_documents(x, y[cut:].astype(float)), share=share)
 
 
 def tagged(model: Model, tokens: Tokens, known: dict[bytes, tuple[float, float, float]]) -> np.ndarray:
