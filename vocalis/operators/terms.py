@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalis.functions.text import explode_each
 from vocalis.operators.hashorder import hash_rank, order_key
-from vocalis.session import broadcast_if_small, materialize
+from vocalis.session import BROADCAST_ROWS, has_at_most, materialize
 
 
 def term_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -72,10 +72,28 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", max_size: int = 25_000) ->
     return top.withColumn("term_id", ids.cast("long")).unionByName(special)
 
 
+def hot_terms(bags: DataFrame, partitions: int) -> DataFrame:
+    """Terms with more than a quarter of a mean shuffle partition's rows.  There are fewer than
+    four times ``partitions`` of them."""
+    counts = materialize(bags.groupBy("term").agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    return materialize(counts.where(F.col("_rows") * (4 * partitions) > total).select("term"))
+
+
 def join_weights(bags: DataFrame, weights: DataFrame) -> DataFrame:
-    """Look up the weight of every term.  A counted-small table is broadcast; otherwise the
-    frequent terms make skewed partitions, which adaptive execution splits."""
-    return bags.join(broadcast_if_small(materialize(weights)), "term")
+    """Look up the weight of every term; terms without one drop.
+
+    A counted-small table is broadcast.  Of a larger one the weights of the hot terms are, whose
+    number that of the partitions bounds; the rows of all other terms are joined by a shuffle in
+    which no term makes more than a quarter of a mean partition."""
+    weights = materialize(weights)
+    if has_at_most(weights, BROADCAST_ROWS):
+        return bags.join(F.broadcast(weights), "term")
+    bags = materialize(bags)
+    hot = hot_terms(bags, int(bags.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    head = materialize(weights.join(F.broadcast(hot), "term", "left_semi"))
+    cold = bags.join(F.broadcast(hot), "term", "left_anti").join(weights, "term")
+    return bags.join(F.broadcast(head), "term").unionByName(cold)
 
 
 def _normalized(weights: DataFrame, id_col: str) -> DataFrame:
@@ -85,30 +103,38 @@ def _normalized(weights: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _weighted(df: DataFrame, id_col: str, tokens: str, weight, min_df: float, n_docs: Column | None) -> DataFrame:
+def fit_idf(df: DataFrame, tokens: str, weight: Callable[[Column, Column], Column], min_df: float, n_docs: Column | None = None) -> DataFrame:
+    """``term, df, idf`` of the terms in at least the share ``min_df`` of the rows;
+    ``weight(rows, df)`` is the idf."""
     n_docs = n_rows(df) if n_docs is None else n_docs
     frequencies = doc_frequency(df, tokens).where(F.col("df") >= F.lit(min_df) * n_docs)
-    idf = frequencies.select("term", weight(n_docs, F.col("df")).alias("_idf"))
+    return frequencies.select("term", "df", weight(n_docs, F.col("df")).alias("idf"))
+
+
+def apply_idf(df: DataFrame, idf: DataFrame, id_col: str, tokens: str = "tokens") -> DataFrame:
+    """``(id, term, tf, tfidf)`` of the terms that ``idf`` knows, unit length per document."""
     # Placed by id once: counting per document and the norm need no further shuffle.
     placed = df.select(id_col, tokens).repartition(F.col(id_col))
-    weights = join_weights(bag_of_words(placed, id_col, tokens), idf)
+    weights = join_weights(bag_of_words(placed, id_col, tokens), idf.select("term", F.col("idf").alias("_idf")))
     return _normalized(weights.withColumn("_w", F.col("tf") * F.col("_idf")), id_col)
 
 
+def smooth_idf(n_docs: Column, df: Column) -> Column:
+    return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
+
+
 def tfidf_smooth(
     df: DataFrame, id_col: str, tokens: str = "tokens", min_df: float = 1e-4, n_docs: Column | None = None
 ) -> DataFrame:
     """``(id, term, tf, tfidf)``: smoothed idf ``ln((1+n)/(1+df)) + 1``, unit length per
     document; terms below the share ``min_df`` of documents are left out.  Give ``n_docs``
     when the tokens are costly and the rows can be counted on something cheaper."""
-    return _weighted(
-        df, id_col, tokens, lambda n, d: F.log((F.lit(1.0) + n) / (F.lit(1.0) + d)) + F.lit(1.0), min_df, n_docs
-    )
+    return apply_idf(df, fit_idf(df, tokens, smooth_idf, min_df, n_docs), id_col, tokens)
 
 
 def tfidf_log2(df: DataFrame, id_col: str, tokens: str = "tokens") -> DataFrame:
     """``(id, term, tf, tfidf)``: ``tf * log2(n/df)``, unit length per document."""
-    return _weighted(df, id_col, tokens, lambda n, d: F.log2(n / d), 0.0, None)
+    return apply_idf(df, fit_idf(df, tokens, lambda n, d: F.log2(n / d), 0.0), id_col, tokens)
 
 
 def _top_per_cell(scored: DataFrame, cell: Sequence[str], score: str, k: int) -> DataFrame:

@@ -417,3 +417,64 @@ ORACLE["sample_lines_per_file"] = _with("posts", "SELECT branch, CAST(post_id AS
 ORACLE["mean_with_ci_by_topic"] = _with("grouped", f"""
     SELECT topic, variable, "group", round(avg(value), 10) AS mean, 1 AS inside
     FROM (SELECT post_id, unnest(topics) AS topic FROM grouped) JOIN ({MELTED}) USING (post_id) GROUP BY ALL""", MASTER_SENT)
+
+
+# ---- classifiers -----------------------------------------------------------------------
+def _features(body: str) -> str:
+    """The labelled texts (``lsplit``) and their weighted terms (``lx``), fitted on the training part."""
+    raw = f"SELECT doc_id, label, {tokenize('p')} AS tokens FROM (SELECT doc_id, label, {shortened('l')} AS p FROM (SELECT doc_id, quality AS label, string_split({plain('text')}, '') AS l FROM labels JOIN documents USING (doc_id)))"
+    return f"""WITH ltoks AS MATERIALIZED (SELECT doc_id, label, {no_stop('tokens')} AS tokens FROM ({raw})),
+    lsplit AS MATERIALIZED (
+        SELECT doc_id, label, tokens, CASE WHEN k <= floor(n * CAST(0.1 AS DOUBLE) + 0.5) THEN 'test'
+            WHEN k <= floor(n * CAST(0.3 AS DOUBLE) + 0.5) THEN 'valid' ELSE 'train' END AS split
+        FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY md5('1234:' || doc_id)) AS k
+              FROM ltoks WHERE len(tokens) > 0)),
+    lbag AS MATERIALIZED (
+        SELECT doc_id, split, term, count(*) AS tf
+        FROM (SELECT doc_id, split, unnest(regexp_extract_all(array_to_string(tokens, ' '), {_q(T.VECTOR_WORD)})) AS term FROM lsplit) GROUP BY ALL),
+    lsize AS (SELECT count(*) AS n FROM lsplit WHERE split = 'train'),
+    lidf AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf
+             FROM (SELECT term, count(*) AS df FROM lbag WHERE split = 'train' GROUP BY term), lsize WHERE df >= 0.0001 * n),
+    lx AS MATERIALIZED (SELECT doc_id, term, w / norm AS x FROM (
+        SELECT doc_id, term, w, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS norm FROM (SELECT doc_id, term, tf * idf AS w FROM lbag JOIN lidf USING (term)))),
+    ltrain AS (SELECT doc_id, label FROM lsplit WHERE split = 'train'),
+    {body}"""
+
+
+def _gaussian() -> str:
+    per = lambda text: ", ".join(text.format(k=k) for k in (0, 1))
+    return _features(f"""
+    sizes AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM ltrain),
+    moments AS (
+        SELECT term, sum(x) AS s, sum(x * x) AS q, {per('coalesce(sum(x) FILTER (label = {k}), 0) AS s{k}, coalesce(sum(x * x) FILTER (label = {k}), 0) AS q{k}')}
+        FROM lx JOIN ltrain USING (doc_id) GROUP BY term),
+    eps AS (SELECT 1e-9 * max(q / n - (s / n) * (s / n)) AS e FROM moments, sizes),
+    spread AS MATERIALIZED (SELECT term, {per('s{k} / n{k} AS m{k}, greatest(q{k} / n{k} - (s{k} / n{k}) * (s{k} / n{k}), 0) + e AS v{k}')} FROM moments, sizes, eps),
+    base AS (SELECT {per('ln(any_value(n{k}) / any_value(n)) - 0.5 * sum(ln(2 * pi() * v{k}) + m{k} * m{k} / v{k}) AS b{k}')} FROM spread, sizes),
+    sums AS (SELECT doc_id, {per('sum((x * m{k} - 0.5 * x * x) / v{k}) AS t{k}')} FROM lx JOIN spread USING (term) GROUP BY doc_id),
+    said AS (SELECT doc_id, split, label, CAST(coalesce(t1, 0) + b1 > coalesce(t0, 0) + b0 AS INTEGER) AS prediction FROM lsplit LEFT JOIN sums USING (doc_id), base)
+    SELECT split, {METRICS} FROM said GROUP BY split""")
+
+
+def _logistic(result: str) -> str:
+    step, reg = 1 / (0.5 + V.LOGISTIC["reg"]), V.LOGISTIC["reg"]
+    rounds = ["w0 AS MATERIALIZED (SELECT term, 0.0::DOUBLE AS w, 0.0::DOUBLE AS p FROM (SELECT DISTINCT term FROM lall JOIN ltrain USING (doc_id)))"]
+    t = 1.0
+    for k in range(V.LOGISTIC["rounds"]):
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        rounds.append(f"""v{k} AS MATERIALIZED (SELECT term, w, w + {(t - 1) / after!r}::DOUBLE * (w - p) AS v FROM w{k}),
+    r{k} AS (SELECT doc_id, 1.0 / (1.0 + exp(-sum(x * v))) - any_value(label) AS r FROM lall JOIN ltrain USING (doc_id) JOIN v{k} USING (term) GROUP BY doc_id),
+    w{k + 1} AS MATERIALIZED (
+        SELECT term, v - {step!r}::DOUBLE * (g / n + CASE WHEN term = '' THEN 0 ELSE {reg!r}::DOUBLE * v END) AS w, w AS p
+        FROM v{k} JOIN (SELECT term, sum(r * x) AS g FROM lall JOIN r{k} USING (doc_id) GROUP BY term) USING (term), lsize)""")
+        t = after
+    return _features(f"""
+    lall AS MATERIALIZED (SELECT doc_id, term, x FROM lx UNION ALL SELECT doc_id, '', 1.0 FROM lsplit),
+    {", ".join(rounds)},
+    said AS (SELECT doc_id, 1.0 / (1.0 + exp(-sum(x * w))) AS p FROM lall JOIN w{V.LOGISTIC["rounds"]} USING (term) GROUP BY doc_id)
+    SELECT doc_id, {result} FROM said""")
+
+
+ORACLE["train_gaussian_nb"] = _gaussian()
+ORACLE["predict_class"] = _logistic("CAST(p > 0.5 AS INTEGER) AS prediction")
+ORACLE["predict_proba"] = _logistic("round(p, 6) AS p")

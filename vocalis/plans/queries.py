@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import rows as R
 from vocalis.functions import text as T
 from vocalis.operators import (
-    assemble, clean, lexicon_sentiment, models, report, sampling, tagging, terms, topicmodel,
+    assemble, clean, lexicon_sentiment, models, report, sampling, table_models, tagging, terms, topicmodel, trainer,
 )
 from vocalis.plans import views as V
 from vocalis.session import new_shared_path
@@ -686,12 +686,34 @@ def train_logreg(spark, d):
     return _rounded(report.binary_metrics(out, ["split"]), "accuracy", "precision", "recall")
 
 
+def _long_features(spark, d):
+    """``doc_id, term, tfidf`` of the labelled texts, fitted on the training part."""
+    def build():
+        rows = T.with_once(V.labelled_tokens(spark, d), words=T.vector_words(F.col("tokens")))
+        idf = terms.fit_idf(rows.where(F.col("split") == "train"), "words", terms.smooth_idf, CONFIG["min_df"])
+        return terms.apply_idf(rows, idf, "doc_id", "words")
+    return V.stored(spark, d, "long_features", build)
+
+
+def _labelled(spark, d):
+    rows = V.labelled_tokens(spark, d).select("doc_id", "label", "split")
+    return rows, rows.where(F.col("split") == "train")
+
+
 @query
 def train_gaussian_nb(spark, d):
-    out = models.predict(_fit(spark, d, "GaussianNB()"), _features(spark, d), "doc_id", "split", "label")
+    values, (rows, train) = _long_features(spark, d), _labelled(spark, d)
+    model = table_models.fit_gaussian(values, train, "doc_id")
+    out = table_models.score_gaussian(model, values, rows, "doc_id")
     return _rounded(report.binary_metrics(out, ["split"]), "accuracy", "precision", "recall")
 
 
+def _logistic_scores(spark, d):
+    values, (rows, train) = _long_features(spark, d), _labelled(spark, d)
+    weights = table_models.fit_logistic(values, train, "doc_id", reg=V.LOGISTIC["reg"], rounds=V.LOGISTIC["rounds"])
+    return table_models.score_logistic(weights, values, rows, "doc_id")
+
+
 @query
 def grid_search_cv(spark, d):
     spec = CONFIG["grid"]["LR"]
@@ -720,12 +742,12 @@ def model_save_load(spark, d):
 
 @query
 def predict_class(spark, d):
-    return models.predict(_logreg(spark, d), _features(spark, d), "doc_id").drop("probability")
+    return _logistic_scores(spark, d).select("doc_id", "prediction")
 
 
 @query
 def predict_proba(spark, d):
-    return models.predict(_logreg(spark, d), _features(spark, d), "doc_id").select("doc_id", _r("probability").alias("p"))
+    return _logistic_scores(spark, d).select("doc_id", F.round("probability", 6).alias("p"))
 
 
 def _topics(spark, d, tfidf: bool):
@@ -758,17 +780,30 @@ def _pooled(spark, d):
 
 @query
 def embedding_classifier(spark, d):
-    rows = _pooled(spark, d)
-    model = models.fit_embedding_classifier(rows.where(F.col("split") == "train"))
-    return models.score_embeddings(model, rows, "doc_id")
+    """A network trained by Adam scores every text."""
+    rows, setting = _pooled(spark, d), trainer.Setting()
+    networks, _ = trainer.train_networks(rows, [setting], ["doc_id"])
+    return trainer.score_network(networks[setting], rows, "doc_id")
+
+
+# --- fixed values: the settings to compare ------------------------------------------------
+SWEEP = {"optimizer": ["Adam", "Adagrad"], "rate": [0.01, 0.001], "decay": [0.0, 0.01], "epochs": [5, 25]}
+
+
+def _sweep(spark, d):
+    return trainer.sweep_networks(_pooled(spark, d), SWEEP, ["doc_id"])
 
 
 @query
 def hyperparameter_sweep(spark, d):
-    rows = _pooled(spark, d)
-    grid = {"max_iter": [5, 25], "reg": [0.0, 0.0001, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0]}
-    parts = [rows.where(F.col("split") == p) for p in ("train", "valid")]
-    return models.sweep(*parts, grid)[1]
+    """Loss and accuracy on the validation part of every setting."""
+    return _sweep(spark, d)[1]
+
+
+@query
+def epoch_losses(spark, d):
+    """Loss and accuracy on the validation part after every epoch of every run."""
+    return _sweep(spark, d)[2]
 
 
 # The survey's name of the chain.

@@ -26,6 +26,7 @@ SELECT_TAGS = ["#OF"]
 LEXICON_RANKS = (200, 280)
 VALENCE_WORDS = 400
 VECTOR_SIZE = 64
+LOGISTIC = {"reg": 0.001, "rounds": 6}
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
