@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import rows as R
 from vocalis.functions import text as T
 from vocalis.operators import (
-    assemble, clean, lexicon_sentiment, models, report, sampling, table_models, tagging, terms, topicmodel, trainer,
+    assemble, clean, lexicon_sentiment, models, online_lda, report, sampling, table_models, tagging, terms, trainer,
 )
 from vocalis.plans import views as V
 from vocalis.session import new_shared_path
@@ -751,23 +751,27 @@ def predict_proba(spark, d):
 
 
 def _topics(spark, d, tfidf: bool):
-    vectors, words = topicmodel.term_vectors(V.tokens(spark, d), "post_id", no_above=0.8, tfidf=tfidf)
-    return topicmodel.fit_lda(vectors, k=10, passes=2), vectors, words
+    docs = online_lda.prepare(V.tokens(spark, d), "post_id", no_above=0.8, tfidf=tfidf)
+    return docs, online_lda.fit_online(docs, k=10, passes=2)
 
 
 @query
 def lda_topics(spark, d):
-    model, vectors, _ = _topics(spark, d, tfidf=False)
-    mixed = model.transform(vectors)
-    return mixed.select("post_id", models.vector_to_array("topicDistribution").alias("mix")).select(
-        "post_id", (F.array_position("mix", F.array_max("mix")) - 1).alias("topic"), _r(F.array_max("mix")).alias("share")
-    )
+    mixed = online_lda.mixtures(*_topics(spark, d, tfidf=False))
+    share = F.array_max("mix")
+    return mixed.select("post_id", (F.array_position("mix", share) - 1).alias("topic"), _r(share).alias("share"))
 
 
 @query
 def lda_describe(spark, d):
-    model, _, words = _topics(spark, d, tfidf=True)
-    return topicmodel.describe_topics(model, words)
+    return online_lda.describe(spark, _topics(spark, d, tfidf=True)[1])
+
+
+@query
+def lda_comparison(spark, d):
+    """Perplexity of held-out posts for numbers of topics and passes."""
+    docs = online_lda.prepare(V.tokens(spark, d), "post_id", no_above=0.8, held_out=0.1)
+    return online_lda.compare(docs, [10, 20], [2, 5])
 
 
 def _pooled(spark, d):
