@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from vocalis.functions import text as T
 from vocalis.functions.rows import is_leadership, recode_label
 from vocalis.operators.tagging import binarize_topics, tag_topics
-from vocalis.session import broadcast_if_small, with_row_id
+from vocalis.session import LITERAL_ROWS, broadcast_if_small, has_at_most, with_row_id
+
+# A dictionary of at most LITERAL_ROWS rows and so many bytes becomes a literal of an expression.
+LITERAL_BYTES = 1 << 20
+# The literal is split by the hash of the token, since a map is searched from its start.
+LITERAL_PARTS = 256
 
 
 def clean_tokens(
@@ -50,21 +55,39 @@ def token_lemmas(lemmas: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     return chosen.where(F.col("lemma") != F.col("token")).select("token", "lemma")
 
 
+def _literal_lemmas(forms: DataFrame):
+    """Lemma of a token as an expression over a literal dictionary, NULL for other tokens."""
+    part = F.pmod(F.xxhash64("token"), F.lit(LITERAL_PARTS)).cast("int").alias("part")
+    parts: list[list[str]] = [[] for _ in range(LITERAL_PARTS)]
+    for r in forms.select("token", "lemma", part).collect():
+        parts[r["part"]].append(f"{r['token']}\x01{r['lemma']}")
+    maps = F.array(*[F.str_to_map(F.lit("\x02".join(p)), F.lit("\x02"), F.lit("\x01")) for p in parts])
+    return lambda t: F.try_element_at(F.get(maps, F.pmod(F.xxhash64(t), F.lit(LITERAL_PARTS)).cast("int")), t)
+
+
 def lemmatize(df: DataFrame, tokens: str, lemmas: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """Replace each token by its lemma, row by row; ids may repeat or be NULL.
 
     ``lemmas(token, pos, lemma)`` and ``tags(token, pos)`` are dictionaries.  A token without
     a tag counts as a noun (``n``), one without a lemma stays; NULL tokens give an empty list.
-    Rows are placed by a row number first, so with a broadcast dictionary the tokens are put
-    back together without moving again.
+    Dictionaries whose changing tokens are few (counted) become a literal of a narrow expression, so
+    nothing is shuffled; for larger ones the rows are numbered and placed by their number first, so
+    that the tokens are put back together without moving again.
     """
+    forms = token_lemmas(lemmas, tags)
+    plain = forms.where(~F.col("token").rlike("[\x01\x02]") & ~F.col("lemma").rlike("[\x01\x02]"))
+    if has_at_most(forms, LITERAL_ROWS, LITERAL_BYTES) and plain.count() == forms.count():
+        lemma = _literal_lemmas(forms)
+        kept = F.filter(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: t.isNotNull())
+        found = F.transform(kept, lambda t: F.coalesce(lemma(t), t)).alias(tokens)
+        return df.select(*[found if c == tokens else F.col(f"`{c}`") for c in df.columns])
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != tokens], F.lit(1).alias("_one"))
-    placed = with_row_id(df).select("_row", F.col(tokens).alias("_tokens"), rest.alias("_rest")).repartition(F.col("_row"))
+    placed = with_row_id(df.select(F.col(tokens).alias("_tokens"), rest.alias("_rest"))).repartition(F.col("_row"))
     rows = placed.select("_row", "_rest", F.posexplode_outer("_tokens").alias("_pos", "_token"))
     # The other columns travel on the first token only.
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
     rows = rows.withColumn("_rest", F.when(first, F.col("_rest")))
-    forms = token_lemmas(lemmas, tags).withColumnsRenamed({"token": "_token", "lemma": "_lemma"})
+    forms = forms.withColumnsRenamed({"token": "_token", "lemma": "_lemma"})
     rows = rows.join(broadcast_if_small(forms), "_token", "left")
     placed_tokens = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_lemma", "_token").alias("t"))))
     out = rows.groupBy("_row").agg(

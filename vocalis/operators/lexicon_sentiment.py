@@ -160,8 +160,9 @@ def word_valences(
     """``_row`` (a number of the row), ``ids``, the number of words ``n_words`` and the final
     valence ``v`` of every scored word; neutral words may be missing, but every text has at least
     one row.  Ids may repeat or be NULL."""
+    numbered = with_row_id(df.select(*ids, text))
     ids = ["_row", *ids]
-    rows = with_once(with_row_id(df).select(*ids, text), _words=sentiment_words(F.col(text)))
+    rows = with_once(numbered, _words=sentiment_words(F.col(text)))
     rows = rows.select(
         *ids, "_words",
         F.size("_words").alias("n_words"),

@@ -34,7 +34,7 @@ def _looked_up(df: DataFrame, grams: str, lexicon: DataFrame) -> DataFrame:
     bigram only; equal, NULL or missing ids make no difference."""
     keep = [c for c in df.columns if c != "topics"]
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest")
-    rows = with_row_id(df).select("_row", rest, F.array_distinct(grams).alias("_g")).repartition(F.col("_row"))
+    rows = with_row_id(df.select(rest, F.array_distinct(grams).alias("_g"))).repartition(F.col("_row"))
     each = rows.select("_row", "_rest", F.posexplode_outer("_g").alias("_pos", "bigram"))
     each = each.withColumn("_rest", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_rest")))
     found = each.join(broadcast_if_small(topic_map(lexicon)), "bigram", "left").groupBy("_row").agg(

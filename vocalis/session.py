@@ -48,9 +48,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A number for every row, so that rows with equal or NULL keys stay apart.  It holds within
-    one plan that uses it once: regroup by it, do not join two evaluations."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A number for every row, so that rows with equal or NULL keys stay apart.
+
+    The rows are stored first: the number follows from the place in a stored part, so every
+    evaluation gives a row the same number, also one that a lost executor makes necessary, and
+    in whatever order the input would arrive a second time."""
+    return materialize(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def has_at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
