@@ -159,7 +159,8 @@ def top_words_per_group(df: DataFrame, k: int = 10, tokens: str = "tokens", topi
 def top_tfidf_per_group(df: DataFrame, k: int = 10, tokens: str = "tokens", topics: str = "topics") -> DataFrame:
     """As :func:`top_words_per_group`, ranked by count times the reciprocal document frequency
     over all rows; the weight is looked up by term."""
-    weights = doc_frequency(df, tokens).select("term", "weight")
-    scored = cell_counts(df, tokens, topics).join(weights, "term")
+    rows = materialize(df.select("group", "class", topics, tokens))  # read twice, made once
+    weights = doc_frequency(rows, tokens).select("term", "weight")
+    scored = cell_counts(rows, tokens, topics).join(weights, "term")
     scored = scored.select("topic", "group", "class", "term", (F.col("n") * F.col("weight")).alias("score"))
     return _top_per_cell(scored, ["topic", "group", "class"], "score", k)

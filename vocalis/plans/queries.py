@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import rows as R
 from vocalis.functions import text as T
 from vocalis.operators import (
-    assemble, clean, lexicon_sentiment, models, online_lda, report, sampling, table_models, tagging, terms, trainer,
+    assemble, clean, context_tags, lexicon_sentiment, models, online_lda, report, sampling, table_models, tagging, terms, trainer,
 )
 from vocalis.plans import views as V
 from vocalis.session import new_shared_path
@@ -573,6 +573,16 @@ def clean_chain(spark, d):
     return out.select("post_id", "user_id", "branch", _flat("tokens"), *flags)
 
 
+@query
+def lemmas_in_context(spark, d):
+    """Lemmas of the posts' words by the part of speech they have where they stand."""
+    tagger = context_tags.fit_tagger(V.tagged_rows(spark, d))
+    known = V.stored(spark, d, "words", lambda: terms.term_counts(V.raw_tokens(spark, d)).select("term"))
+    vocabulary = known.select(F.col("term").alias("word"), F.explode(F.array(*[F.lit(p) for p in "nva"])).alias("pos"))
+    rows = V.raw_tokens(spark, d).select("post_id", "tokens")
+    return context_tags.lemmatize_in_context(rows, tagger, vocabulary).select("post_id", _flat("tokens"))
+
+
 # ---- weights, splits, sentiment --------------------------------------------------------
 @query
 def tfidf_features(spark, d):

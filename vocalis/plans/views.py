@@ -221,6 +221,17 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "lemmas", build)
 
 
+def tagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with tags by rule: words in -ing are verbs unless an article stands
+    before them, other words after an article or in -s nouns, the rest adjectives."""
+    words = T.with_once(table(spark, sf_dir, "conversations"), tokens=T.tokenize(T.strip_punctuation(F.col("text"))))
+    before = F.concat(F.array(F.lit("")), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+    article = lambda b: b.isin("the", "an", "a")
+    tag = F.zip_with(before, "tokens", lambda b, t: F.when(t.isNull(), None).when(t.endswith("ing") & ~article(b), "V").when(article(t), "D").when(
+        article(b) | t.endswith("s"), "N").otherwise("J"))
+    return words.select("tokens", F.slice(tag, 1, F.size("tokens")).alias("tags"))
+
+
 def clean_options(spark: SparkSession, sf_dir: str) -> dict:
     return {"lemmas": lemmas(spark, sf_dir), "tags": tags(spark, sf_dir)}
 
