@@ -31,8 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of every group of near-duplicates: fingerprints of four-word shingles that
+    chains of at most four differing bits connect."""
+    return simhash.one_of_each_group(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 from conftest import SMALL
-from helpers import encoding, measures, sha, spans
+from helpers import KINDS, classes, encoding, fingerprint, measures, sha, spans
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +26,11 @@ def test_stages(spark, docs):
         if name == "quality_rules":
             assert all(not measures(r.text)[-1] for r in after.values())
         elif name == "near_duplicates":
-            sets = {i: shingle_set(r.text) for i, r in before.items()}
-            assert len({" ".join(r.text.lower().split()) for r in after.values()}) == len(after)
-            for i in gone:
-                assert any(similar(sets[i], sets[j]) for j in before if j != i)
+            prints = {i: fingerprint(r.text) for i, r in before.items()}
+            root, least = classes(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 4), {}
+            for i, f in prints.items():
+                least[root[f]] = min(i, least.get(root[f], i))
+            assert gone and set(after) == set(least.values()) and all(after[i] == before[i] for i in after)
         elif name == "benchmark_passages":
             items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
             assert gone and not any(t in r.text for t in items for r in after.values())
@@ -49,18 +50,37 @@ def test_stages(spark, docs):
         assert list(r.ids) == own.encode_ordinary(texts[r.doc_id]) and r.decoded_sha256 == sha(texts[r.doc_id])
 
 
-def shingle_set(text):
-    w = text.lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def similar(a, b):
-    return len(a & b) >= 0.8 * len(a | b)
-
-
 def test_odd_tables(spark, docs):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "x " * 30, "en", "s", 60), (3, "y", "xx", "s", 1), (3, "y", "xx", "s", 1)]
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     for have in (spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, have, SMALL).collect()
+
+
+@pytest.mark.parametrize("rows_in_a_broadcast", [200_000, 0])
+def test_one_row_of_a_group(spark, monkeypatch, rows_in_a_broadcast):
+    from vocalis import session
+    from vocalis.llm import simhash
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows_in_a_broadcast)
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (rows_in_a_broadcast,))
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [
+        (5, long), (4, long + " end"), (9, long.upper()), (None, long), (None, None), (None, ""), (7, " \n"), (8, "other words here now"),
+        (8, "other words here now"), (8, "and quite another text under that id"), (None, "a text without any id"), (None, "a text without any id"),
+    ]
+    extra = spark.createDataFrame(rows, KINDS).selectExpr("*", "1 as _k", "2 as _same", "3 as fp", "4 as root").repartition(3)
+    got = simhash.one_of_each_group(extra)
+    assert got.columns == extra.columns
+    prints = [fingerprint(t) for _, t in rows]
+    root = classes(set(prints), lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for (i, _), f in zip(rows, prints, strict=True):
+        place = (i is None, i or 0)
+        least[root[f]] = min(place, least.get(root[f], place))
+    found = {}
+    for r in got.collect():
+        found.setdefault(root[fingerprint(r.text)], []).append((r.doc_id is None, r.doc_id or 0))
+    assert found == {k: [v] for k, v in least.items()}
+    assert simhash.one_of_each_group(extra.limit(0)).count() == 0

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from vocalis.llm.common import chunks, stored, utf8
 from vocalis.llm.components import components
+from vocalis.session import broadcast_if_small
 
 BITS, WORDS, LIMIT, SEED = 64, 4, 4, 42
 #: Seeds of word fingerprints: texts that one pulls apart, another may hold together.
@@ -500,3 +501,27 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
     chosen = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = stored(chosen.select("least._k", "least._l"), "chosen")
     return keyed.join(chosen, ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"]).select("_doc.*")
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with one row of every component of ``near_duplicates``: that of the smallest id,
+    NULL ids last, of rows with that id the least by a hash of their text; one of rows equal in
+    both.  Texts without words are one group.  All columns are kept.
+
+    Only fingerprints and hashes of the rows are grouped; the rows themselves are moved at most
+    once, and not at all while the hashes of those that stay are few (counted)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_id"), F.col(text).alias("_text"),
+        F.xxhash64(key, body, F.lit(1)).alias("_k"), F.xxhash64(F.lit(2), body, key).alias("_l"))
+    prints = stored(fingerprints(keyed, ["_id", "_k", "_l"], "_text", words), "prints")
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_k", "_l")
+    first = prints.groupBy("fp").agg(F.min(place).alias("least"))
+    least = groups(prints, limit).join(first, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least._k", "least._l")
+    same = prints.groupBy("_k", "_l").agg(F.count(F.lit(1)).alias("_same"))
+    chosen = stored(least.join(same, ["_k", "_l"]), "chosen")
+    kept = keyed.join(broadcast_if_small(chosen.select("_k", "_l", "_same")), ["_k", "_l"])
+    alone = kept.where("_same = 1").select("_doc.*")
+    if chosen.where("_same > 1").isEmpty():
+        return alone
+    return alone.unionByName(kept.where("_same > 1").dropDuplicates(["_k", "_l"]).select("_doc.*"))
