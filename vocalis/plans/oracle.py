@@ -475,6 +475,7 @@ def _logistic(result: str) -> str:
     SELECT doc_id, {result} FROM said""")
 
 
+ORACLE["master_by_chunks"] = ORACLE["union_distinct_master"]
 ORACLE["train_gaussian_nb"] = _gaussian()
 ORACLE["predict_class"] = _logistic("CAST(p > 0.5 AS INTEGER) AS prediction")
 ORACLE["predict_proba"] = _logistic("round(p, 6) AS p")

@@ -16,6 +16,7 @@ from vocalis.operators import (
 from vocalis.plans import views as V
 from vocalis.session import new_shared_path
 from vocalis.sources import tables
+from vocalis.streaming import master_stream
 
 # Order and line number alone do not identify a line item here.
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -468,6 +469,28 @@ def union_distinct_master(spark, d):
     return out.select("post_id", _day("post_date"), "user_id", "retweet_count", "favorite_count", _flat("tokens"), *flags)
 
 
+@query
+def master_by_chunks(spark, d):
+    """The master table of ``union_distinct_master``, grown from files in chunks: every chunk is
+    cleaned, tagged, given its party and added."""
+    acc, lexicon = V.accounts(spark, d), V.lexicon(spark, d)
+
+    def build(chunk):
+        words = T.with_once(clean.clean_tokens(chunk), words=T.strip_hashtags(F.col("tokens"), "all"))
+        pairs = T.with_once(words, grams=T.tokens_plus_bigrams(F.col("words")))
+        rows = tagging.tag_topics(pairs, "grams", lexicon).where(F.size("topics") > 0).withColumn("leadership", R.is_leadership(F.col("branch"), V.LEADERSHIP))
+        flagged = tagging.binarize_topics(rows.drop("words", "grams"), V.TOPICS).drop("topics")
+        return assemble.make_master(*[flagged.where(F.col("branch") == b).drop("branch") for b in V.BRANCHES], acc, acc)
+
+    posts = V.posts(spark, d)
+    source, target, state = (new_shared_path(spark, n) for n in ("chunks", "grown", "state"))
+    posts.repartition(4, "post_id").write.parquet(source)
+    master_stream.grow_master(spark, source, posts.schema, build, target, state, files_per_chunk=2)
+    flags = [F.col(t).cast("int").alias(t) for t in ["leadership", "democrat", *V.TOPICS]]
+    out = master_stream.read_master(spark, target)
+    return out.select("post_id", _day("post_date"), "user_id", "retweet_count", "favorite_count", _flat("tokens"), *flags)
+
+
 @query
 def union_all_docs(spark, d):
     return assemble.union_all([
