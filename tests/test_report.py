@@ -59,6 +59,28 @@ def test_interval_equals_a_row_bootstrap(spark):
     assert again["low"] == pytest.approx(got["low"])
 
 
+def test_weights_are_poisson():
+    for mean in (1, 2, 9, 400, 2_000_000):
+        low, upto = report.poisson_table(mean)
+        assert upto[-1] == pytest.approx(1) and (np.diff(upto) >= 0).all()
+        if mean < 10:
+            assert low == 0 and upto[:3] == pytest.approx([np.exp(-mean), np.exp(-mean) * (1 + mean), np.exp(-mean) * (1 + mean + mean**2 / 2)])
+        w = low + np.searchsorted(upto[:-1], report.uniforms(np.arange(40) * 977 - 5, 1000), side="right")
+        assert w.mean() == pytest.approx(mean, rel=0.02) and w.var() == pytest.approx(mean, rel=0.05)
+    u = report.uniforms(np.array([7, -7]), 50_000)
+    assert 0 <= u.min() and u.max() < 1 and abs(np.corrcoef(u)[0, 1]) < 0.02
+    assert (report.uniforms(np.array([3, 7]), 10)[1] == u[0, :10]).all()
+
+
+def test_intervals_do_not_depend_on_blocks(spark, monkeypatch):
+    df = spark.range(300).select(F.lit("v").alias("variable"), (F.col("id") % 2).cast("string").alias("group"), (F.col("id") % 37 / 37.0).alias("value"))
+    whole = sorted(report.mean_with_ci(df, rounds=200).collect())
+    monkeypatch.setattr(report, "VALUES_AT_ONCE", 5)
+    small = sorted(report.mean_with_ci(df.repartition(5), rounds=200).collect())
+    assert [tuple(r)[:2] for r in whole] == [tuple(r)[:2] for r in small]
+    assert [x for r in whole for x in r[2:]] == pytest.approx([x for r in small for x in r[2:]])
+
+
 def test_union_drops_whole_copies_only(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "id long, t string")
     b = a.select("t", "id")

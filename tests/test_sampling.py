@@ -97,3 +97,23 @@ def test_lines_do_not_depend_on_partitions(spark):
     lines = spark.range(60).select((F.col("id") % 2).cast("string").alias("file"), (F.col("id") % 7).cast("string").alias("value"))
     picks = [sorted(tuple(r) for r in sampling.sample_lines_per_file(lines.repartition(k), 11, seed=2).collect()) for k in (1, 2, 5)]
     assert picks[0] == picks[1] == picks[2] and len(picks[0]) == 22
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 50, 2999, 3000, 5000])
+def test_first_rows(spark, monkeypatch, n):
+    rng = range(3000)
+    values = [None if i % 500 == 0 else (i * 7919) % 3001 for i in rng]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "k long, id long").repartition(6)
+    wanted = sorted(values, key=lambda v: (v is not None, v or 0))[:n]
+    for accuracy in (10_000, 40):
+        monkeypatch.setattr(sampling, "ACCURACY", accuracy)
+        assert [r["k"] for r in sampling.first_n(df, n, "k").collect()] == wanted
+    same = spark.range(500).select(F.lit(3).alias("k"))
+    assert sampling.first_n(same, 20, "k").count() == 20 and sampling.first_n(same.where("k < 0"), 5, "k").count() == 0
+
+
+def test_few_rows_reach_the_sort(spark):
+    df = spark.range(200_000).select((F.col("id") * 48271 % 200_003).alias("k"))
+    out = sampling.first_n(df, 10, "k")
+    limit = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= " in limit and [r["k"] for r in out.collect()] == sorted(i * 48271 % 200_003 for i in range(200_000))[:10]

@@ -21,16 +21,6 @@ weren weren't won won't wouldn wouldn't
 # The escaped ampersand of web text counts as a stop word as well.
 EXTRA_STOP_WORDS = ["amp"]
 
-# --- fixed values: tags by which posts were selected ------------------------------------
-SELECT_TAGS_DEM = [
-    "#bluewave2018", "#bluewave18", "#bluewave", "#democrats", "#resist", "#resistance",
-    "#voteblue", "#Votethemout", "#WinBlue", "#YesWeCan", "#FlipItBlue",
-]
-SELECT_TAGS_REP = [
-    "#trump", "#maga", "#gop", "#republican", "#trumptrain", "#kag", "#LeadRight",
-    "#VoteRed", "#RedWave", "#VoteDemsOut",
-]
-
 # --- fixed values: group labels of (party, leadership) ----------------------------------
 GROUPS = ["dem-lead", "dem-base", "rep-lead", "rep-base"]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +14,8 @@ from vocalis.functions.text import explode_each
 from vocalis.functions.words import GROUPS
 
 SCORES = ["negative", "neutral", "positive", "compound"]
+#: Values whose bootstrap draws are in memory together.
+VALUES_AT_ONCE = 512
 
 
 def sentiment_by_group(df: DataFrame, scores: Sequence[str] = SCORES) -> DataFrame:
@@ -96,6 +99,24 @@ def mean_by_cell(long: DataFrame, by: Sequence[str] = ("variable", "group"), val
     return _means(_value_counts(long, by, value), by, value)
 
 
+def uniforms(seeds: np.ndarray, rounds: int) -> np.ndarray:
+    """Even numbers below one (seeds, rounds), each a mixed hash of its seed and round alone."""
+    x = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def poisson_table(mean: int) -> tuple[int, np.ndarray]:
+    """Distribution of a Poisson number: the least number with any weight, and the chances that
+    it is at most that, one more, ...; ten deviations to both sides."""
+    low, high = max(0, math.floor(mean - 10 * math.sqrt(mean) - 10)), math.ceil(mean + 10 * math.sqrt(mean) + 20)
+    k = np.arange(low + 1, high + 1)
+    logs = np.concatenate([[0.0], np.cumsum(math.log(mean) - np.log(k))])
+    share = np.exp(logs - logs.max())
+    return low, np.cumsum(share / share.sum())
+
+
 def mean_with_ci(
     long: DataFrame, by: Sequence[str] = ("variable", "group"), value: str = "value",
     level: float = 0.95, rounds: int = 1000, seed: int = 0,
@@ -117,10 +138,14 @@ def mean_with_ci(
         for batch in batches:
             for cell, rows in batch.groupby(by, dropna=False, sort=False):
                 total, weight = np.zeros(rounds), np.zeros(rounds)
-                for v, c, s in zip(rows[value], rows["_c"], rows["_seed"]):
-                    w = np.random.default_rng(int(s) & 0x7FFFFFFFFFFFFFFF).poisson(c, rounds)
-                    total += w * v
-                    weight += w
+                # Values of one count share a table; their draws are looked up in it together.
+                for c, same in rows.groupby("_c", sort=True):
+                    low, upto = poisson_table(int(c))
+                    v, seeds = same[value].to_numpy(float), same["_seed"].to_numpy(np.int64)
+                    for at in range(0, len(v), VALUES_AT_ONCE):
+                        w = low + np.searchsorted(upto[:-1], uniforms(seeds[at : at + VALUES_AT_ONCE], rounds), side="right")
+                        total += v[at : at + VALUES_AT_ONCE] @ w
+                        weight += w.sum(axis=0)
                 out = {c: [x] * rounds for c, x in zip(by, cell)}
                 yield pd.DataFrame({**out, "_round": range(rounds), "_sum": total, "_weight": weight})
 

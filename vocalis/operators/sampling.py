@@ -110,6 +110,29 @@ def sample_lines_per_file(lines: DataFrame, n: int, seed: int | str = 0) -> Data
     return sample_n_per_group(each, n, ["file"], ["value", "_same"], seed, sizes).drop("_same")
 
 
+#: Steps of the quantile sketch of ``first_n``.
+ACCURACY = 10_000
+
+
+def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The ``n`` rows of the least numbers or dates in ``order`` (NULLs first), in that order.
+
+    A quantile sketch gives a bound below which at least ``n`` rows lie but few more; only these
+    are sorted and merged.  While many more than ``n`` lie there, the next sketch reads them alone."""
+    near, rows = df, df.count()
+    while rows > 4 * n and n > 0:
+        share = n / rows + 2 / ACCURACY
+        bound = near.agg(F.percentile_approx(order, F.lit(min(share, 1.0)), F.lit(ACCURACY)).alias("b")).first()["b"] if share < 1 else None
+        if bound is None:
+            break
+        closer = near.where(F.col(order).isNull() | (F.col(order) <= F.lit(bound)))
+        left = closer.count()
+        if left < n or left > rows / 2:  # the sketch missed, or one value holds most rows
+            break
+        near, rows = closer, left
+    return near.orderBy(order).limit(n)
+
+
 def _cut_points(total: Column, shares: Sequence[float]) -> list[Column]:
     upto, points = 0.0, []
     for share in list(shares)[:-1]:

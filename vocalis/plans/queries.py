@@ -156,7 +156,7 @@ def filter_keyword(spark, d):
         F.col("post_date").between("2018-01-01", "2019-01-01")
         & F.exists("tokens", lambda t: t.contains("th"))
     )
-    return rows.orderBy("post_id").limit(10_000).select("post_id", _flat("tokens"))
+    return sampling.first_n(rows, 10_000, "post_id").select("post_id", _flat("tokens"))
 
 
 @query
