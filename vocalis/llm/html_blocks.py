@@ -7,12 +7,15 @@ block.  It is trained on a bounded sample of pages, labelled by their own semant
 their texts laid out anew in other kinds of pages, whose labels are known by construction.
 
 Block text: character references decoded after the markup is gone, white space to one space,
-trimmed.  Text of script, style, title and the like and comments is no text.  Blocks below nav,
-footer, aside, form or dialog are never main text, whatever the model says.
-
-Defined results: NULL or empty html gives an empty text; broken markup is read as far as it goes;
-repeated rows are read each; other columns are ignored.  An empty table gives no rows, and a
-model trained on nothing labels by an untrained network.
+trimmed.  Text of script, style, title and the like, of graphics and of comments is no text;
+formulas are.  Blocks below nav, footer, aside, form or dialog are no main text, unless that
+element is around an article or main, or on a page without these around more than half of the
+text: then the page is read as if the element were not there, and the model decides.
+
+Defined results: NULL or empty html gives an empty text; broken markup is read as far as it goes,
+in time that grows with its length whatever its depth; repeated rows are read each; other columns
+are ignored.  An empty table gives no rows, and a model trained on no page with an article or
+main labels by an untrained network.
 """
 
 from __future__ import annotations
@@ -34,12 +37,17 @@ BLOCK_TAGS = frozenset(
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search "
     "section select summary table tbody td tfoot th thead tr ul".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style title textarea template noscript svg math object canvas audio video iframe".split())
+SILENT_TAGS = frozenset("script style title textarea template noscript svg annotation annotation-xml object canvas audio video iframe".split())
+# Start tags that end a graphic, besides those of blocks.
+NOT_IN_GRAPHICS = frozenset("b big br code em embed i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 CLOSES_P = BLOCK_TAGS - {"html", "head", "body", "button", "option", "optgroup", "caption", "legend"}
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 NEVER = frozenset("nav footer aside form dialog select button".split())
+ARTICLES = frozenset(["article", "main"])
 # ----------------------------------------------------------------------------------------
 PATH, WORDS, MEASURES, HIDDEN = 128, 64, 8, 24
+#: Elements whose tokens count by nearness, and the weight of all others above a block.
+NEAR, FAR = 6, 0.4
 INPUT = PATH + WORDS + MEASURES
 SAMPLE_PAGES, LAYOUTS, EPOCHS, RATE, SEED = 300, 700, 10, 0.01, 11
 #: Pages labelled together, and padded blocks of a group.
@@ -47,42 +55,167 @@ TOGETHER, PADDED = 256, 1 << 14
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 MARKS = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
+OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]+/\Z")
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: tuple[str, ...]  # tokens of the nearest elements, last those of a barrier
+    around: int  # bits of the slots that the tokens of all elements around it fall into
     link_chars: int
     main: bool  # below an element that says so; for training only
+    article: bool  # below an article or main
     barred: bool
 
 
+@dataclass
+class Element:
+    tag: str
+    tokens: tuple[str, ...]
+    main: bool
+    slots: tuple[int, ...]
+    barrier: int  # the nearest barrier, itself included; -1 for none
+    is_barrier: bool
+
+
+class Stack:
+    """Open elements.  Names, slots and marks are counted as elements open and close, so that
+    neither a block nor a tag walks the stack, however deep the markup is.
+
+    Elements of the kinds in ``NEVER`` are barriers, numbered as they open.  What they are around
+    is known at the end of the page only, so their names are kept apart from the others'."""
+
+    def __init__(self) -> None:
+        self.open: list[Element] = []
+        self.plain: list[Element] = []  # those that are no barriers
+        self.places: dict[str, list[int]] = {}  # tag -> its places in ``open``
+        self.counts, self.around, self.mains, self.within = [0] * PATH, 0, 0, 0
+        self.barriers: list[Element] = []
+        self.outer: list[int] = []  # barrier -> the barrier around it
+        self.chars: list[int] = []
+        self.holds: list[bool] = []  # an article or main opens below it
+        self.articles, self.total = 0, 0  # of the whole page; characters of its blocks
+
+    def push(self, tag: str, tokens: tuple[str, ...], main: bool) -> None:
+        barrier, slots = self.barrier(), tuple({_slot(t) % PATH for t in tokens})
+        if tag in ARTICLES:
+            self.articles += 1
+            self.within += 1
+            if barrier >= 0:
+                self.holds[barrier] = True
+        if tag in NEVER:
+            self.outer.append(barrier)
+            self.chars.append(0)
+            self.holds.append(False)
+            new = Element(tag, tokens, main, slots, len(self.barriers), True)
+            self.barriers.append(new)
+        else:
+            for k in slots:
+                self.counts[k] += 1
+                self.around |= 1 << k
+            new = Element(tag, tokens, main, slots, barrier, False)
+            self.plain.append(new)
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.mains += main
+        self.open.append(new)
+
+    def barrier(self) -> int:
+        return self.open[-1].barrier if self.open else -1
+
+    def close(self, tag: str, within: tuple[str, ...] = ()) -> None:
+        """Closes the nearest element of this tag and all in it, unless one of ``within`` is nearer."""
+        own = self.places.get(tag)
+        if not own or any((other := self.places.get(w)) and other[-1] > own[-1] for w in within):
+            return
+        to = own[-1]
+        while len(self.open) > to:
+            x = self.open.pop()
+            self.places[x.tag].pop()
+            self.mains -= x.main
+            self.within -= x.tag in ARTICLES
+            if x.is_barrier:
+                continue
+            self.plain.pop()
+            for k in x.slots:
+                self.counts[k] -= 1
+                if not self.counts[k]:
+                    self.around &= ~(1 << k)
+
+    def bars(self) -> list[int]:
+        """For every barrier the nearest one, itself included, that keeps its blocks out of the main
+        text, or -1: all do but those around an article or main, or, on a page without, around
+        more than half of its text."""
+        holds, chars = list(self.holds), list(self.chars)
+        for k in range(len(chars) - 1, -1, -1):
+            if self.outer[k] >= 0:
+                holds[self.outer[k]] |= holds[k]
+                chars[self.outer[k]] += chars[k]
+        out: list[int] = []
+        for k, o in enumerate(self.outer):
+            around = holds[k] if self.articles else 2 * chars[k] > self.total
+            out.append(k if not around else out[o] if o >= 0 else -1)
+        return out
+
+    def masks(self, bars: list[int]) -> list[int]:
+        """Bits of the slots of every barrier and those around it, of those that bar."""
+        out: list[int] = []
+        for k, o in enumerate(self.outer):
+            own = sum(1 << j for j in self.barriers[k].slots) if bars[k] == k else 0
+            out.append(own | (out[o] if o >= 0 else 0))
+        return out
+
+def _skip(page: str, at: int, tag: str, slash: bool, unclosed: set[str]) -> int:
+    """Where reading goes on after the start tag of an element whose text is none.
+
+    Graphics end at their end tag, or at a tag that cannot stand in one.  Scripts and styles without
+    an end tag run to the end of the page; of other elements without one only the tag is left out.
+    A start tag with a slash counts as closed if another one comes before the next end tag."""
+    if tag == "svg":
+        depth, html_below = 0 if slash else 1, 0
+        while depth:
+            m = TAG.search(page, at)
+            if not m:
+                return len(page)
+            name, shut = (m[2] or "").lower(), m[3] and m[3].endswith("/")
+            if name == "svg":
+                depth += -1 if m[1] else 0 if shut else 1
+            elif name in ("foreignobject", "desc", "title"):
+                html_below = max(html_below + (-1 if m[1] else 0 if shut else 1), 0)
+            elif not html_below and (name in BLOCK_TAGS or (name in NOT_IN_GRAPHICS and not m[1])):
+                return m.start()
+            at = m.end()
+        return at
+    if tag in unclosed:
+        return at
+    m = re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?" if slash else rf"<(/){re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+    if m:
+        return m.end() if m[1] else at
+    unclosed.add(tag)
+    return len(page) if tag in ("script", "style") and not slash else at
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, none empty."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, path tokens, marked as main
-    parts: list[str] = []
-    state = {"links": 0, "linked": 0}
+    below: list[int] = []  # nearest barrier of every block
+    stack, parts, unclosed = Stack(), [], set()
+    linked = links = 0
 
     def flush() -> None:
+        nonlocal links
         if not parts:
             return
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        links, state["links"] = state["links"], 0
         if text:
-            tokens = tuple(t for x in stack[-6:] for t in x[1])
-            names = {x[0] for x in stack}
-            out.append(Block(text, tokens, min(links, len(text)), any(x[2] for x in stack), bool(names & NEVER)))
-
-    def close(tag: str, within: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
+            tokens = tuple(t for x in stack.plain[-NEAR:] for t in x.tokens)
+            out.append(Block(text, tokens, stack.around, min(links, len(text)), stack.mains > 0, stack.within > 0, False))
+            below.append(stack.barrier())
+            stack.total += len(text)
+            if below[-1] >= 0:
+                stack.chars[below[-1]] += len(text)
+        links = 0
 
     at, n = 0, len(page)
     while at < n:
@@ -90,8 +223,8 @@ def blocks(page: str) -> list[Block]:
         text = page[at : m.start()] if m else page[at:]
         if text:
             parts.append(text)
-            if state["linked"]:
-                state["links"] += len(text)
+            if linked:
+                links += len(text)
         if not m:
             break
         at = m.end()
@@ -101,25 +234,24 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-                close(tag)
+                stack.close(tag)
             elif tag == "a":
-                state["linked"] = 0
+                linked = 0
             continue
         if tag in SILENT_TAGS:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else n
+            # A slash that ends an unquoted value belongs to the value.
+            at = _skip(page, at, tag, m[3].endswith("/") and not OPEN_VALUE.search(m[3]), unclosed)
             continue
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            state["linked"] = 1
+            linked = 1
         elif tag in BLOCK_TAGS:
             flush()
             if tag in CLOSES_P:
-                close("p", ("button", "td", "th", "caption", "body"))
+                stack.close("p", ("button", "td", "th", "caption", "body"))
             if tag in CLOSED_BY_SAME:
-                close(tag, CLOSED_BY_SAME[tag])
+                stack.close(tag, CLOSED_BY_SAME[tag])
             if tag not in EMPTY_TAGS:
                 tokens, main = [tag], False
                 for name, value in MARKS.findall(m[3]) if m[3] else ():
@@ -127,8 +259,15 @@ def blocks(page: str) -> list[Block]:
                         main = True
                     else:
                         tokens += [f".{w}" for w in WORD.findall(value.lower())]
-                stack.append((tag, tuple(tokens), main))
+                stack.push(tag, tuple(dict.fromkeys(tokens)), main)
     flush()
+    bars = stack.bars()
+    masks = stack.masks(bars)
+    for b, k in zip(out, below, strict=True):
+        if k >= 0 and bars[k] >= 0:
+            b.path, b.barred = b.path + stack.barriers[bars[k]].tokens, True
+        if k >= 0:
+            b.around |= masks[k]
     return out
 
 
@@ -150,6 +289,8 @@ def vectors(page: list[Block]) -> np.ndarray:
     for i, b in enumerate(page):
         for k, token in enumerate(reversed(b.path)):
             x[i, _slot(token) % PATH] += 1 / (1 + 0.1 * k)
+        above = np.frombuffer(b.around.to_bytes(PATH // 8, "little"), np.uint8)
+        np.maximum(x[i, :PATH], FAR * np.unpackbits(above, bitorder="little"), out=x[i, :PATH])
         words = b.text.split(" ")
         count = np.bincount([_slot(w) % WORDS for w in words], minlength=WORDS)
         x[i, PATH : PATH + WORDS] = count / np.sqrt((count * count).sum())
@@ -299,10 +440,13 @@ def layout(rng: np.random.Generator, article: list[str], snippets: list[str]) ->
             inner = f"&copy; {texts[0]}" if rng.random() < 0.5 else f"<p>&copy; {texts[0]}</p>"
         else:
             inner = texts[0] if rng.random() < 0.5 else "".join(f"<p>{t}</p>" for t in texts[:2])
+        if rng.random() < 0.15 and tag != "ul":  # named far above its text
+            deep = int(rng.integers(1, 10))
+            inner = "<div>" * deep + inner + "</div>" * deep
         return f"<{tag}{named}>{inner}</{tag}>"
 
     tag = pick(["article", "main", "div", "section", "div", "article"])
-    named = f' class="{pick(MAIN_NAMES)}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
+    named = f' class="{pick(MAIN_NAMES)}"' if rng.random() < (0.85 if tag in ("div", "section") else 0.3) else ""
     inside: list[str] = []
     if article and rng.random() < 0.8:
         inside.append(f"<{pick(['h1', 'h2'])}>{escaped(article[0])}</{'h1'}>")
@@ -340,7 +484,7 @@ def train(pages: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS, seed:
     rng, data, articles, snippets = np.random.default_rng(seed), [], [], []
     for page in pages:
         found = blocks(page)
-        main = [bool({"article", "main"} & set(b.path)) and not b.barred and not any(t in (".ad", ".advert", ".comments", ".comment") for t in b.path) for b in found]
+        main = [b.article and not b.barred and not any(t in (".ad", ".advert", ".comments", ".comment") for t in b.path) for b in found]
         if found and any(main):
             data.append((vectors(found), np.array(main, float)))
             articles.append([b.text for b, k in zip(found, main, strict=True) if k])
