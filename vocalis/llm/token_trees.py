@@ -81,17 +81,20 @@ class Tree:
         return rows[:, 0].tolist(), rows[:, 1].tolist()
 
 
+def leaves_together(texts: list[bytes], own: Coder) -> list[tuple[list[int], list[int]]]:
+    """Bytes and tokens of the leaves of every text."""
+    first, sizes, packed = own.packed_pieces(texts)
+    counts = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+    out, cuts = [], first.tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        at = np.arange(a, b, LEAF) - a
+        out.append((np.add.reduceat(sizes[a:b], at).tolist(), np.add.reduceat(counts[a:b], at).tolist()) if b > a else ([], []))
+    return out
+
+
 def leaves_of(text: bytes, own: Coder) -> tuple[list[int], list[int]]:
     """Bytes and tokens of the leaves of a text."""
-    starts = list(own.pretokens.starts(text))
-    if not starts:
-        return [], []
-    bounds = np.append(np.concatenate(starts), len(text))
-    n = len(bounds) - 1
-    at = bounds.tolist()
-    counts = np.fromiter((own.count(text[a:b]) for a, b in zip(at, at[1:], strict=False)), np.int64, n)
-    first = np.arange(0, n, LEAF)
-    return np.diff(np.append(bounds[first], len(text))).tolist(), np.add.reduceat(counts, first).tolist()
+    return leaves_together([text], own)[0]
 
 
 def _back(text: bytes, at: int, points: int) -> int:
@@ -171,7 +174,7 @@ def with_trees(docs: DataFrame, text: str = "text", ranks: str | None = None) ->
 
         own, kind = coder(path), pa.list_(pa.int32())
         for part in chunks(batches, column="_text"):
-            found = [leaves_of(x.as_py() or b"", own) for x in part.column("_text")]
+            found = leaves_together([x or b"" for x in part.column("_text").to_pylist()], own)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), pa.array([sum(t) for _, t in found], pa.int64()),
                  pa.array([s for s, _ in found], kind), pa.array([t for _, t in found], kind)],
