@@ -39,14 +39,14 @@ START_BITS = 32
 @dataclass
 class Block:
     """A block of test items: ``words`` numbers their words; ``items[i]`` are word numbers of
-    item ``ids[i]``; ``grams`` are the sorted codes of all seeds, and ``places[k]`` the (item,
-    position) pairs of ``grams[k]``."""
+    item ``ids[i]``; ``grams`` are the sorted codes of all seeds, and ``places[k]`` the (item, first
+    position, last position) of ``grams[k]``."""
 
     ids: list
     words: dict[bytes, int]
     items: list[np.ndarray]
     grams: np.ndarray
-    places: list[list[tuple[int, int]]]
+    places: list[list[tuple[int, int, int]]]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -71,10 +71,13 @@ def block_of(rows: list[tuple]) -> Block:
         if w:
             ids.append(i)
             items.append(np.array([words.setdefault(x, len(words)) for x in w], np.int64))
-    places: dict[int, list[tuple[int, int]]] = {}
+    places: dict[int, list[tuple[int, int, int]]] = {}
     for k, item in enumerate(items):
+        own: dict[int, tuple[int, int]] = {}
         for at, code in enumerate(codes(item, len(words) + 1).tolist()):
-            places.setdefault(code, []).append((k, at))
+            own[code] = (own.get(code, (at, at))[0], at)
+        for code, (first, last) in own.items():
+            places.setdefault(code, []).append((k, first, last))
     grams = np.array(sorted(places), np.int64)
     return Block(ids, words, items, grams, [places[g] for g in grams.tolist()])
 
@@ -121,28 +124,38 @@ def needed(words: int) -> float:
     return MATCH * (words if words < SHORT_WORDS else min(SHARE * words, LONG_WORDS))
 
 
+def _union(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def passages(block: Block, numbers: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(item, score, start, stop) of every passage of a text, in words."""
     at, which = hits(block, numbers)
     if not len(at):
         return []
-    reach: dict[int, list[tuple[int, int]]] = {}
+    # A seed at p in the text and q in an item of m words speaks for words p - q - m/2 to p - q + 3m/2.
+    # These ranges overlap for neighbouring q, so the first and last place of a gram in an item
+    # give their union; most hits widen the range before, however often words repeat.
+    merged: dict[int, list[list[int]]] = {}
     for p, k in zip(at.tolist(), which.tolist(), strict=True):
-        for item, q in block.places[k]:
+        for item, first, last in block.places[k]:
             size = len(block.items[item])
-            lo = p - q - size // 2 - 1
-            reach.setdefault(item, []).append((max(lo, 0), min(p - q + size + size // 2 + 1, len(numbers))))
-    out = []
-    for item, spans in reach.items():
-        spans.sort()
-        merged = [list(spans[0])]
-        for lo, hi in spans[1:]:
-            if lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
+            lo, hi = max(p - last - size // 2 - 1, 0), min(p - first + size + size // 2 + 1, len(numbers))
+            spans = merged.setdefault(item, [])
+            if spans and spans[-1][0] <= lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
             else:
-                merged.append([lo, hi])
+                spans.append([lo, hi])
+    out = []
+    for item, spans in merged.items():
         own, least = block.items[item], needed(len(block.items[item]))
-        todo = [tuple(x) for x in merged]
+        todo = [tuple(x) for x in _union(spans)]
         while todo:
             lo, hi = todo.pop()
             part = numbers[lo:hi]
