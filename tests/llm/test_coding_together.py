@@ -62,3 +62,26 @@ def test_long_text_is_decoded_in_parts(own, monkeypatch):
     text = ("some words and 中文 again " * 300).encode()
     ids = own.encode(text)
     assert own.decode(ids) == text and own.offsets(ids)[-1] == len(text)
+
+
+def test_one_pass_equals_two(spark):
+    from helpers import KINDS, ODD
+
+    rows = spark.createDataFrame([(*r, [(1, 3, None), (0, 99999, "é"), (None, 2, "x"), None, (5, 2, " a")] if i % 2 else None) for i, r in enumerate(ODD)],
+                                 f"{KINDS}, edits array<struct<start:int,stop:int,text:string>>")
+    got = token_trees.edited_counts(rows)
+    want = token_trees.with_edits(token_trees.with_trees(rows)).select("doc_id", *token_trees.RESULTS[:5])
+    assert got.columns == want.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert token_trees.edited_counts(rows.limit(0)).count() == 0
+
+
+def test_many_edits_of_a_long_text_in_time(own):
+    import time
+
+    text = b"mail some.one@example.com for more " * 60_000
+    tree = token_trees.Tree(*token_trees.leaves_of(text, own))
+    edits = [(35 * k + 5, 35 * k + 25, "[masked]") for k in range(0, 60_000, 3)]
+    began = time.time()
+    tree, new, n, _ = token_trees.apply_edits(tree, text, edits, own)
+    assert time.time() - began < 30 and n == 20_000
+    assert tree.tokens == len(own.encode(new)) and tree.bytes == len(new) and new.count(b"[masked]") == 20_000

@@ -27,8 +27,8 @@ from vocalis.llm.common import chunks, utf8
 
 #: Code points scanned at once.
 SCAN = 1 << 18
-#: Pre-tokens whose ids are remembered; beyond it the memory starts anew.
-CACHE = 300_000
+#: Pre-tokens whose ids are remembered, in each of two generations.
+CACHE = 150_000
 #: Steps of the blockwise scan, of short texts and of long ones.
 SHORT_BLOCK, LONG_BLOCK = 16, 64
 #: Pre-tokens up to so many bytes are remembered; so many are merged side by side.

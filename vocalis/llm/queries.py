@@ -82,8 +82,7 @@ def op9_edited_counts(spark, d):
     """Tokens of every document before and after its private strings are masked and its source is
     put in front."""
     docs = table(spark, d, "documents").select("doc_id", "text", token_trees.masking_edits(F.col("text"), F.col("source")).alias("edits"))
-    done = token_trees.with_edits(token_trees.with_trees(docs))
-    return done.select("doc_id", *[c for c in token_trees.RESULTS if c.startswith("n_")])
+    return token_trees.edited_counts(docs)
 
 
 @query

@@ -30,6 +30,9 @@ from vocalis.llm.common import chunks, utf8
 LEAF = 32
 #: Code points an edit can reach back over.
 CONTEXT = 3
+#: Bytes of the two code points and more that are looked at behind a stretch.
+AHEAD = 12
+EDITS = "array<struct<start:int,stop:int,text:string>>"
 RESULTS = ["n_tokens", "n_edits", "n_tokens_edited", "n_bytes_edited", "n_bytes_encoded", "leaf_bytes", "leaf_tokens"]
 
 
@@ -39,46 +42,73 @@ class Tree:
     def __init__(self, leaf_bytes: list[int], leaf_tokens: list[int]) -> None:
         self.leaves = len(leaf_bytes)
         self.width = 1 << max(0, (self.leaves - 1).bit_length())
-        self.sums = np.zeros((2 * self.width, 2), np.int64)
-        if self.leaves:
-            self.sums[self.width : self.width + self.leaves, 0] = leaf_bytes
-            self.sums[self.width : self.width + self.leaves, 1] = leaf_tokens
-        lo = self.width
-        while lo > 1:
-            self.sums[lo // 2 : lo] = self.sums[lo : 2 * lo].reshape(-1, 2, 2).sum(1)
-            lo //= 2
+        rest = [0] * (self.width - self.leaves)
+        self.sizes = [0] * self.width + list(leaf_bytes) + rest
+        self.counts = [0] * self.width + list(leaf_tokens) + rest
+        for k in range(self.width - 1, 0, -1):
+            self.sizes[k] = self.sizes[2 * k] + self.sizes[2 * k + 1]
+            self.counts[k] = self.counts[2 * k] + self.counts[2 * k + 1]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.counts[1]
 
     @property
     def bytes(self) -> int:
-        return int(self.sums[1, 0])
+        return self.sizes[1]
 
     def at(self, byte: int) -> tuple[int, int]:
         """(leaf that holds a byte, its first byte); the last leaf for the end of the text."""
         k, before = 1, 0
         while k < self.width:
             k *= 2
-            if byte - before >= self.sums[k, 0] and self.sums[k + 1, 0] > 0:
-                before += int(self.sums[k, 0])
+            if byte - before >= self.sizes[k] and self.sizes[k + 1] > 0:
+                before += self.sizes[k]
                 k += 1
         return k - self.width, before
 
+    def size(self, leaf: int) -> int:
+        return self.sizes[self.width + leaf]
+
     def put(self, leaf: int, size: int, tokens: int) -> None:
         """Sets a leaf and the sums above it."""
         k = self.width + leaf
-        change = np.array([size, tokens]) - self.sums[k]
+        more, tokens = size - self.sizes[k], tokens - self.counts[k]
         while k:
-            self.sums[k] += change
+            self.sizes[k] += more
+            self.counts[k] += tokens
             k //= 2
 
     def arrays(self) -> tuple[list[int], list[int]]:
         """Leaves that are not empty."""
-        rows = self.sums[self.width : self.width + self.leaves]
-        rows = rows[rows[:, 0] > 0]
-        return rows[:, 0].tolist(), rows[:, 1].tolist()
+        live = [k for k in range(self.width, self.width + self.leaves) if self.sizes[k]]
+        return [self.sizes[k] for k in live], [self.counts[k] for k in live]
+
+
+class Text:
+    """A text that is edited from its end to its start: the part before the last edit is still that
+    of the given text, what follows is a stack of pieces, so no edit copies the text."""
+
+    def __init__(self, text: bytes) -> None:
+        self.given, self.cut = text, len(text)
+        self.pieces: list[bytes] = []  # the last one comes first in the text
+
+    def edit(self, start: int, stop: int, new: bytes) -> None:
+        self.pieces += [x for x in (self.given[stop : self.cut], new) if x]
+        self.cut = start
+
+    def read(self, lo: int, hi: int) -> bytes:
+        """Bytes of the edited text, from before its last edit."""
+        out, left = [self.given[lo : min(self.cut, hi)]], hi - max(self.cut, lo)
+        for piece in reversed(self.pieces):
+            if left <= 0:
+                break
+            out.append(piece[:left])
+            left -= len(piece)
+        return b"".join(out)
+
+    def whole(self) -> bytes:
+        return b"".join([self.given[: self.cut], *reversed(self.pieces)])
 
 
 def leaves_together(texts: list[bytes], own: Coder) -> list[tuple[list[int], list[int]]]:
@@ -118,30 +148,33 @@ def _starts(own: Coder, region: bytes, ahead: bytes) -> tuple[np.ndarray, bool]:
     return first[begins[:n]], len(both) == n or bool(begins[n])
 
 
-def apply_edit(tree: Tree, text: bytes, start: int, stop: int, new: bytes, own: Coder) -> tuple[Tree, bytes, int]:
-    """The tree and text after one edit (in bytes), and the bytes encoded for it."""
-    edited = text[:start] + new + text[stop:]
+def apply_edit(tree: Tree, text: Text, start: int, stop: int, new: bytes, own: Coder) -> tuple[Tree, int]:
+    """The tree after one edit (in bytes) that begins before all earlier ones, and the bytes
+    encoded for it."""
+    text.edit(start, stop, new)
     if not tree.leaves:
-        return Tree(*leaves_of(edited, own)), edited, len(edited)
-    first, lo = tree.at(_back(text, start, CONTEXT))
+        edited = text.whole()
+        return Tree(*leaves_of(edited, own)), len(edited)
+    end, shift = tree.bytes, len(new) - (stop - start)
+    first, lo = tree.at(_back(text.given, start, CONTEXT))
     last, hi = tree.at(stop)
-    hi += int(tree.sums[tree.width + last, 0])
-    shift = len(edited) - len(text)
+    hi += tree.size(last)
     while True:
-        region = edited[lo : hi + shift]
-        starts, clean = _starts(own, region, edited[hi + shift : hi + shift + 12]) if region else (np.empty(0, np.int64), hi >= len(text))
-        if clean or hi >= len(text):
+        region = text.read(lo, hi + shift)
+        ahead = text.read(lo, hi + shift + AHEAD)[len(region) :]
+        starts, clean = _starts(own, region, ahead) if region else (np.empty(0, np.int64), hi >= end)
+        if clean or hi >= end:
             break
         for _ in range(4):  # the next leaves that are not empty
             last, hi = tree.at(hi)
-            hi += int(tree.sums[tree.width + last, 0])
-            if hi >= len(text):
+            hi += tree.size(last)
+            if hi >= end:
                 break
     bounds = [*starts.tolist(), len(region)]
     count = sum(own.count(region[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)) if region else 0
     for leaf in range(first, last + 1):
         tree.put(leaf, len(region) if leaf == first else 0, count if leaf == first else 0)
-    return tree, edited, len(region)
+    return tree, len(region)
 
 
 def apply_edits(tree: Tree, text: bytes, edits: list[tuple[int, int, str]], own: Coder) -> tuple[Tree, bytes, int, int]:
@@ -157,11 +190,15 @@ def apply_edits(tree: Tree, text: bytes, edits: list[tuple[int, int, str]], own:
         if start >= end:
             taken.append((byte(start), byte(stop), new.encode()))
             end = max(stop, end)
-    encoded = 0
+    encoded, edited = 0, Text(text)
     for start, stop, new in reversed(taken):
-        tree, text, n = apply_edit(tree, text, start, stop, new, own)
+        tree, n = apply_edit(tree, edited, start, stop, new, own)
         encoded += n
-    return tree, text, len(taken), encoded
+    return tree, edited.whole(), len(taken), encoded
+
+
+def _edits(column: list) -> list[tuple[int, int, str]]:
+    return [(e["start"], e["stop"], e["text"]) for e in column or [] if e is not None and e["start"] is not None and e["stop"] is not None]
 
 
 def with_trees(docs: DataFrame, text: str = "text", ranks: str | None = None) -> DataFrame:
@@ -199,8 +236,7 @@ def with_edits(trees: DataFrame, edits: str = "edits", text: str = "text", ranks
         for part in chunks(batches, column="_text"):
             rows = []
             for raw, sizes, tokens, todo in zip(*(part.column(c).to_pylist() for c in ("_text", "leaf_bytes", "leaf_tokens", "_edits")), strict=True):
-                own_edits = [(e["start"], e["stop"], e["text"]) for e in todo or [] if e is not None and e["start"] is not None and e["stop"] is not None]
-                tree, new, n, encoded = apply_edits(Tree(sizes, tokens), raw, own_edits, own)
+                tree, new, n, encoded = apply_edits(Tree(sizes, tokens), raw, _edits(todo), own)
                 rows.append((new, n, tree.tokens, tree.bytes, encoded, *tree.arrays()))
             kinds = (pa.binary(), *[pa.int64()] * 4, kind, kind)
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -209,12 +245,35 @@ def with_edits(trees: DataFrame, edits: str = "edits", text: str = "text", ranks
 
     fields = "".join(f"`{c}` {trees.schema[c].dataType.simpleString()}, " for c in keep)
     rows = trees.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", "leaf_bytes", "leaf_tokens", utf8(text).alias("_text"),
-                        F.col(edits).cast("array<struct<start:int,stop:int,text:string>>").alias("_edits"))
+                        F.col(edits).cast(EDITS).alias("_edits"))
     out = rows.mapInArrow(work, f"{fields}n_tokens long, _new binary, n_edits long, n_tokens_edited long, n_bytes_edited long, "
                                 "n_bytes_encoded long, leaf_bytes array<int>, leaf_tokens array<int>")
     return out.withColumn(text, F.col("_new").cast("string")).drop("_new")
 
 
+def edited_counts(docs: DataFrame, edits: str = "edits", key: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
+    """``key, n_tokens, n_edits, n_tokens_edited, n_bytes_edited, n_bytes_encoded``: ``with_trees`` and
+    ``with_edits`` in one pass where neither trees nor edited texts are kept."""
+    path = ranks or default_ranks()
+
+    def work(batches):
+        import pyarrow as pa
+
+        own = coder(path)
+        for part in chunks(batches):
+            texts, rows = [x or b"" for x in part.column("text").to_pylist()], []
+            for raw, leaves, todo in zip(texts, leaves_together(texts, own), part.column("edits").to_pylist(), strict=True):
+                tree = Tree(*leaves)
+                before = tree.tokens
+                tree, _, n, encoded = apply_edits(tree, raw, _edits(todo), own)
+                rows.append((before, n, tree.tokens, tree.bytes, encoded))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["key", *RESULTS[:5]])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), utf8(text).alias("text"), F.col(edits).cast(EDITS).alias("edits"))
+    return rows.mapInArrow(work, f"key {kind}, " + ", ".join(f"{c} long" for c in RESULTS[:5])).withColumnRenamed("key", key)
+
+
 #: What the query masks: mail addresses, and runs of 12 or more digits and letters a to f.
 PRIVATE = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|[0-9a-f]{12,}"
 
