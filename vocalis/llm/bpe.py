@@ -33,6 +33,8 @@ CACHE = 150_000
 SHORT_BLOCK, LONG_BLOCK = 16, 64
 #: Pre-tokens up to so many bytes are remembered; so many are merged side by side.
 KEPT_BYTES, TOGETHER = 64, 1 << 13
+#: Bytes of text in a slice whose ids and offsets are kept together.
+ROWS_BYTES = 1 << 19
 #: Tokens decoded at once.
 DECODED = 1 << 16
 
@@ -458,7 +460,7 @@ def with_tokens(docs: DataFrame, ranks: str | None = None, text: str = "text") -
         import pyarrow as pa
 
         own = coder(path)
-        for part in chunks(batches, column="_text"):
+        for part in chunks(batches, ROWS_BYTES, "_text"):
             ids = own.encode_together([x or b"" for x in part.column("_text").to_pylist()])
             columns = [part.column(i) for i in range(len(keep))]
             columns += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
