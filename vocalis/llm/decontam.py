@@ -146,11 +146,15 @@ def passages(item: np.ndarray, numbers: np.ndarray, hits: list[tuple[int, int, i
     if size < SEED_WORDS:
         return [(MATCH * size, p, p + size) for a, b, _, _ in hits for p in range(a, b + 1) if (numbers[p : p + size] == item).all()]
     out, least, todo = [], needed(size), stretches(hits, size, len(numbers))
+    own, often = np.unique(item[item >= 0], return_counts=True)
+    if MATCH * len(item[item >= 0]) < least:
+        return []
     while todo:
         lo, hi = todo.pop()
         part = numbers[lo:hi]
-        if MATCH * min(int(np.isin(part, item).sum()), size) < least:
-            continue  # an upper bound of the score
+        there = np.bincount(part, minlength=own[-1] + 1)[own]
+        if MATCH * int(np.minimum(there, often).sum()) < least:
+            continue  # every word matches once at most: an upper bound of the score
         score, start, stop = align(item, part)
         if score >= least:
             out.append((score, lo + start, lo + stop))
