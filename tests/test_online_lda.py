@@ -82,3 +82,22 @@ def test_comparison(texts):
     assert [(r["k"], r["passes"]) for r in table] == [(2, 1), (2, 3), (3, 1), (3, 3)] and all(r["perplexity"] > 1 for r in table)
     empty = lda.prepare(texts.where(F.col("id") < 0), "id")
     assert empty.words == [] and lda.fit_online(empty, k=2, passes=1).weights.shape == (2, 0)
+
+
+def test_mixtures_side_by_side(monkeypatch):
+    """Each document's mixture is the one it has alone, and the logarithms of many are one call."""
+    rng = np.random.default_rng(5)
+    weights = rng.gamma(1.0, 1.0, (4, 30))
+    means = np.exp(lda.expected_logs(weights))
+    sizes = [0, 1, 30, *rng.integers(0, 30, 600).tolist()]
+    ids = [rng.choice(30, n, replace=False).tolist() for n in sizes]
+    counts = [rng.integers(1, 50, n).astype(float).tolist() for n in sizes]
+    calls, real = [], lda.expected_logs
+    monkeypatch.setattr(lda, "expected_logs", lambda p: calls.append(1) or real(p))
+    found = list(lda.each_mixture(ids, counts, means, 0.25))
+    assert len(calls) <= -(-len(ids) // lda.DOCS_AT_ONCE) * (lda.ROUNDS + 1)
+    assert len(found) == len(ids)
+    for i, c, (own_ids, own_counts, gamma, share, norm) in zip(ids, counts, found, strict=True):
+        alone, gives = lda.mixture(np.array(i, np.int64), np.array(c, float), means, 0.25)
+        assert own_ids.tolist() == i and gamma == pytest.approx(alone, rel=1e-12)
+        assert np.outer(share, own_counts / norm) * means[:, own_ids] == pytest.approx(gives, rel=1e-9)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +24,8 @@ from vocalis.operators.terms import doc_frequency, filter_extremes, n_rows
 from vocalis.session import new_shared_path
 
 BATCH_DOCS, MOST_BATCHES = 2_000, 16
+#: Documents whose mixtures are found side by side.
+DOCS_AT_ONCE = 256
 DECAY, OFFSET, ROUNDS, CLOSE, SEED = 0.5, 1.0, 50, 1e-3, 1234
 
 
@@ -88,6 +90,31 @@ def mixture(ids: np.ndarray, counts: np.ndarray, topics: np.ndarray, alpha: floa
     return gamma, np.outer(share, counts / (share @ own + 1e-100)) * own
 
 
+def each_mixture(ids: Sequence, counts: Sequence, topics: np.ndarray, alpha: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`mixture` of many documents: ``ids, counts, parameters, share, norm`` of each, in their
+    order; ``norm`` is what the shares make of its terms.
+
+    DOCS_AT_ONCE documents go through the rounds side by side, so the logarithms are worked out for
+    all of them at once; a document leaves when its own parameters stand still."""
+    for start in range(0, len(ids), DOCS_AT_ONCE):
+        i = [np.asarray(x, np.int64) for x in ids[start : start + DOCS_AT_ONCE]]
+        c = [np.asarray(x, float) for x in counts[start : start + DOCS_AT_ONCE]]
+        own = [topics[:, x] for x in i]
+        gamma = np.stack([np.full(len(topics), alpha + x.sum() / len(topics)) for x in c])
+        live = np.arange(len(i))
+        for _ in range(ROUNDS):
+            shares = np.exp(expected_logs(gamma[live]))
+            new = np.stack([alpha + s * (own[d] @ (c[d] / (s @ own[d] + 1e-100))) for d, s in zip(live.tolist(), shares, strict=True)])
+            far = np.abs(new - gamma[live]).mean(axis=1) >= CLOSE
+            gamma[live] = new
+            live = live[far]
+            if not len(live):
+                break
+        shares = np.exp(expected_logs(gamma))
+        for d, s in enumerate(shares):
+            yield i[d], c[d], gamma[d], s, s @ own[d] + 1e-100
+
+
 def document_bound(ids: np.ndarray, counts: np.ndarray, gamma: np.ndarray, logs: np.ndarray, alpha: float) -> float:
     """Lower bound of the log-likelihood of a document's terms; ``logs`` is E[log P(term | topic)]."""
     own = expected_logs(gamma)
@@ -146,11 +173,10 @@ def _statistics(rows: DataFrame, topics: Topics) -> tuple[np.ndarray, int]:
     def work(frames):
         total, seen, docs = np.zeros((k, n)), np.zeros(n, bool), 0
         for frame in frames:
-            for ids, counts in zip(frame["_ids"], frame["_counts"], strict=True):
+            for i, c, _, share, norm in each_mixture(frame["_ids"], frame["_counts"], means, alpha):
                 docs += 1
-                if len(ids):
-                    i = np.asarray(ids, np.int64)
-                    total[:, i] += mixture(i, np.asarray(counts, float), means, alpha)[1]
+                if len(i):
+                    total[:, i] += np.outer(share, c / norm) * means[:, i]
                     seen[i] = True
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"term": [-1], "docs": [docs], "parts": [[0.0] * k]})
@@ -172,10 +198,9 @@ def perplexity(rows: DataFrame, topics: Topics) -> float:
     def work(frames):
         bound, size = 0.0, 0.0
         for frame in frames:
-            for ids, counts in zip(frame["_ids"], frame["_counts"], strict=True):
-                i, c = np.asarray(ids, np.int64), np.asarray(counts, float)
+            for i, c, gamma, _, _ in each_mixture(frame["_ids"], frame["_counts"], means, alpha):
                 if len(i):
-                    bound += document_bound(i, c, mixture(i, c, means, alpha)[0], logs, alpha)
+                    bound += document_bound(i, c, gamma, logs, alpha)
                     size += float(c.sum())
         yield pd.DataFrame({"bound": [bound], "size": [size]})
 
@@ -211,10 +236,8 @@ def mixtures(docs: Documents, topics: Topics) -> DataFrame:
 
     def work(frames):
         for frame in frames:
-            mixes = []
-            for ids, counts in zip(frame["_ids"], frame["_counts"], strict=True):
-                gamma = mixture(np.asarray(ids, np.int64), np.asarray(counts, float), means, alpha)[0]
-                mixes.append((gamma / gamma.sum()).tolist())
+            found = each_mixture(frame["_ids"], frame["_counts"], means, alpha)
+            mixes = [(gamma / gamma.sum()).tolist() for _, _, gamma, _, _ in found]
             yield frame.drop(columns=["_ids", "_counts"]).assign(mix=mixes)
 
     kind = docs.rows.schema[docs.id_col].dataType.simpleString()
