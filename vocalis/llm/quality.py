@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vocalis.llm.common import SPACE, let
+from vocalis.session import broadcast_if_small
 
 WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 #: The method judges documents of at least so many words: shorter histograms are too rough.
 GUARD_WORDS = 50
-#: Bounds of the labelled sample: documents, commonest words of a language, least documents of
-#: a language, languages.
-SAMPLE_DOCUMENTS, COMMON_WORDS, LEAST_DOCUMENTS, LANGUAGES = 4_000, 40, 20, 32
-#: A limit is the largest distance of a good sample document times this.
+#: Commonest words of a language, and the documents labelled good that make one.
+COMMON_WORDS, LEAST_DOCUMENTS = 40, 20
+#: A limit is the largest distance of a document labelled good times this.
 MARGIN = 1.1
 #: Classes counted by what their removal takes away; the last class is the rest of the words.
 CLASSES = {"upper": r"[A-Z]+", "digit": r"[0-9]+", "wide": r"[^\x00-\x7F]+", "point": r"[.,;:'\"()?-]+", "bang": r"!+", "symbol": r"[#*$%&|<>]+"}
@@ -168,21 +168,19 @@ def with_distances(measured: DataFrame, refs: References, lang: str = "lang") ->
 
 
 def fit_references(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-                   documents: int = SAMPLE_DOCUMENTS, common: int = COMMON_WORDS) -> References:
-    """References and limits from at most ``documents`` documents labelled good (``quality`` 1,
-    ``toxic`` not 1), those of the smallest hash.
+                   common: int = COMMON_WORDS) -> References:
+    """References and limits from all documents labelled good (``quality`` 1, ``toxic`` not 1).
 
-    At most LANGUAGES languages of LEAST_DOCUMENTS sample documents or more have a reference;
-    what reaches the driver is bounded by languages x words."""
+    Every language of LEAST_DOCUMENTS such documents or more has a reference; what reaches the
+    driver is bounded by languages x words."""
     good = labels.where((F.col("quality") == 1) & F.coalesce(F.col("toxic") != 1, F.lit(True))).select(key).distinct()
-    ids = good.orderBy(F.xxhash64(key), key).limit(documents)
-    sample = docs.select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(F.broadcast(ids), key, "left_semi")
+    sample = docs.select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(broadcast_if_small(good), key, "left_semi")
     rows = measure(sample, "_text").where((F.col("n_words") >= GUARD_WORDS) & F.col("_lang").isNotNull())
     n = len(CLASSES) + 1
     found = (
         rows.withColumn("_s", _shares()).groupBy("_lang")
         .agg(F.count(F.lit(1)).alias("docs"), F.sum("n_words").alias("words"), *[F.avg(F.get("_s", F.lit(i))).alias(f"c{i}") for i in range(n)])
-        .where(F.col("docs") >= LEAST_DOCUMENTS).orderBy(F.desc("docs"), "_lang").limit(LANGUAGES).collect()
+        .where(F.col("docs") >= LEAST_DOCUMENTS).orderBy(F.desc("docs"), "_lang").collect()
     )
     if not found:
         return References({}, {})
