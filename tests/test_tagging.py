@@ -70,3 +70,21 @@ def test_one_result_at_every_size(spark, monkeypatch, order):
     assert got[0] == got[1]
     assert got[0][0] == [("a", [first]), ("a", [first]), ("b", ["guns"]), ("c", sorted(["guns", first])), ("d", []), ("e", []), ("f", [])]
     assert [h for _, h in got[0][1]] == [True, True, True, True, False, False, False]
+
+
+def test_ranks_by_buckets(spark, monkeypatch):
+    """The ranks are those of a full count, and bigrams of buckets too small for a rank are not counted."""
+    rows = [(["the_cat", "the_cat", *[f"w{i}_{j}" for j in range(i % 7)], f"rare_{i}"],) for i in range(600)] + [(None,), ([],), ([None, "the_cat"],)]
+    df = spark.createDataFrame(rows, "g array<string>").repartition(3)
+    want = {}
+    for (g,) in rows:
+        for b in {x for x in g or () if x is not None}:
+            want[b] = want.get(b, 0) + 1
+    ranked = sorted(want.items(), key=lambda x: (-x[1], x[0]))
+    for buckets, upto in ((1 << 20, 1), (1 << 20, 40), (7, 5), (1 << 20, 5_000)):
+        monkeypatch.setattr(tagging, "GRAM_BUCKETS", buckets)
+        got = [(r["bigram"], r["df"]) for r in tagging.bigram_ranks(df, "g", upto).orderBy("rank").collect()]
+        assert got == ranked[:upto]
+    monkeypatch.setattr(tagging, "GRAM_BUCKETS", 1 << 20)
+    plan = tagging.bigram_ranks(df, "g", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "_bucket" in plan

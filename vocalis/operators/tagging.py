@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalis.functions.text import explode_each, with_once
-from vocalis.session import LITERAL_ROWS, broadcast_if_small, with_row_id
+from vocalis.session import LITERAL_ROWS, broadcast_if_small, materialize, with_row_id
 
 IGNORED = "x"
 
@@ -102,9 +102,26 @@ def distinct_topics(df: DataFrame, topics: str = "topics") -> DataFrame:
     return explode_each(df, topics, "topic").distinct().orderBy("topic")
 
 
+#: Buckets that bound the frequency of the bigrams in them, and those looked into for a rank.
+GRAM_BUCKETS, FULLEST_BUCKETS = 1 << 20, 4
+
+
 def bigram_ranks(df: DataFrame, grams: str, upto: int) -> DataFrame:
-    """The ``upto`` bigrams of highest document frequency with their rank from 0."""
+    """The ``upto`` bigrams of highest document frequency with their rank from 0.
+
+    Most bigrams are rare, and a count of each would be as large as the corpus.  So the rows of
+    hash buckets are counted first: no bigram has more than its bucket.  The bigrams of the fullest
+    buckets give a frequency that ``upto`` of them reach, and only buckets of as many rows, ties
+    too, can hold one of the answer; their bigrams are counted each."""
     each = explode_each(df.select(F.array_distinct(grams).alias("_g")), "_g", "bigram")
-    top = each.groupBy("bigram").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "bigram").limit(upto)
+    keyed = each.withColumn("_bucket", F.pmod(F.xxhash64("bigram"), F.lit(GRAM_BUCKETS)).cast("int"))
+    counts = lambda rows: rows.groupBy("bigram").agg(F.count(F.lit(1)).alias("df"))
+    buckets = materialize(keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")))
+    fullest = buckets.orderBy(F.desc("_rows"), "_bucket").limit(FULLEST_BUCKETS * upto).select("_bucket")
+    some = counts(keyed.join(F.broadcast(fullest), "_bucket", "left_semi")).orderBy(F.desc("df")).limit(upto)
+    found = some.agg(F.count(F.lit(1)).alias("n"), F.min("df").alias("least")).first()
+    least = found["least"] if found["n"] == upto else 0
+    able = buckets.where(F.col("_rows") >= F.lit(least or 0)).select("_bucket")
+    top = counts(keyed.join(F.broadcast(able), "_bucket", "left_semi")).orderBy(F.desc("df"), "bigram").limit(upto)
     # Only ``upto`` rows reach this window.
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "bigram")) - 1)
