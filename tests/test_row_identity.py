@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vocalis.operators import clean, lexicon_sentiment, tagging
+from vocalis.operators import assemble, clean, lexicon_sentiment, tagging
 from vocalis.session import with_row_id
 
 
@@ -69,3 +69,14 @@ def test_sentiment_in_any_order(spark, made):
     for size in (10, 0):
         found = [outcome(lexicon_sentiment.lexicon_sentiment(d, lexicon, ["id"], literal_rows=size)) for d in (texts, texts.repartition(7), texts.orderBy(F.rand(5)))]
         assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+
+
+def test_union_moves_repeated_rows_only(spark):
+    """Rows that come once are not shuffled whole; of the others one is left."""
+    kinds = "id long, text string, value double, tokens array<string>"
+    a = spark.createDataFrame([(i, f"text {i}", None, [str(i), None]) for i in range(50)], kinds)
+    b = spark.createDataFrame([(7, "text 7", None, ["7", None]), (None, None, 0.0, None), (None, None, -0.0, None), (51, "", 1.0, [])] + [(60, "hot", 2.0, ["x"])] * 40, kinds)
+    both = assemble.union_distinct([a, b.select("tokens", "value", "id", "text"), b])
+    assert sorted(map(str, both.collect())) == sorted(map(str, a.unionByName(b).distinct().collect())) and both.count() == 53
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan

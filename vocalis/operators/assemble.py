@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.functions.rows import party_flag
-from vocalis.session import broadcast_if_small
+from vocalis.session import broadcast_if_small, materialize
 
 
 def hydrate_ids(archive: DataFrame, ids: DataFrame, key: str, columns: Sequence[str], reshare: str | None = None) -> DataFrame:
@@ -39,9 +39,18 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def union_distinct(parts: Sequence[DataFrame]) -> DataFrame:
-    """Concatenation by column name without repeated rows.  Copies are merged within each
-    task before the shuffle, so a hot group of copies stays small."""
-    return union_all(parts).distinct()
+    """Concatenation by column name without repeated rows.
+
+    Only hashes of whole rows are shuffled to find those that come more than once; rows of such a
+    hash, whether alike or not, are told apart by all columns.  Copies are merged within each task
+    before the shuffle, so a hot group of copies stays small."""
+    rows = union_all(parts)
+    keyed = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    counts = keyed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = broadcast_if_small(materialize(counts.where(F.col("_n") > 1).select("_hash")))
+    once = keyed.join(repeated, "_hash", "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
+    again = keyed.join(repeated, "_hash", "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns])
+    return once.unionByName(again.distinct())
 
 
 def make_master(
