@@ -80,3 +80,16 @@ def test_union_moves_repeated_rows_only(spark):
     assert sorted(map(str, both.collect())) == sorted(map(str, a.unionByName(b).distinct().collect())) and both.count() == 53
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_lemmas_of_a_larger_dictionary_need_no_shuffle(spark, made, monkeypatch):
+    """One beyond a literal is looked up row by row; one beyond a broadcast joins, with the same rows."""
+    rows, df = made
+    lemmas = spark.createDataFrame([("cats", "n", "cat"), ("dogs", "n", "dog")], "token string, pos string, lemma string")
+    monkeypatch.setattr(clean, "LITERAL_ROWS", 0)
+    found = clean.lemmatize(df, "tokens", lemmas)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    wanted = sorted(str((i, [{"cats": "cat", "dogs": "dog"}.get(t, t) for t in x or [] if t is not None])) for i, x in rows)
+    assert sorted(str(tuple(r)) for r in found.collect()) == wanted
+    monkeypatch.setattr(clean, "BROADCAST_ROWS", 0)
+    assert sorted(str(tuple(r)) for r in clean.lemmatize(df, "tokens", lemmas).collect()) == wanted

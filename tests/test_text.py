@@ -115,3 +115,26 @@ def test_lemmas_row_by_row(spark, monkeypatch, rows):
     assert got.columns == docs.columns
     assert sorted((r["other"], r["tokens"]) for r in got.collect()) == [
         ("e", []), ("m", []), ("n", ["cat"]), ("x", ["cat", "a"]), ("x", ["cat", "a"]), ("y", ["chase", "b"])]
+
+
+ODD = ["aa 😀😀😀😀😀 b", "call 1 555 123 4567 or 5551234", "8D d8 xD 8op P8", "##ab #a ##", "@@you @x_1 @", "héé٣٣٣٣ covid19 a1 ab1 abc1", "Ⅷ½½½ _a__ --", "x y z", "ééé!!!!! \t\t\t\t\t\tq", "𝔸𝔹𝔻 𝟘𝟙𝟚", "漢字漢字 １２３ １２３４"]
+
+
+def test_fast_patterns_find_the_same(spark):
+    """Java's own pattern equals the common one, and runs are cut as by the plain class; raw and cleaned
+    tokens come from one pass."""
+    df = spark.createDataFrame([(t,) for t in ODD], "t string")
+    slow, fast = (F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (T.TOKEN, T.JAVA_TOKEN))
+    cut = lambda p: F.regexp_replace("t", p, "$1$1$1")
+    for r in df.select("t", slow.alias("a"), fast.alias("b"), cut(r"([^a-zA-Z0-9])\1{3,}").alias("c"), cut(T.LONG_RUN).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"], r["t"]
+
+
+def test_one_pass_makes_words_and_tokens(spark, small):
+    from vocalis.plans import views as V
+
+    for frame in (V.tags(spark, small), V.lemmas(spark, small), V.words(spark, small)):
+        frame.count()
+    assert {"raw", "tokens"} <= set(V.both_tokens(spark, small).columns) and "raw" not in V.tokens(spark, small).columns
+    raw = {r["post_id"]: r["tokens"] for r in V.raw_tokens(spark, small).collect()}
+    assert all(raw[r["post_id"]] == r["raw"] for r in V.both_tokens(spark, small).collect())
