@@ -115,3 +115,16 @@ def test_terms_against_python(spark):
         for r in f(df, "id").collect():
             norms[r["id"]] = norms.get(r["id"], 0) + r["tfidf"] ** 2
         assert all(n == pytest.approx(1) for n in norms.values())
+
+
+def test_tasks_of_bounded_tokens(spark, monkeypatch):
+    """Counting goes over more partitions as the tokens grow, with the same weights; ids may repeat."""
+    rows = [(i % 40 if i % 7 else None, [f"w{(i * k) % 13}" for k in range(i % 9)] + [None]) for i in range(300)] + [(5, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    result = lambda: sorted(map(str, terms.tfidf_log2(df, "id").withColumn("tfidf", F.round("tfidf", 9)).collect()))
+    plain = result()
+    monkeypatch.setattr(terms, "TASK_TOKENS", 20)
+    assert terms.placed_by(df, "id", "tokens").rdd.getNumPartitions() == -(-sum(len(t or []) for _, t in rows) // 20)
+    assert result() == plain
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", 4)
+    assert result() == plain  # some weights by broadcast, some by a join
