@@ -59,3 +59,8 @@ def test_one_shuffle_for_weights(spark, small):
     text = plan(terms.tfidf_log2(rows, "post_id"))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
     assert F.col is not None
+
+
+def test_labelled_texts_are_cleaned_once(spark, small):
+    assert V.labelled_tokens(spark, small).count()
+    assert (spark.sparkContext.applicationId, small, "labelled_rows") in V._stored

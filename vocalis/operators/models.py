@@ -95,6 +95,9 @@ def grid_search(
     of scores.  ``train`` has ``features``, ``label`` and the id columns."""
     data = materialize(stratified_folds(train, "label", ids, folds, seed).select("features", "label", "fold"))
     rows = data.count()
+    # Every step of a fit sends a gradient as long as the vocabulary from every partition: so many
+    # partitions that the fits running together fill the cluster, whatever the rows.
+    data = data.coalesce(max(1, data.sparkSession.sparkContext.defaultParallelism // parallelism))
     options = settings(grid)
     per_fold = rows * (folds - 1) / folds
     base = estimator(kind, options[0], per_fold)
