@@ -131,3 +131,27 @@ def test_weights_of_topic_vectors(spark):
     model = topicmodel.fit_lda(vectors, k=2, passes=1)
     mixes = model.transform(vectors).select(F.aggregate(vector_to_array("topicDistribution"), F.lit(0.0), lambda a, x: a + x)).collect()
     assert len(mixes) == 4 and all(r[0] == pytest.approx(1) for r in mixes)
+
+
+def test_mean_vectors_of_both_paths(spark, monkeypatch):
+    """Sums row by row equal the join with every token, also of NULLs, repeated ids and rows without tokens."""
+    rows = [(1, ["a", "b", "q"]), (1, ["b"]), (None, ["a", None]), (2, []), (3, None), (4, [None]), (None, ["c"] * 5)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
+    vectors = spark.createDataFrame([("a", [0.1, 2.0]), ("b", [0.7, -1.0]), ("c", [0.3, 0.3]), (None, [9.0, 9.0])], "token string, vector array<float>")
+    result = lambda v: sorted(map(str, models.mean_vectors(df, v, ["id"], "tokens", 2).select("id", F.transform("mean", lambda x: F.round(x, 12))).collect()))
+    fast = result(vectors)
+    assert len(fast) == 2 and "join" not in models.mean_vectors(df, vectors, ["id"], "tokens", 2)._jdf.queryExecution().executedPlan().toString().lower()
+    odd = vectors.unionByName(spark.createDataFrame([("a", [1.0, None]), ("x", [1.0])], "token string, vector array<float>"))
+    twice = result(odd)  # by the join: one row per match, missing numbers left out
+    assert twice != fast and len(twice) == 2
+    monkeypatch.setattr(models, "BROADCAST_ROWS", 0)
+    assert result(vectors) == fast and result(odd) == twice
+
+
+def test_fits_have_as_many_partitions_as_cores(rows, monkeypatch):
+    seen = []
+    fit = models.CrossValidator.fit
+    monkeypatch.setattr(models.CrossValidator, "fit", lambda self, data: (seen.append(data.rdd.getNumPartitions()), fit(self, data))[1])
+    train = models.add_tfidf(models.fit_tfidf(rows, "tokens"), rows, "tokens").repartition(40)
+    models.grid_search(train, "LogisticRegression()", {"C": [1.0]}, ["id"], folds=2)
+    assert 1 <= seen[0] <= rows.sparkSession.sparkContext.defaultParallelism

@@ -6,6 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,7 +24,7 @@ from vocalis.functions.text import explode_each, parse_token_list, vector_words,
 from vocalis.operators.report import binary_metrics
 from vocalis.operators.sampling import sample_n, stratified_folds, stratified_split
 from vocalis.operators.terms import doc_frequency, n_rows
-from vocalis.session import broadcast_if_small, materialize
+from vocalis.session import BROADCAST_ROWS, broadcast_if_small, has_at_most, materialize
 
 # Terms a vocabulary may have: it lies on the driver and in every task.  More are refused.
 MAX_TERMS = 1 << 22
@@ -207,8 +210,52 @@ def join_embeddings(df: DataFrame, vectors: DataFrame, ids: Sequence[str], token
     return joined.select(*ids, "term", F.coalesce("vector", zeros).alias("vector"))
 
 
+def _whole(vectors: DataFrame, size: int) -> bool:
+    """True when every vector has all its numbers and no token comes twice."""
+    full = (F.size("vector") >= size) & ~F.exists(F.slice("vector", 1, size), lambda x: x.isNull())
+    lacking = vectors.where(~F.coalesce(full, F.lit(False)))
+    return lacking.isEmpty() and vectors.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _summed(vectors: DataFrame, size: int):
+    """The sum of the vectors of a list of tokens, in their order, zeros for unknown ones, and behind
+    it the number of tokens; NULL tokens do not count."""
+    table = vectors.select("token", F.transform(F.slice("vector", 1, size), lambda x: x.cast("double")).alias("vector")).toArrow()
+    numbers = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    shared = vectors.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), np.vstack([numbers, np.zeros((1, size))])))
+
+    @F.arrow_udf("array<double>")
+    def sums(lists: pa.Array) -> pa.Array:
+        tokens, numbers = shared.value
+        flat = lists.flatten()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        kept = np.concatenate([[0], np.cumsum(flat.is_valid().to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])]
+        at = pc.fill_null(pc.index_in(flat.drop_null(), value_set=tokens.cast(flat.type)), len(numbers) - 1).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(lists), size + 1))
+        out[:, size] = np.diff(kept)
+        # Longest first: those that still have a token at a place stand in front.
+        order = np.argsort(-out[:, size], kind="stable")
+        starts, lengths = kept[:-1][order], np.diff(kept)[order]
+        total, left = np.zeros((len(lists), size)), len(lists)
+        for place in range(int(lengths[0]) if len(lists) else 0):
+            left = int(np.searchsorted(-lengths[:left], -place, side="left"))
+            total[:left] += numbers[at[starts[:left] + place]]
+        out[order, :size] = total
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * (size + 1), pa.int32()), pa.array(out.ravel()))
+
+    return sums
+
+
 def mean_vectors(df: DataFrame, vectors: DataFrame, ids: Sequence[str], tokens: str, size: int) -> DataFrame:
-    """``ids, mean``: mean vector of the tokens.  Sums collapse before the shuffle."""
+    """``ids, mean``: mean vector of the tokens.  Sums collapse before the shuffle.
+
+    Vectors that may be broadcast, each whole and of one token, are looked up and summed row by row in
+    Python workers; others are joined to every token."""
+    known = materialize(vectors.where(F.col("token").isNotNull()).select("token", "vector"))
+    if has_at_most(known, BROADCAST_ROWS) and _whole(known, size):
+        sums = with_once(df.select(*ids, tokens), _sums=_summed(known, size)(F.col(tokens))).drop(tokens)
+        sums = sums.where(F.get("_sums", F.lit(size)) > 0).groupBy(*ids).agg(*[F.sum(F.get("_sums", F.lit(i))).alias(f"_{i}") for i in range(size + 1)])
+        return sums.select(*ids, F.array(*[F.col(f"_{i}") / F.col(f"_{size}") for i in range(size)]).alias("mean"))
     rows = join_embeddings(df, vectors, ids, tokens, size)
     sums = rows.groupBy(*ids).agg(*[F.avg(F.get("vector", F.lit(i))).alias(f"_{i}") for i in range(size)])
     return sums.select(*ids, F.array(*[F.col(f"_{i}") for i in range(size)]).alias("mean"))
