@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from conftest import SMALL
 from helpers import KINDS, classes, encoding, fingerprint, measures, sha, spans
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +85,21 @@ def test_one_row_of_a_group(spark, monkeypatch, rows_in_a_broadcast):
         found.setdefault(root[fingerprint(r.text)], []).append((r.doc_id is None, r.doc_id or 0))
     assert found == {k: [v] for k, v in least.items()}
     assert simhash.one_of_each_group(extra.limit(0)).count() == 0
+
+
+def test_many_groups_move_few_rows(spark, monkeypatch):
+    """With more groups than a broadcast holds, rows that surely stay are told by a map of bits."""
+    from vocalis.llm import simhash
+
+    texts = [f"w{i} x{i * 7} y{i * 13} z{i % 5} v{i * 31}" for i in range(300)] + [f"w{i} x{i * 7} y{i * 13} z{i % 5} v{i * 31}" for i in range(40)] + [None, "", None]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)] + [(7, texts[7])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    near = sorted(map(str, simhash.one_of_each_group(df).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, simhash.one_of_each_group(df).collect())) == near
+    keys = df.select(F.xxhash64("doc_id", "text").alias("_k"), "doc_id")
+    special = keys.where("doc_id % 9 = 0").select("_k")
+    clear, rest = simhash._split_off(keys, special)
+    known = {r["_k"] for r in special.collect()}
+    assert clear.count() > 200 and clear.count() + rest.count() == df.count()
+    assert not known & {r["_k"] for r in clear.collect()} and known <= {r["_k"] for r in rest.collect()}

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from vocalis.llm.common import chunks, stored, utf8
 from vocalis.llm.components import components
-from vocalis.session import broadcast_if_small
+from vocalis.session import BROADCAST_ROWS, broadcast_if_small, has_at_most
 
 BITS, WORDS, LIMIT, SEED = 64, 4, 4, 42
 #: Seeds of word fingerprints: texts that one pulls apart, another may hold together.
@@ -503,13 +503,38 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", limit:
     return keyed.join(chosen, ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"]).select("_doc.*")
 
 
+#: Bits a hash has in a map, and the greatest map that is broadcast.
+MAP_BITS, MAP_MOST, BUCKET_BITS = 16, 1 << 28, 1 << 15
+
+
+def _split_off(keyed: DataFrame, special: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """``keyed`` in two: rows whose hash ``_k`` is surely none of ``special``, and all others, among
+    them one in MAP_BITS by chance.  Either is None when it must be empty or is not told apart."""
+    special = stored(special, "special")
+    n = special.count()
+    if not n:
+        return keyed, None
+    width = max(BUCKET_BITS, 1 << (MAP_BITS * n - 1).bit_length())
+    if width > MAP_MOST:
+        return None, keyed
+    slot = F.pmod(F.col("_k"), F.lit(width))
+    of = lambda c: F.floor(c / BUCKET_BITS).cast("int")
+    bits = special.select(of(slot).alias("_bucket"), F.pmod(slot, F.lit(BUCKET_BITS)).alias("_at"))
+    maps = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    placed = keyed.withColumns({"_bucket": of(slot), "_at": F.pmod(slot, F.lit(BUCKET_BITS)).cast("int")}).join(F.broadcast(maps), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(F.coalesce(byte, F.lit(0)), F.pmod("_at", F.lit(8)))
+    return tuple(placed.where(bit == found).select(*keyed.columns) for found in (0, 1))
+
+
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """``docs`` with one row of every component of ``near_duplicates``: that of the smallest id,
     NULL ids last, of rows with that id the least by a hash of their text; one of rows equal in
     both.  Texts without words are one group.  All columns are kept.
 
-    Only fingerprints and hashes of the rows are grouped; the rows themselves are moved at most
-    once, and not at all while the hashes of those that stay are few (counted)."""
+    Only fingerprints and hashes of the rows are grouped.  No row is moved while the hashes of those
+    that stay are few (counted); of more, a map of bits tells most rows that stay, and only the others
+    are moved, once."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_id"), F.col(text).alias("_text"),
@@ -520,8 +545,15 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = groups(prints, limit).join(first, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least._k", "least._l")
     same = prints.groupBy("_k", "_l").agg(F.count(F.lit(1)).alias("_same"))
     chosen = stored(least.join(same, ["_k", "_l"]), "chosen")
+    clear = None
+    if not has_at_most(chosen, BROADCAST_ROWS):
+        clear, keyed = _split_off(keyed, same.join(chosen.where("_same = 1").select("_k", "_l"), ["_k", "_l"], "left_anti").select("_k"))
+    if keyed is None:
+        return clear.select("_doc.*")
     kept = keyed.join(broadcast_if_small(chosen.select("_k", "_l", "_same")), ["_k", "_l"])
     alone = kept.where("_same = 1").select("_doc.*")
+    if clear is not None:
+        alone = clear.select("_doc.*").unionByName(alone)
     if chosen.where("_same > 1").isEmpty():
         return alone
     return alone.unionByName(kept.where("_same > 1").dropDuplicates(["_k", "_l"]).select("_doc.*"))
