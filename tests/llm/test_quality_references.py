@@ -21,3 +21,14 @@ def test_every_language_has_a_reference(spark):
     names = [f"l{i:02d}" for i in range(40)]
     docs = spark.createDataFrame([(20 * i + j, " ".join([f"w{i}"] * 50), n) for i, n in enumerate(names) for j in range(20)], "doc_id long, text string, lang string")
     assert sorted(quality.fit_references(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic")).words) == names
+
+
+def test_words_are_split_once(spark):
+    """A filter on the number of words does not split the text again; words end at six characters only."""
+    from vocalis.llm import quality
+
+    df = spark.createDataFrame([("a b\x0bc\x0cd\te\nf\rg\x1ch\x85i j k",), ("",), (None,)], "text string")
+    rows = quality.measure(df, once=True)
+    assert rows.where("n_words >= 1")._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert rows.first()["_words"] == ["a", "b", "c", "d", "e", "f", "g\x1ch\x85i j k"]
+    assert quality.measure(df).drop("_classes").collect() == rows.select(quality.measure(df).drop("_classes").columns).collect()
