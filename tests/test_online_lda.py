@@ -101,3 +101,28 @@ def test_mixtures_side_by_side(monkeypatch):
         alone, gives = lda.mixture(np.array(i, np.int64), np.array(c, float), means, 0.25)
         assert own_ids.tolist() == i and gamma == pytest.approx(alone, rel=1e-12)
         assert np.outer(share, own_counts / norm) * means[:, own_ids] == pytest.approx(gives, rel=1e-9)
+
+
+def test_fits_share_a_reading(texts, monkeypatch):
+    """Several numbers of topics are fitted in one reading of a batch, each as it would be alone."""
+    docs, ks = lda.prepare(texts, "id", no_below=2, held_out=0.25, batches=2), [2, 3]
+    alone = [lda.fit_online(docs, k, passes=2, measure=True) for k in ks]
+    jobs, real = [], lda._statistics
+    monkeypatch.setattr(lda, "_statistics", lambda rows, models: jobs.append(len(models)) or real(rows, models))
+    table = {(r["k"], r["passes"]): r["perplexity"] for r in lda.compare(docs, ks, [1, 2]).collect()}
+    assert jobs == [2] * (2 * docs.batches)
+    assert table == {(k, p): pytest.approx(t.perplexity[p - 1], rel=1e-9) for k, t in zip(ks, alone, strict=True) for p in (1, 2)}
+
+
+def test_blocks_of_equal_width(monkeypatch):
+    """Documents are filled up within blocks of bounded size; a long one lies alone."""
+    monkeypatch.setattr(lda, "CELLS", 200)
+    rng = np.random.default_rng(6)
+    means = np.exp(lda.expected_logs(rng.gamma(1.0, 1.0, (4, 90))))
+    sizes = [3, 0, 90, 10, 11, 4, 0, 25]
+    cut = list(lda._by_cells(np.sort(sizes), 4))
+    assert np.concatenate(cut).tolist() == list(range(len(sizes))) and [len(x) for x in cut] == [5, 2, 1]
+    ids = [rng.choice(90, n, replace=False) for n in sizes]
+    counts = [rng.integers(1, 9, n).astype(float) for n in sizes]
+    for i, c, (_, _, gamma, _, _) in zip(ids, counts, lda.each_mixture(ids, counts, means, 0.25), strict=True):
+        assert gamma == pytest.approx(lda.mixture(i, c, means, 0.25)[0], rel=1e-12)

@@ -26,6 +26,8 @@ from vocalis.session import new_shared_path
 BATCH_DOCS, MOST_BATCHES = 2_000, 16
 #: Documents whose mixtures are found side by side.
 DOCS_AT_ONCE = 256
+#: Cells of a block of documents, terms and topics.
+CELLS = 1 << 18
 DECAY, OFFSET, ROUNDS, CLOSE, SEED = 0.5, 1.0, 50, 1e-3, 1234
 
 
@@ -94,25 +96,59 @@ def each_mixture(ids: Sequence, counts: Sequence, topics: np.ndarray, alpha: flo
     """:func:`mixture` of many documents: ``ids, counts, parameters, share, norm`` of each, in their
     order; ``norm`` is what the shares make of its terms.
 
-    DOCS_AT_ONCE documents go through the rounds side by side, so the logarithms are worked out for
-    all of them at once; a document leaves when its own parameters stand still."""
+    DOCS_AT_ONCE documents of similar length go through the rounds side by side, so the logarithms are
+    worked out for all of them at once, and their products by blocks of equal width; a document leaves
+    when its own parameters stand still."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    order, found = np.argsort(sizes, kind="stable"), [None] * len(ids)
     for start in range(0, len(ids), DOCS_AT_ONCE):
-        i = [np.asarray(x, np.int64) for x in ids[start : start + DOCS_AT_ONCE]]
-        c = [np.asarray(x, float) for x in counts[start : start + DOCS_AT_ONCE]]
-        own = [topics[:, x] for x in i]
+        at = order[start : start + DOCS_AT_ONCE]
+        i = [np.asarray(ids[d], np.int64) for d in at.tolist()]
+        c = [np.asarray(counts[d], float) for d in at.tolist()]
         gamma = np.stack([np.full(len(topics), alpha + x.sum() / len(topics)) for x in c])
-        live = np.arange(len(i))
+        live, blocks = np.ones(len(i), bool), [_block(b, i, c, topics) for b in _by_cells(sizes[at], len(topics))]
         for _ in range(ROUNDS):
-            shares = np.exp(expected_logs(gamma[live]))
-            new = np.stack([alpha + s * (own[d] @ (c[d] / (s @ own[d] + 1e-100))) for d, s in zip(live.tolist(), shares, strict=True)])
-            far = np.abs(new - gamma[live]).mean(axis=1) >= CLOSE
-            gamma[live] = new
-            live = live[far]
-            if not len(live):
+            shares = np.empty_like(gamma)
+            shares[live] = np.exp(expected_logs(gamma[live]))
+            for n, (docs, own, count) in enumerate(blocks):
+                on = live[docs]
+                if 2 * on.sum() <= len(docs):  # those that left are carried along until they are half
+                    docs, own, count = blocks[n] = docs[on], own[on], count[on]
+                    on = live[docs]
+                if not len(docs):
+                    continue
+                s = np.where(on[:, None], shares[docs], 1.0)
+                norm = np.matmul(s[:, None, :], own)[:, 0] + 1e-100
+                new = alpha + s * np.matmul(own, (count / norm)[:, :, None])[:, :, 0]
+                far = np.abs(new - gamma[docs]).mean(axis=1) >= CLOSE
+                gamma[docs[on]] = new[on]
+                live[docs[on & ~far]] = False
+            if not live.any():
                 break
-        shares = np.exp(expected_logs(gamma))
-        for d, s in enumerate(shares):
-            yield i[d], c[d], gamma[d], s, s @ own[d] + 1e-100
+        for d, x, n, g, s in zip(at.tolist(), i, c, gamma, np.exp(expected_logs(gamma)), strict=True):
+            found[d] = x, n, g, s, s @ topics[:, x] + 1e-100
+    yield from found
+
+
+def _by_cells(sizes: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Neighbouring documents whose terms together fill at most CELLS cells when made as long as the
+    longest; ``sizes`` ascend."""
+    start = 0
+    while start < len(sizes):
+        to = start + 1
+        while to < len(sizes) and (to + 1 - start) * sizes[to] * k <= CELLS:
+            to += 1
+        yield np.arange(start, to)
+        start = to
+
+
+def _block(docs: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], topics: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their terms' chances (documents, topics, width) and counts, filled up with zeros."""
+    width = max(len(ids[d]) for d in docs.tolist())
+    own, count = np.zeros((len(docs), len(topics), width)), np.zeros((len(docs), width))
+    for n, d in enumerate(docs.tolist()):
+        own[n, :, : len(ids[d])], count[n, : len(ids[d])] = topics[:, ids[d]], counts[d]
+    return docs, own, count
 
 
 def document_bound(ids: np.ndarray, counts: np.ndarray, gamma: np.ndarray, logs: np.ndarray, alpha: float) -> float:
@@ -165,69 +201,92 @@ def prepare(
     return Documents(stored, id_col, words, batches, fitted)
 
 
-def _statistics(rows: DataFrame, topics: Topics) -> tuple[np.ndarray, int]:
-    """Summed contributions (topics, terms) of some documents, and their number."""
-    k, n = topics.weights.shape
-    means, alpha = np.exp(expected_logs(topics.weights)), topics.alpha
+def _statistics(rows: DataFrame, models: Sequence[Topics]) -> tuple[list[np.ndarray], int]:
+    """Summed contributions (topics, terms) of some documents to each model, and their number; the
+    models share one reading."""
+    given = [(np.exp(expected_logs(m.weights)), m.alpha) for m in models]
+    most = max(len(means) for means, _ in given)
 
     def work(frames):
-        total, seen, docs = np.zeros((k, n)), np.zeros(n, bool), 0
+        # A term's row lies together; its chances are the same in every document.
+        totals, docs = [np.zeros(means.T.shape) for means, _ in given], 0
+        seen = np.zeros(given[0][0].shape[1], bool)
         for frame in frames:
-            for i, c, _, share, norm in each_mixture(frame["_ids"], frame["_counts"], means, alpha):
-                docs += 1
-                if len(i):
-                    total[:, i] += np.outer(share, c / norm) * means[:, i]
-                    seen[i] = True
+            docs += len(frame)
+            for total, (means, alpha) in zip(totals, given, strict=True):
+                for i, c, _, share, norm in each_mixture(frame["_ids"], frame["_counts"], means, alpha):
+                    if len(i):
+                        total[i] += np.outer(c / norm, share)
+                        seen[i] = True
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"term": [-1], "docs": [docs], "parts": [[0.0] * k]})
-        yield pd.DataFrame({"term": at, "docs": 0, "parts": list(total[:, at].T)})
-
-    parts = rows.select("_ids", "_counts").mapInPandas(work, "term int, docs long, parts array<double>")
-    sums = parts.groupBy("term").agg(F.sum("docs").alias("docs"), *[F.sum(F.get("parts", F.lit(i))).alias(f"_{i}") for i in range(k)]).toPandas()
-    out, real = np.zeros((k, n)), sums[sums["term"] >= 0]
-    out[:, real["term"].to_numpy(int)] = real[[f"_{i}" for i in range(k)]].to_numpy(float).T
+        yield pd.DataFrame({"model": [0], "term": [-1], "docs": [docs], "parts": [[0.0] * most]})
+        for m, (total, (means, _)) in enumerate(zip(totals, given, strict=True)):
+            yield pd.DataFrame({"model": m, "term": at, "docs": 0, "parts": list(total[at] * means.T[at])})
+
+    parts = rows.select("_ids", "_counts").mapInPandas(work, "model int, term int, docs long, parts array<double>")
+    sums = parts.groupBy("model", "term").agg(F.sum("docs").alias("docs"), *[F.sum(F.get("parts", F.lit(i))).alias(f"_{i}") for i in range(most)]).toPandas()
+    out = [np.zeros_like(means) for means, _ in given]
+    for m, found in enumerate(out):
+        real = sums[(sums["term"] >= 0) & (sums["model"] == m)]
+        found[:, real["term"].to_numpy(int)] = real[[f"_{i}" for i in range(len(found))]].to_numpy(float).T
     return out, int(sums["docs"].sum())
 
 
 def perplexity(rows: DataFrame, topics: Topics) -> float:
     """exp of minus the bound per term over documents that took no part in the fit (without the
     topics' own divergence, which no document changes); NaN without any term."""
-    logs, alpha = expected_logs(topics.weights), topics.alpha
-    means = np.exp(logs)
+    return _perplexities(rows, [topics])[0]
+
+
+def _perplexities(rows: DataFrame, models: Sequence[Topics]) -> list[float]:
+    given = [(expected_logs(m.weights), m.alpha) for m in models]
 
     def work(frames):
-        bound, size = 0.0, 0.0
+        bounds, sizes = [0.0] * len(given), [0.0] * len(given)
         for frame in frames:
-            for i, c, gamma, _, _ in each_mixture(frame["_ids"], frame["_counts"], means, alpha):
-                if len(i):
-                    bound += document_bound(i, c, gamma, logs, alpha)
-                    size += float(c.sum())
-        yield pd.DataFrame({"bound": [bound], "size": [size]})
-
-    r = rows.select("_ids", "_counts").mapInPandas(work, "bound double, size double").agg(F.sum("bound").alias("bound"), F.sum("size").alias("size")).first()
-    return math.exp(-r["bound"] / r["size"]) if r["size"] else math.nan
+            for m, (logs, alpha) in enumerate(given):
+                for i, c, gamma, _, _ in each_mixture(frame["_ids"], frame["_counts"], np.exp(logs), alpha):
+                    if len(i):
+                        bounds[m] += document_bound(i, c, gamma, logs, alpha)
+                        sizes[m] += float(c.sum())
+        yield pd.DataFrame({"model": range(len(given)), "bound": bounds, "size": sizes})
+
+    found = rows.select("_ids", "_counts").mapInPandas(work, "model int, bound double, size double").groupBy("model").agg(
+        F.sum("bound").alias("bound"), F.sum("size").alias("size")).collect()
+    out = [math.nan] * len(given)
+    for r in found:
+        if r["size"]:
+            out[r["model"]] = math.exp(-r["bound"] / r["size"])
+    return out
 
 
 def fit_online(docs: Documents, k: int = 10, passes: int = 2, seed: int = SEED, measure: bool = False) -> Topics:
     """``passes`` times over all batches; with ``measure`` the perplexity of the held-out
     documents after every pass."""
-    start = np.random.default_rng(seed).gamma(100.0, 0.01, (k, len(docs.words)))
-    topics, prior = Topics(start, 1.0 / k, docs.words), 1.0 / k
+    return fit_each(docs, [k], passes, seed, measure)[0]
+
+
+def fit_each(docs: Documents, ks: Sequence[int], passes: int = 2, seed: int = SEED, measure: bool = False) -> list[Topics]:
+    """:func:`fit_online` for several ``k``, side by side: every batch is read once a pass for all."""
+    models = [Topics(np.random.default_rng(seed).gamma(100.0, 0.01, (k, len(docs.words))), 1.0 / k, docs.words) for k in ks]
     held = docs.rows.where("_batch = -1")
     t = 0
     for _ in range(passes):
         seen = []
         for b in range(docs.batches):
-            stats, n = _statistics(docs.rows.where(F.col("_batch") == b), topics)
+            stats, n = _statistics(docs.rows.where(F.col("_batch") == b), models)
             seen.append(n)
             if n:
                 rate = (OFFSET + t) ** -DECAY
-                topics.weights = (1 - rate) * topics.weights + rate * (prior + stats * (docs.total / n))
+                for topics, own in zip(models, stats, strict=True):
+                    topics.weights = (1 - rate) * topics.weights + rate * (topics.alpha + own * (docs.total / n))
                 t += 1
-        topics.seen.append(seen)
+        for topics in models:
+            topics.seen.append(list(seen))
         if measure:
-            topics.perplexity.append(perplexity(held, topics))
-    return topics
+            for topics, value in zip(models, _perplexities(held, models), strict=True):
+                topics.perplexity.append(value)
+    return models
 
 
 def mixtures(docs: Documents, topics: Topics) -> DataFrame:
@@ -255,9 +314,8 @@ def describe(spark, topics: Topics, top: int = 10) -> DataFrame:
 
 
 def compare(docs: Documents, ks: Sequence[int], passes: Sequence[int], seed: int = SEED) -> DataFrame:
-    """``k, passes, perplexity`` of the held-out documents: one fit per ``k``, measured on its way."""
-    rows = []
-    for k in ks:
-        found = fit_online(docs, k, max(passes), seed, measure=True).perplexity
-        rows += [(k, p, found[p - 1]) for p in passes]
+    """``k, passes, perplexity`` of the held-out documents: one fit per ``k``, all side by side, measured
+    on their way."""
+    models = fit_each(docs, ks, max(passes), seed, measure=True)
+    rows = [(k, p, topics.perplexity[p - 1]) for k, topics in zip(ks, models, strict=True) for p in passes]
     return docs.rows.sparkSession.createDataFrame(rows, "k int, passes int, perplexity double")
